@@ -7,47 +7,69 @@ which fires at the end of its own batch (a delta, never dropped):
 
     first_b(e) = min b with wm(b) > e,   fire_b = greatest(b, first_b(e)),   null first_b => still live.
 
-Rows are pre-aggregated to (b, e, key, n) before anything else; first_b is computed once per distinct window end
-by a range-partitioned as-of scan (no pairing of windows with batches) and joined back on e."""
+Plan: one pass over the rows builds the pre-aggregate (b, e, key, n, max ts) (partial aggregation + one shuffle)
+and persists it; the batch log (one row per batch) and the distinct window ends (one row per window) are derived
+from it and cached; first_b is an as-of scan over those two small tables (range-partitioned, nothing paired) and
+is joined back on e with a size-checked broadcast."""
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from windowstate.functions.align import window_end
 from windowstate.functions.keyhash import key_partition
-from windowstate.operators.scale import checked_broadcast, col_or_lit, first_mark_after, running_max
+from windowstate.operators.scale import checked_broadcast, col_or_lit, first_mark_after, materialize, running_max
 
 
-def batch_log(rows: DataFrame, delay_ms: int = 0, t_ms: Column | None = None) -> DataFrame:
-    """`(b, t_ms, wm_ms)`: one row per arrival batch. `t_ms` is the processing time of the batch (default
-    1000*b); the watermark is the running max of (max ts - delay), i.e. it never goes back."""
-    t = t_ms if t_ms is not None else F.col("b") * F.lit(1000)
-    per = rows.groupBy("b").agg((F.max("ts_ms") - F.lit(delay_ms)).alias("__mx")).withColumn("t_ms", t.cast("bigint"))
-    return running_max(per, "b", "__mx", "wm_ms").select("b", "t_ms", "wm_ms")
+@dataclass
+class Replay:
+    pre: DataFrame    # (b, window_end_ms, key, n, max_ts_ms), persisted
+    log: DataFrame    # (b, t_ms, wm_ms), cached, one row per batch
+    fired: DataFrame  # (b, window_end_ms, key, n, first_b, fire_b), persisted
+
+    def unpersist(self) -> None:
+        for df in (self.fired, self.log, self.pre):
+            df.unpersist()
 
 
 def pre_aggregate(rows: DataFrame, size_ms: int) -> DataFrame:
-    """`(b, window_end_ms, key, n)`: rows counted per arrival batch, window and key (partial agg + shuffle)."""
-    return (rows.select("b", window_end("ts_ms", size_ms).alias("window_end_ms"), "key")
-            .groupBy("b", "window_end_ms", "key").agg(F.count(F.lit(1)).alias("n")))
+    """`(b, window_end_ms, key, n, max_ts_ms)`: rows counted per arrival batch, window and key."""
+    return (rows.select("b", "ts_ms", window_end("ts_ms", size_ms).alias("window_end_ms"), "key")
+            .groupBy("b", "window_end_ms", "key")
+            .agg(F.count(F.lit(1)).alias("n"), F.max("ts_ms").alias("max_ts_ms")))
+
+
+def batch_log(pre: DataFrame, delay_ms: int = 0, t_ms: Column | None = None) -> DataFrame:
+    """`(b, t_ms, wm_ms)` from a pre-aggregate: one row per arrival batch. `t_ms` is the processing time of the
+    batch as an expression of b (default 1000*b); the watermark is the running max of (max ts - delay)."""
+    t = t_ms if t_ms is not None else F.col("b") * F.lit(1000)
+    per, n_batches = materialize(pre.groupBy("b").agg((F.max("max_ts_ms") - F.lit(delay_ms)).alias("__mx"))
+                                 .withColumn("t_ms", t.cast("bigint")))
+    log, _ = materialize(running_max(per, "b", "__mx", "wm_ms", n_rows=n_batches).select("b", "t_ms", "wm_ms"))
+    per.unpersist()
+    return log
 
 
 def first_fire(pre: DataFrame, log: DataFrame) -> DataFrame:
     """`(window_end_ms, first_b)`: first batch whose watermark is strictly past each window end (null: open)."""
-    return first_mark_after(pre.select("window_end_ms"), "window_end_ms", log, "wm_ms", "b", "first_b",
-                            strict=True)
+    ends, n_ends = materialize(pre.select("window_end_ms").distinct())
+    return first_mark_after(ends, "window_end_ms", log, "wm_ms", "b", "first_b", strict=True,
+                            n_rows=n_ends + log.count())
 
 
-def fire_rows(rows: DataFrame, log: DataFrame, size_ms: int) -> DataFrame:
-    """`(b, window_end_ms, key, n, first_b, fire_b)` for every pre-aggregated row (fire_b null: still live)."""
-    pre = pre_aggregate(rows, size_ms)
-    # one row per distinct window end: bounded by the time span / window size, counted before broadcasting
+def replay(rows: DataFrame, size_ms: int, delay_ms: int = 0, t_ms: Column | None = None) -> Replay:
+    """Build the replay state of `rows(b, ts_ms, key)` for tumbling windows of `size_ms`."""
+    pre = pre_aggregate(rows, size_ms).persist()
+    log = batch_log(pre, delay_ms, t_ms)
+    # one row per distinct window end: bounded by time span / window size, counted before broadcasting
     fe = checked_broadcast(first_fire(pre, log))
-    return (pre.join(fe, "window_end_ms", "left")
-            .withColumn("fire_b", F.greatest(F.col("b"), F.col("first_b")))
-            .withColumn("fire_b", F.when(F.col("first_b").isNotNull(), F.col("fire_b"))))
+    fired = (pre.drop("max_ts_ms").join(fe, "window_end_ms", "left")
+             .withColumn("fire_b", F.when(F.col("first_b").isNotNull(), F.greatest(F.col("b"), F.col("first_b"))))
+             .persist())
+    return Replay(pre, log, fired)
 
 
 def fire_log(fired: DataFrame, n_partitions: int | None = None) -> DataFrame:

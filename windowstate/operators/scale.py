@@ -11,13 +11,23 @@ from pyspark.sql import functions as F
 
 # Default bound for broadcasting a derived table (rows). Tables are counted before they are broadcast.
 BROADCAST_MAX_ROWS = 2_000_000
+# Ordered scans over at most this many (counted) rows run as one ordered window; larger ones run in two levels.
+SINGLE_SCAN_MAX_ROWS = 1_000_000
+
+
+def materialize(df: DataFrame) -> tuple[DataFrame, int]:
+    """Compute a small derived table once (cached; recomputed from its short lineage if an executor is lost), so
+    range sampling, size checks and later joins do not re-run everything upstream. Returns (table, row count)."""
+    df = df.cache()
+    return df, df.count()
 
 
 def checked_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
     """Broadcast `df` only if it has at most `max_rows` rows; otherwise return it unchanged so the planner uses a
-    shuffle join (with AQE skew handling). The table is cached so the count is not recomputed by the join."""
+    shuffle join (with AQE skew handling). The table is cached first, so the count is the only extra job and the
+    join reads the cached rows."""
     df = df.cache()
-    n = df.limit(max_rows + 1).count()
+    n = df.count()
     return F.broadcast(df) if n <= max_rows else df
 
 
@@ -27,8 +37,14 @@ def _chunks(df: DataFrame, n_chunks: int | None) -> int:
     return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
-def running_max(df: DataFrame, order_col: str, value_col: str, out_col: str, n_chunks: int | None = None) -> DataFrame:
-    """out = max(value) over rows with order <= this row's order (order values distinct)."""
+def running_max(df: DataFrame, order_col: str, value_col: str, out_col: str, n_rows: int | None = None,
+                n_chunks: int | None = None) -> DataFrame:
+    """out = max(value) over rows with order <= this row's order (order values distinct).
+    With a counted `n_rows` <= SINGLE_SCAN_MAX_ROWS it is one ordered window; otherwise two levels (range
+    partitioning samples its input: pass a materialized table)."""
+    if n_rows is not None and n_rows <= SINGLE_SCAN_MAX_ROWS:
+        w = Window.orderBy(order_col).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        return df.withColumn(out_col, F.max(value_col).over(w))
     p = _chunks(df, n_chunks)
     r = df.repartitionByRange(p, order_col).withColumn("__chunk", F.spark_partition_id())
     w_in = Window.partitionBy("__chunk").orderBy(order_col).rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -43,9 +59,11 @@ def running_max(df: DataFrame, order_col: str, value_col: str, out_col: str, n_c
 
 
 def first_mark_after(points: DataFrame, point_col: str, marks: DataFrame, mark_col: str, value_col: str,
-                     out_col: str, strict: bool = True, n_chunks: int | None = None) -> DataFrame:
+                     out_col: str, strict: bool = True, n_rows: int | None = None,
+                     n_chunks: int | None = None) -> DataFrame:
     """As-of forward lookup: for each distinct point p, min(value) over marks with mark > p (mark >= p if not
-    strict); null if none. Points and marks are merged into one range-partitioned ordering; nothing is paired."""
+    strict); null if none. Points and marks are merged into one range-partitioned ordering; nothing is paired.
+    Range partitioning samples its input: pass materialized tables."""
     p = _chunks(points, n_chunks)
     vtype = marks.schema[value_col].dataType
     # at equal keys a mark must sort after the point when it counts (>=) and before it when it does not (>)
@@ -54,6 +72,10 @@ def first_mark_after(points: DataFrame, point_col: str, marks: DataFrame, mark_c
          .select("__k", F.lit(point_kind).alias("__kind"), F.lit(None).cast(vtype).alias("__v"))
          .unionByName(marks.select(F.col(mark_col).cast("bigint").alias("__k"), F.lit(mark_kind).alias("__kind"),
                                    F.col(value_col).alias("__v"))))
+    if n_rows is not None and n_rows <= SINGLE_SCAN_MAX_ROWS:
+        w = Window.orderBy("__k", "__kind").rowsBetween(Window.currentRow, Window.unboundedFollowing)
+        return (u.withColumn("__in", F.min("__v").over(w)).filter(F.col("__kind") == point_kind)
+                .select(F.col("__k").alias(point_col), F.col("__in").alias(out_col)))
     u = u.repartitionByRange(p, "__k", "__kind").withColumn("__chunk", F.spark_partition_id())
     w_in = Window.partitionBy("__chunk").orderBy("__k", "__kind").rowsBetween(Window.currentRow,
                                                                             Window.unboundedFollowing)

@@ -33,9 +33,8 @@ def _event_rows(spark: SparkSession, sf: str) -> DataFrame:
 def _replay(spark: SparkSession, sf: str):
     ev = _events(spark, sf)
     rows = arrival_rows(ev, "user_id", "ts", "event_id")
-    log = firelog.batch_log(rows)
-    fired = firelog.fire_rows(rows, log, HOUR_MS)
-    return rows, log, fired
+    rp = firelog.replay(rows, HOUR_MS)
+    return rp.pre, rp.log, rp.fired
 
 
 def _requests(spark: SparkSession, sf: str) -> DataFrame:
@@ -81,8 +80,8 @@ def q06_fire_log(spark, sf):
 
 
 def q07_fire_totals(spark, sf):
-    rows, _, fired = _replay(spark, sf)
-    last_b = rows.select(F.max("b")).scalar()
+    _, log, fired = _replay(spark, sf)
+    last_b = log.select(F.max("b")).scalar()
     emitted = (firelog.fire_log(fired).groupBy("window_end_ms", "key")
                .agg(F.sum("n").cast("bigint").alias("n_fired")))
     live = firelog.live_at(fired, last_b).withColumnRenamed("n", "n_live")
