@@ -5,6 +5,7 @@ Times: `epoch_us(ts) // 1000` (DuckDB's epoch_ms rounds, Spark floors). Counts a
 from __future__ import annotations
 
 from windowstate.functions import keyhash as K
+from windowstate.plans.stream_catalog import INGEST_WINDOW_MS, RESUME_SPLIT
 from windowstate.plans.params import (CLEANUP_MS, EPOCH_2024_MS, HOUR_MS, MISROUTED_PARTITIONS, MISSING_KEY_OFFSET,
                                       N_PARTITIONS, NOW_MS, REPLAY_AT_MS, REPLAY_BATCH, SEQ_PARALLELISM,
                                       SHORT_AT_MS, SHORT_CLEANUP_MS)
@@ -49,9 +50,11 @@ from events group by all"""
 WM = f"(select max({MS}) from events)"
 
 
-def _replay_ctes(batch: int, at_ms: int, delay: int) -> str:
-    return f"""with ev as (select {MS} as ts_ms, user_id as key,
-                   (event_id + (event_id*7919) % 500) // 1000 as b from events),
+ARRIVAL_B = "((event_id + (event_id*7919) % 500) // 1000)"
+
+
+def _replay_ctes(batch: int, at_ms: int, delay: int, b_expr: str = ARRIVAL_B) -> str:
+    return f"""with ev as (select {MS} as ts_ms, user_id as key, {b_expr} as b from events),
 bt as (select b, 1000*b as t, max(max(ts_ms)) over (order by b) as wm from ev group by b),
 pre as (select b, ts_ms - ts_ms % {S} + {S} as e, key, count(*) as n from ev group by 1,2,3),
 fe as (select e, min(bt.b) as fb from (select distinct e from pre) x join bt on bt.wm > x.e group by e),
@@ -177,7 +180,18 @@ sz as (select (n + {SEQ_PARALLELISM} - 1) // {SEQ_PARALLELISM} as steps, k from
 ids as (select unnest(range(0, {SEQ_PARALLELISM} * (select steps from sz))) as id)
 select cast(id // sz.steps as integer) as subtask, id % sz.steps as idx,
   ((id // sz.steps) * (sz.k // {SEQ_PARALLELISM}) + id % sz.steps) % sz.k as key from ids, sz""",
+    "q20_stream_count": _replay_ctes(10**9, 0, 0) + """select e as window_end_ms, key, cast(sum(n) as bigint) as n
+from f where raw is not null and b <= raw group by 1, 2""",
+    "q21_state_read": _replay_ctes(10**9, 0, 0) + """select e as window_end_ms, key, cast(sum(n) as bigint) as n
+from f where raw is null group by 1, 2""",
+    "q22_state_history": _replay_ctes(REPLAY_BATCH, 0, 0) + "select e as window_end_ms, key, n from live",
+    "q23_resume": _replay_ctes(10**9, 0, 0, f"(case when {ARRIVAL_B} <= {RESUME_SPLIT} then 0 else 1 end)") + """
+select e as window_end_ms, key, cast(sum(n) as bigint) as n from f where raw is not null and b <= raw group by 1, 2""",
+    "q25_ingestion_time": f"""with a as (select user_id as key, 1000 * {ARRIVAL_B} as t from events)
+select t - t % {INGEST_WINDOW_MS} + {INGEST_WINDOW_MS} as window_end_ms, key, count(*) as n from a group by 1, 2""",
     "q26_state_size": f"""select window_end_ms, count(*) as num_keys from ({COUNTS}) c
 where window_end_ms >= {WM} group by window_end_ms""",
     "q27_retention_short": _ret_select(REPLAY_BATCH, SHORT_AT_MS, SHORT_CLEANUP_MS),
 }
+
+ORACLES["q24_stream_refire"] = ORACLES["q06_fire_log"]
