@@ -51,7 +51,7 @@ def q21_state_read(spark, sf):
 
 def q22_state_history(spark, sf):
     run = _count_run(spark, sf, "q22")
-    return read_count_state(spark, run.checkpoint, batch_id=run.batch_ids[REPLAY_BATCH])
+    return read_count_state(spark, run.checkpoint, batch_id=run.batch_id_at(REPLAY_BATCH))
 
 
 def q23_resume(spark, sf):

@@ -29,6 +29,13 @@ class ReplayRun:
     schema: str
     batch_ids: dict[int, int] = field(default_factory=dict)  # arrival batch -> last streaming batch id
 
+    def batch_id_at(self, arrival_batch: int) -> int:
+        """Streaming batch id holding the state after the last fed arrival batch <= `arrival_batch`."""
+        fed = [b for b in self.batch_ids if b <= arrival_batch]
+        if not fed:
+            raise ValueError(f"no arrival batch <= {arrival_batch} was fed")
+        return self.batch_ids[max(fed)]
+
 
 def new_run(spark: SparkSession, tag: str, schema: str) -> ReplayRun:
     root = scratch_dir(spark, tag)
