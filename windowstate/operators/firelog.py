@@ -29,6 +29,8 @@ class Replay:
     pre: DataFrame    # (b, window_end_ms, key, n, max_ts_ms), persisted
     log: DataFrame    # (b, t_ms, wm_ms), cached, one row per batch
     fired: DataFrame  # (b, window_end_ms, key, n, first_b, fire_b), persisted
+    n_batches: int    # rows of log
+    n_windows: int    # distinct window ends
 
     def unpersist(self) -> None:
         for df in (self.fired, self.log, self.pre):
@@ -45,31 +47,38 @@ def pre_aggregate(rows: DataFrame, size_ms: int) -> DataFrame:
 def batch_log(pre: DataFrame, delay_ms: int = 0, t_ms: Column | None = None) -> DataFrame:
     """`(b, t_ms, wm_ms)` from a pre-aggregate: one row per arrival batch. `t_ms` is the processing time of the
     batch as an expression of b (default 1000*b); the watermark is the running max of (max ts - delay)."""
+    return _batch_log(pre, delay_ms, t_ms)[0]
+
+
+def _batch_log(pre: DataFrame, delay_ms: int, t_ms: Column | None) -> tuple[DataFrame, int]:
     t = t_ms if t_ms is not None else F.col("b") * F.lit(1000)
     per, n_batches = materialize(pre.groupBy("b").agg((F.max("max_ts_ms") - F.lit(delay_ms)).alias("__mx"))
                                  .withColumn("t_ms", t.cast("bigint")))
     log, _ = materialize(running_max(per, "b", "__mx", "wm_ms", n_rows=n_batches).select("b", "t_ms", "wm_ms"))
     per.unpersist()
-    return log
+    return log, n_batches
 
 
-def first_fire(pre: DataFrame, log: DataFrame) -> DataFrame:
-    """`(window_end_ms, first_b)`: first batch whose watermark is strictly past each window end (null: open)."""
+def first_fire(pre: DataFrame, log: DataFrame, n_batches: int | None = None) -> tuple[DataFrame, int]:
+    """`(window_end_ms, first_b)`: first batch whose watermark is strictly past each window end (null: open);
+    returns the table and its row count (one row per distinct window end)."""
     ends, n_ends = materialize(pre.select("window_end_ms").distinct())
-    return first_mark_after(ends, "window_end_ms", log, "wm_ms", "b", "first_b", strict=True,
-                            n_rows=n_ends + log.count())
+    n_b = log.count() if n_batches is None else n_batches
+    fe = first_mark_after(ends, "window_end_ms", log, "wm_ms", "b", "first_b", strict=True, n_rows=n_ends + n_b)
+    return fe, n_ends
 
 
 def replay(rows: DataFrame, size_ms: int, delay_ms: int = 0, t_ms: Column | None = None) -> Replay:
     """Build the replay state of `rows(b, ts_ms, key)` for tumbling windows of `size_ms`."""
     pre = pre_aggregate(rows, size_ms).persist()
-    log = batch_log(pre, delay_ms, t_ms)
-    # one row per distinct window end: bounded by time span / window size, counted before broadcasting
-    fe = checked_broadcast(first_fire(pre, log))
+    log, n_batches = _batch_log(pre, delay_ms, t_ms)
+    # one row per distinct window end (bounded by time span / window size; counted): broadcast within the limit
+    fe, n_windows = first_fire(pre, log, n_batches)
+    fe = checked_broadcast(fe, bound=n_windows)
     fired = (pre.drop("max_ts_ms").join(fe, "window_end_ms", "left")
              .withColumn("fire_b", F.when(F.col("first_b").isNotNull(), F.greatest(F.col("b"), F.col("first_b"))))
              .persist())
-    return Replay(pre, log, fired)
+    return Replay(pre, log, fired, n_batches, n_windows)
 
 
 def fire_log(fired: DataFrame, n_partitions: int | None = None) -> DataFrame:

@@ -22,10 +22,13 @@ def materialize(df: DataFrame) -> tuple[DataFrame, int]:
     return df, df.count()
 
 
-def checked_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
+def checked_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS, bound: int | None = None) -> DataFrame:
     """Broadcast `df` only if it has at most `max_rows` rows; otherwise return it unchanged so the planner uses a
-    shuffle join (with AQE skew handling). The table is cached first, so the count is the only extra job and the
-    join reads the cached rows."""
+    shuffle join (with AQE skew handling). `bound` is an upper limit on the row count already proven by the
+    caller (e.g. partitions x batches): within the limit it is broadcast without a count. Otherwise the table is
+    cached and counted, so the count is the only extra job and the join reads the cached rows."""
+    if bound is not None and bound <= max_rows:
+        return F.broadcast(df)
     df = df.cache()
     n = df.count()
     return F.broadcast(df) if n <= max_rows else df

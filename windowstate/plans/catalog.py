@@ -33,8 +33,7 @@ def _event_rows(spark: SparkSession, sf: str) -> DataFrame:
 def _replay(spark: SparkSession, sf: str):
     ev = _events(spark, sf)
     rows = arrival_rows(ev, "user_id", "ts", "event_id")
-    rp = firelog.replay(rows, HOUR_MS)
-    return rp.pre, rp.log, rp.fired
+    return firelog.replay(rows, HOUR_MS)
 
 
 def _requests(spark: SparkSession, sf: str) -> DataFrame:
@@ -75,13 +74,13 @@ def q05_close_boundary(spark, sf):
 
 
 def q06_fire_log(spark, sf):
-    _, _, fired = _replay(spark, sf)
-    return firelog.fire_log(fired, N_PARTITIONS)
+    return firelog.fire_log(_replay(spark, sf).fired, N_PARTITIONS)
 
 
 def q07_fire_totals(spark, sf):
-    _, log, fired = _replay(spark, sf)
-    last_b = log.select(F.max("b")).scalar()
+    rp = _replay(spark, sf)
+    fired = rp.fired
+    last_b = rp.log.select(F.max("b")).scalar()
     emitted = (firelog.fire_log(fired).groupBy("window_end_ms", "key")
                .agg(F.sum("n").cast("bigint").alias("n_fired")))
     live = firelog.live_at(fired, last_b).withColumnRenamed("n", "n_live")
@@ -92,9 +91,11 @@ def q07_fire_totals(spark, sf):
 
 
 def _retained(spark, sf, batch, at_ms, delay_ms):
-    _, log, fired = _replay(spark, sf)
-    flog = firelog.fire_log(fired, N_PARTITIONS)
-    return retention.retained_view(flog, log, batch, at_ms, delay_ms), fired
+    rp = _replay(spark, sf)
+    # read three times by the retention view (fire sessions, last fire per window, final rows)
+    flog = firelog.fire_log(rp.fired, N_PARTITIONS).persist()
+    view = retention.retained_view(flog, rp.log, batch, at_ms, delay_ms, N_PARTITIONS, rp.n_batches, rp.n_windows)
+    return view, rp.fired
 
 
 def q08_retained_view(spark, sf):
