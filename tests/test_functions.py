@@ -99,11 +99,15 @@ def test_until_stop(spark):
 
 def test_epoch_ms_independent_of_zone(spark):
     import datetime as dt
-    ntz = spark.createDataFrame([(dt.datetime(2024, 1, 1, 0, 0, 7, 179575),)], "ts timestamp_ntz")
+    import calendar
+    stamps = [dt.datetime(2024, 1, 1, 0, 0, 7, 179575), dt.datetime(2024, 3, 10, 2, 30, 0, 1),
+              dt.datetime(2024, 7, 1, 12, 0, 0, 999999), dt.datetime(1960, 1, 1, 0, 0, 0, 1500)]
+    ntz = spark.createDataFrame([(s,) for s in stamps], "ts timestamp_ntz")
+    expected = [(calendar.timegm(s.timetuple()) * 1_000_000 + s.microsecond) // 1000 for s in stamps]
     prev = spark.conf.get("spark.sql.session.timeZone")
     try:
         spark.conf.set("spark.sql.session.timeZone", "America/Los_Angeles")
-        assert ntz.select(epoch_ms(ntz, "ts").alias("m")).first().m == 1704067207179
+        assert [r.m for r in ntz.select(epoch_ms(ntz, "ts").alias("m")).collect()] == expected
     finally:
         spark.conf.set("spark.sql.session.timeZone", prev)
 

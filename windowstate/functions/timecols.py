@@ -22,10 +22,14 @@ def floor_div(c: Column, d: Column | int) -> Column:
 def epoch_ms(df: DataFrame, name: str) -> Column:
     """Epoch milliseconds (bigint, floored) of a timestamp / timestamp_ntz / integral column.
 
-    TIMESTAMP_NTZ is read as a UTC wall clock, so the result is the same under any session time zone."""
+    TIMESTAMP_NTZ is read as a UTC wall clock, so the result is the same under any session time zone (its fields
+    are rebuilt as a UTC instant; a cast or timestampdiff would go through the session zone and shift by an hour
+    inside a daylight-saving gap)."""
     dtype = df.schema[name].dataType
     if isinstance(dtype, T.TimestampNTZType):
-        micros = F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', `{name}`)")
+        c = f"`{name}`"
+        micros = F.expr(f"unix_micros(make_timestamp(year({c}), month({c}), day({c}), hour({c}), minute({c}), "
+                        f"date_part('SECOND', {c}), 'UTC'))")
     elif isinstance(dtype, T.TimestampType):
         micros = F.unix_micros(F.col(name))
     elif isinstance(dtype, (T.LongType, T.IntegerType, T.ShortType, T.ByteType)):
