@@ -113,3 +113,16 @@ def test_strict_close_in_stream(spark, strict, expected):
     counts = windowed_count(with_event_time(filereplay.input_stream(spark, run)), 10, strict=strict)
     start_count(counts, run.output, run.checkpoint).awaitTermination()
     assert {tuple(r) for r in spark.read.parquet(run.output).collect()} == expected
+
+
+def test_refire_seeded_from_table(spark):
+    """T9 from a table: seeded open windows continue counting and fire when the watermark passes them."""
+    run = filereplay.new_run(spark, "t-seed", SCHEMA)
+    state_dir = f"{run.root}/state"
+    writer = refire.RefireWriter(state_dir, 10, n_partitions=1, clock=lambda b: 100 + b)
+    writer.seed(spark.createDataFrame([(10, 1, 2), (20, 5, 1)], "window_end_ms long, key long, n long"), 5)
+    writer(spark.createDataFrame([(3, 1), (12, 2)], SCHEMA), 0)
+    assert {tuple(r) for r in refire.read_fire_log(spark, state_dir).collect()} == {(0, 0, 10, 1, 3)}
+    assert {tuple(r) for r in refire.read_live(spark, state_dir).collect()} == {(20, 5, 1), (20, 2, 1)}
+    ret = refire.read_retained(spark, state_dir, at_ms=100, delay_ms=5)
+    assert {(r.window_end_ms, r.key, r.n) for r in ret.collect()} == {(10, 1, 3)}

@@ -195,3 +195,8 @@ where window_end_ms >= {WM} group by window_end_ms""",
 }
 
 ORACLES["q24_stream_refire"] = ORACLES["q06_fire_log"]
+
+_LAST_B = "(select max(b) from ev)"
+ORACLES["q28_lookup_stream"] = _replay_ctes(_LAST_B, f"1000 * {_LAST_B}", CLEANUP_MS) + ", " + _answers(
+    """select coalesce(l.e, r.e) as window_end_ms, coalesce(l.key, r.key) as key, coalesce(l.n, r.n) as n
+       from live l full join (select e, key, n from ret) r on l.e = r.e and l.key = r.key""")

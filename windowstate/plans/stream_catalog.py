@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from windowstate.operators.counts import tumbling_count
-from windowstate.plans.params import HOUR_MS, N_PARTITIONS, REPLAY_BATCH
+from windowstate.plans.params import CLEANUP_MS, HOUR_MS, N_PARTITIONS, REPLAY_BATCH
 from windowstate.sources.tables import arrival_rows, read_table
 from windowstate.streaming import filereplay as replay
 from windowstate.streaming import refire
@@ -59,8 +59,8 @@ def q23_resume(spark, sf):
     return spark.read.parquet(run.output).select("window_end_ms", "key", "n")
 
 
-def q24_stream_refire(spark, sf):
-    run = replay.new_run(spark, "q24", ROW_SCHEMA)
+def _refire_run(spark, sf, tag):
+    run = replay.new_run(spark, tag, ROW_SCHEMA)
     state_dir = f"{run.root}/state"
     writer = refire.RefireWriter(state_dir, HOUR_MS, delay_ms=0, n_partitions=N_PARTITIONS,
                                  clock=lambda b: 1000 * b)
@@ -70,9 +70,30 @@ def q24_stream_refire(spark, sf):
                 .trigger(availableNow=True).start())
 
     replay.replay(spark, _rows(spark, sf), run, start)
+    return run, state_dir
+
+
+def q24_stream_refire(spark, sf):
+    _, state_dir = _refire_run(spark, sf, "q24")
     return refire.read_fire_log(spark, state_dir)
 
 
+def q28_lookup_stream(spark, sf):
+    """L2 as a stream: after the re-fire replay, a request stream is answered against the committed state
+    (live after the last batch, retained at that batch's time)."""
+    from windowstate.plans.catalog import _requests
+    run, state_dir = _refire_run(spark, sf, "q28")
+    last_b = refire.read_batches(spark, state_dir).agg(F.max("b")).first()[0]
+    req_dir, out_dir = f"{run.root}/requests", f"{run.root}/answers"
+    _requests(spark, sf).write.parquet(f"{req_dir}/part=0")
+    writer = refire.LookupWriter(state_dir, out_dir, HOUR_MS, CLEANUP_MS, clock=lambda _b: 1000 * last_b)
+    q = (spark.readStream.schema("req_id bigint, ts_ms bigint, key bigint").parquet(f"{req_dir}/*")
+         .writeStream.foreachBatch(writer).option("checkpointLocation", f"{run.root}/lookup-checkpoint")
+         .trigger(availableNow=True).start())
+    q.awaitTermination()
+    return spark.read.parquet(out_dir).select("req_id", "key", "window_end_ms", "n", "found")
+
+
 def q25_ingestion_time(spark, sf):
     """Counts by arrival (ingestion) time: each row is stamped with its batch's processing time (1000*b)."""
     rows = _rows(spark, sf).withColumn("ts_ms", F.col("b") * F.lit(1000))
@@ -86,4 +107,5 @@ STREAM_QUERIES = {
     "q23_resume": q23_resume,
     "q24_stream_refire": q24_stream_refire,
     "q25_ingestion_time": q25_ingestion_time,
+    "q28_lookup_stream": q28_lookup_stream,
 }

@@ -1,13 +1,14 @@
 """Structured Streaming: built-in windowed count (drop mode), foreachBatch re-fire, state reads, replay."""
 
-from windowstate.streaming.refire import RefireWriter, read_batches, read_fire_log, read_live
+from windowstate.streaming.refire import (LookupWriter, RefireWriter, read_batches, read_fire_log, read_live,
+                                         read_retained)
 from windowstate.streaming.filereplay import ReplayRun, new_run, replay
 from windowstate.streaming.state import read_count_state, state_inventory
 from windowstate.streaming.windowed import (ProgressLog, start_count, windowed_count, with_event_time,
                                             with_ingestion_time)
 
 __all__ = [
-    "ProgressLog", "RefireWriter", "ReplayRun", "new_run", "read_batches", "read_count_state", "read_fire_log",
-    "read_live", "replay", "start_count", "state_inventory", "windowed_count", "with_event_time",
+    "LookupWriter", "ProgressLog", "RefireWriter", "ReplayRun", "new_run", "read_batches", "read_count_state", "read_fire_log",
+    "read_live", "read_retained", "replay", "start_count", "state_inventory", "windowed_count", "with_event_time",
     "with_ingestion_time",
 ]

@@ -50,6 +50,19 @@ class RefireWriter:
         self.n_partitions = n_partitions
         self.clock = clock or (lambda _b: int(time.time() * 1000))
 
+    def seed(self, live: DataFrame, watermark_ms: int | None, t_ms: int | None = None) -> None:
+        """T9 from a table: start from given open windows `(window_end_ms, key, n)` and watermark, as batch -1
+        (before the stream's first batch). Only for a fresh state folder."""
+        spark = live.sparkSession
+        live.select("window_end_ms", F.col("key").cast("bigint"), F.col("n").cast("bigint")) \
+            .write.mode("overwrite").parquet(f"{self.state_dir}/live/gen=-1")
+        spark.createDataFrame([], "partition int, window_end_ms bigint, key bigint, n bigint") \
+            .select(*(["partition"] if self.n_partitions else []), "window_end_ms", "key", "n") \
+            .write.mode("overwrite").parquet(f"{self.state_dir}/fires/fire_b=-1")
+        (spark.createDataFrame([(-1, self.clock(-1) if t_ms is None else t_ms, watermark_ms)],
+                               "b bigint, t_ms bigint, wm_ms bigint")
+         .write.mode("overwrite").parquet(f"{self.state_dir}/batches/b=-1"))
+
     def _previous(self, spark: SparkSession, batch_id: int):
         log = _read_or_none(spark, f"{self.state_dir}/batches")
         if log is None:
@@ -106,3 +119,39 @@ def read_live(spark: SparkSession, state_dir: str, batch: int | None = None) ->
     if b is None:
         return spark.createDataFrame([], LIVE_SCHEMA)
     return spark.read.parquet(f"{state_dir}/live/gen={b}")
+
+
+def read_retained(spark: SparkSession, state_dir: str, at_ms: int, delay_ms: int, batch: int | None = None,
+                  n_partitions: int | None = None) -> DataFrame:
+    """T6/T7 over streaming state: emitted windows still readable at `at_ms` after `batch` (default: last
+    committed). Needs a writer built with n_partitions."""
+    from windowstate.operators.retention import retained_view
+    log = read_batches(spark, state_dir)
+    if batch is None:
+        batch = log.agg(F.max("b")).first()[0]
+    flog = read_fire_log(spark, state_dir).persist()
+    return retained_view(flog, log, batch, at_ms, delay_ms)
+
+
+class LookupWriter:
+    """L2 on a stream: foreachBatch over a request stream `(req_id, ts_ms, key)`; each micro-batch is answered
+    against the latest committed state of a RefireWriter folder (live first, then retained at the batch's time),
+    and the answers `(req_id, key, window_end_ms, n, found)` are written to `out_dir/batch=<id>` (overwrite:
+    idempotent on replay)."""
+
+    def __init__(self, state_dir: str, out_dir: str, size_ms: int, cleanup_delay_ms: int,
+                 clock: Callable[[int], int] | None = None, now_ms: int | None = None):
+        self.state_dir, self.out_dir = state_dir.rstrip("/"), out_dir.rstrip("/")
+        self.size_ms, self.delay_ms = size_ms, cleanup_delay_ms
+        self.clock = clock or (lambda _b: int(time.time() * 1000))
+        self.now_ms = now_ms
+
+    def __call__(self, requests: DataFrame, batch_id: int) -> None:
+        from windowstate.operators.lookups import lookup
+        spark = requests.sparkSession
+        at = self.clock(batch_id)
+        live = read_live(spark, self.state_dir)
+        ret = read_retained(spark, self.state_dir, at, self.delay_ms)
+        now = self.now_ms if self.now_ms is not None else at
+        answers = lookup(requests, live, self.size_ms, retained=ret, now_ms=now)
+        answers.write.mode("overwrite").parquet(f"{self.out_dir}/batch={batch_id}")
