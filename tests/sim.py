@@ -5,6 +5,8 @@ created, so late elements re-open a window); per watermark, emit every window wi
 the retained map and arm a cleanup timer at now + delay; a timer clears the retained map only if it is the most
 recently armed one. Lookup: live count, else retained count, else 0."""
 
+from windowstate.functions import keyhash as K
+
 MASK = 0xFFFFFFFF
 
 
@@ -26,18 +28,19 @@ def _rotl(x, r):
 
 
 def murmur(code):
+    # plain-integer version of the library's column chain (same constants), for an independent check
     code &= MASK
-    code = _mul(code, 0xCC9E2D51)
-    code = _rotl(code, 15)
-    code = _mul(code, 0x1B873593)
-    code = _rotl(code, 13)
-    code = _mul(code, 0xE6546B64)
-    code ^= 4
-    code ^= code >> 16
-    code = _mul(code, 0x85EBCA6B)
-    code ^= code >> 13
-    code = _mul(code, 0xC2B2AE35)
-    code ^= code >> 16
+    code = _mul(code, K.C1)
+    code = _rotl(code, K.ROT1)
+    code = _mul(code, K.C2)
+    code = _rotl(code, K.ROT2)
+    code = _mul(code, K.C3)
+    code ^= K.XOR_LEN
+    code ^= code >> K.FINAL_SHIFTS[0]
+    code = _mul(code, K.C4)
+    code ^= code >> K.FINAL_SHIFTS[1]
+    code = _mul(code, K.C5)
+    code ^= code >> K.FINAL_SHIFTS[2]
     signed = code - (1 << 32) if code >= (1 << 31) else code
     if signed >= 0:
         return signed

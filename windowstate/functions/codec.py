@@ -5,12 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# ---- fixed values: must equal the reference's wire formats ----
 # Strict decimal long: optional sign then ASCII digits, nothing else (no spaces, no exponent, no hex).
 # \A and \z anchor the whole string; `$` would also match before a trailing newline.
 LONG_PATTERN = r"\A[+-]?[0-9]+\z"
-
 # Value a record decodes to when it is not a decimal long (null, empty, spaces, 1.5, overflow ...).
 INVALID_KEY = -1
+# Result pair text: '(' key ',' count ')'
+PAIR_OPEN, PAIR_SEP, PAIR_CLOSE = "(", ",", ")"
+# Lookup answers: 'StateFound(key: K, value: V)' and 'StateNotFound(key: K)'
+FOUND_OPEN, FOUND_VALUE, NOT_FOUND_OPEN, ANSWER_CLOSE = "StateFound(key: ", ", value: ", "StateNotFound(key: ", ")"
+# -----------------------------------------------------------------
 
 
 def _c(x: Column | str) -> Column:
@@ -32,7 +37,8 @@ def long_text(value: Column | str) -> Column:
 
 def pair_text(key: Column | str, n: Column | str) -> Column:
     """An emitted (key, count) pair rendered as text, '(key,count)'."""
-    return F.concat(F.lit("("), _c(key).cast("string"), F.lit(","), _c(n).cast("string"), F.lit(")"))
+    return F.concat(F.lit(PAIR_OPEN), _c(key).cast("string"), F.lit(PAIR_SEP), _c(n).cast("string"),
+                    F.lit(PAIR_CLOSE))
 
 
 def with_one(key: Column | str = "key") -> list[Column]:
@@ -44,5 +50,5 @@ def answer_text(key: Column | str, n: Column | str, found: Column | str) -> Colu
     """Render a lookup answer: 'StateFound(key: K, value: V)' or 'StateNotFound(key: K)'."""
     k = _c(key).cast("string")
     return F.when(
-        _c(found), F.concat(F.lit("StateFound(key: "), k, F.lit(", value: "), _c(n).cast("string"), F.lit(")"))
-    ).otherwise(F.concat(F.lit("StateNotFound(key: "), k, F.lit(")")))
+        _c(found), F.concat(F.lit(FOUND_OPEN), k, F.lit(FOUND_VALUE), _c(n).cast("string"), F.lit(ANSWER_CLOSE))
+    ).otherwise(F.concat(F.lit(NOT_FOUND_OPEN), k, F.lit(ANSWER_CLOSE)))

@@ -20,15 +20,22 @@ def decode_keys(df: DataFrame, value_col: str = "value", invalid: int | None = I
     return out if invalid is not None else out.filter(F.col("key").isNotNull())
 
 
-def kafka_key_stream(spark: SparkSession, brokers: str, topic: str, starting: str = "latest",
-                     **options: str) -> DataFrame:
-    """A Kafka topic of decimal keys, from the latest offsets; offsets are tracked by the query checkpoint,
-    not committed to Kafka. Needs the spark-sql-kafka connector on the classpath."""
+def kafka_key_reader(spark: SparkSession, brokers: str, topic: str, starting: str = "latest", **options: str):
+    """S1 reader: a Kafka topic from the latest offsets; offsets are tracked by the query checkpoint, not committed
+    to Kafka."""
     reader = (spark.readStream.format("kafka").option("kafka.bootstrap.servers", brokers)
               .option("subscribe", topic).option("startingOffsets", starting))
     for k, v in options.items():
         reader = reader.option(k, v)
-    return decode_keys(reader.load(), "value", time_col="timestamp")
+    return reader
+
+
+def kafka_key_stream(spark: SparkSession, brokers: str, topic: str, starting: str = "latest",
+                     **options: str) -> DataFrame:
+    """`(key, ts)` from a Kafka topic of decimal keys (record timestamp as event time). Needs the
+    spark-sql-kafka connector on the classpath."""
+    return decode_keys(kafka_key_reader(spark, brokers, topic, starting, **options).load(), "value",
+                       time_col="timestamp")
 
 
 def _sequence_key(index, subtask, num_keys: int, parallelism: int):

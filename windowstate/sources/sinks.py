@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from windowstate.functions.codec import long_text, pair_text
 
@@ -27,6 +26,3 @@ def kafka_sink(frame: DataFrame, brokers: str, topic: str, checkpoint: str | Non
                 .option("topic", topic).option("checkpointLocation", checkpoint))
     return frame.write.format("kafka").option("kafka.bootstrap.servers", brokers).option("topic", topic)
 
-
-def with_value_text(frame: DataFrame) -> DataFrame:
-    return frame.select(F.col("value").cast("string"))
