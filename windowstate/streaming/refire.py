@@ -4,15 +4,19 @@ Built-in streaming aggregation drops late rows. The reference never drops them:
 a fresh partial window that is emitted again (a delta) at the next watermark. This writer keeps that state in
 tables under `state_dir`, so it is durable, resumable and readable:
 
-  batches/b=<id>       (b, t_ms, wm_ms)            one row per micro-batch; written last = the batch commit marker
-  live/gen=<id>        (window_end_ms, key, n)     open windows after batch <id>
-  fires/fire_b=<id>    ([partition,] window_end_ms, key, n)   what batch <id>'s watermark emitted
-
-Per micro-batch: pre-aggregate the batch to (window, key, n, max ts); watermark = max(previous watermark read
-from batches/, max ts - delay); merge with the previous live generation; windows with end < watermark go to
-fires/, the rest to live/. Each output is an overwrite of the folder named by the batch id, so a batch replayed
-after a failure rewrites the same files (idempotent). Cost per batch: one shuffle of the batch plus the open
-windows (never the emitted history)."""
+  log/               (b, t_ms, wm_ms)       appended, one row per batch, written last (the commit marker)
+  windows/           (b, window_end_ms)     appended index: which windows each batch added counts to
+  deltas/b=<id>/     (window_end_ms, key, n)  the batch's rows counted per window and key, sorted by window
+  fires/fire_b=<id>/ ([partition,] window_end_ms, key, n)   what batch <id> emitted
+
+Per micro-batch: pre-aggregate the batch to (window, key, n) and write it as the batch's delta; watermark =
+max(previous watermark from log/, max ts - delay). Windows in [previous watermark, watermark) close now: the index
+names the batches holding counts for them, and only those delta folders are read (explicit paths, no listing of
+the whole state; row groups pruned by window statistics) and summed; rows of this batch for windows below the
+previous watermark are late and fire as they are. Live state is the sum of the
+deltas of windows at or above the watermark, computed when read. So a batch costs its own size plus the windows it
+closes; open state is never rewritten. Deltas and fires are overwrites of folders named by the batch id and the
+appended log/index rows are de-duplicated on read, so a batch replayed after a failure changes nothing."""
 
 from __future__ import annotations
 
@@ -27,6 +31,7 @@ from windowstate.functions.align import window_end
 from windowstate.functions.keyhash import key_partition
 
 LIVE_SCHEMA = "window_end_ms bigint, key bigint, n bigint"
+LOG_SCHEMA = "b bigint, t_ms bigint, wm_ms bigint"
 
 
 def _read_or_none(spark: SparkSession, path: str) -> DataFrame | None:
@@ -36,6 +41,32 @@ def _read_or_none(spark: SparkSession, path: str) -> DataFrame | None:
         return None
 
 
+def read_batches(spark: SparkSession, state_dir: str) -> DataFrame:
+    """`(b, t_ms, wm_ms)` of committed batches (a replayed batch appears once)."""
+    log = _read_or_none(spark, f"{state_dir.rstrip('/')}/log")
+    if log is None:
+        return spark.createDataFrame([], LOG_SCHEMA)
+    return log.groupBy("b").agg(F.max("t_ms").alias("t_ms"), F.max("wm_ms").alias("wm_ms"))
+
+
+def _delta_batches(spark: SparkSession, state_dir: str, cond, max_b: int) -> list[int]:
+    """Batches <= max_b whose deltas hold counts for windows matching `cond` (from the index; a short list)."""
+    idx = _read_or_none(spark, f"{state_dir}/windows")
+    if idx is None:
+        return []
+    rows = idx.filter((F.col("b") <= max_b) & cond).select("b").distinct().collect()
+    return sorted(r[0] for r in rows)
+
+
+def _window_deltas(spark: SparkSession, state_dir: str, batches: list[int], cond) -> DataFrame | None:
+    if not batches:
+        return None
+    base = f"{state_dir}/deltas"
+    d = spark.read.option("basePath", base).parquet(*[f"{base}/b={b}" for b in batches])
+    return d.select(F.col("window_end_ms").cast("bigint"), F.col("key").cast("bigint"),
+                    F.col("n").cast("bigint")).filter(cond)
+
+
 class RefireWriter:
     """foreachBatch function: `query = stream.writeStream.foreachBatch(RefireWriter(...)).start()`.
 
@@ -50,25 +81,30 @@ class RefireWriter:
         self.n_partitions = n_partitions
         self.clock = clock or (lambda _b: int(time.time() * 1000))
 
+    def _write_delta(self, counts: DataFrame, batch_id: int) -> None:
+        # sorted by window inside each file, so a read for some windows skips other row groups
+        (counts.select("window_end_ms", "key", "n").hint("rebalance").sortWithinPartitions("window_end_ms")
+         .write.mode("overwrite").parquet(f"{self.state_dir}/deltas/b={batch_id}"))
+        (counts.select(F.lit(batch_id).cast("bigint").alias("b"), "window_end_ms").distinct().coalesce(1)
+         .write.mode("append").parquet(f"{self.state_dir}/windows"))
+
+    def _commit(self, spark: SparkSession, batch_id: int, t_ms: int, wm: int | None) -> None:
+        (spark.createDataFrame([(batch_id, t_ms, wm)], LOG_SCHEMA).coalesce(1)
+         .write.mode("append").parquet(f"{self.state_dir}/log"))
+
+    def _fires_frame(self, fires: DataFrame) -> DataFrame:
+        if self.n_partitions:
+            return key_partition(fires, "key", self.n_partitions).select("partition", "window_end_ms", "key", "n")
+        return fires.select("window_end_ms", "key", "n")
+
     def seed(self, live: DataFrame, watermark_ms: int | None, t_ms: int | None = None) -> None:
         """T9 from a table: start from given open windows `(window_end_ms, key, n)` and watermark, as batch -1
         (before the stream's first batch). Only for a fresh state folder."""
         spark = live.sparkSession
-        live.select("window_end_ms", F.col("key").cast("bigint"), F.col("n").cast("bigint")) \
-            .write.mode("overwrite").parquet(f"{self.state_dir}/live/gen=-1")
-        spark.createDataFrame([], "partition int, window_end_ms bigint, key bigint, n bigint") \
-            .select(*(["partition"] if self.n_partitions else []), "window_end_ms", "key", "n") \
-            .write.mode("overwrite").parquet(f"{self.state_dir}/fires/fire_b=-1")
-        (spark.createDataFrame([(-1, self.clock(-1) if t_ms is None else t_ms, watermark_ms)],
-                               "b bigint, t_ms bigint, wm_ms bigint")
-         .write.mode("overwrite").parquet(f"{self.state_dir}/batches/b=-1"))
-
-    def _previous(self, spark: SparkSession, batch_id: int):
-        log = _read_or_none(spark, f"{self.state_dir}/batches")
-        if log is None:
-            return None, None
-        prev = log.filter(F.col("b") < batch_id).agg(F.max("b").alias("b"), F.max("wm_ms").alias("wm")).first()
-        return prev["b"], prev["wm"]
+        self._write_delta(live.select("window_end_ms", F.col("key").cast("bigint"), F.col("n").cast("bigint")), -1)
+        (self._fires_frame(spark.createDataFrame([], LIVE_SCHEMA)).write.mode("overwrite")
+         .parquet(f"{self.state_dir}/fires/fire_b=-1"))
+        self._commit(spark, -1, self.clock(-1) if t_ms is None else t_ms, watermark_ms)
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
@@ -77,31 +113,31 @@ class RefireWriter:
                .groupBy("window_end_ms", "key").agg(F.count(F.lit(1)).alias("n"), F.max("ts_ms").alias("mx"))
                .persist())
         max_ts = pre.agg(F.max("mx")).first()[0]
-        prev_b, prev_wm = self._previous(spark, batch_id)
+        prev = read_batches(spark, self.state_dir).filter(F.col("b") < batch_id) \
+            .agg(F.max("b").alias("b"), F.max("wm_ms").alias("wm")).first()
+        prev_b, prev_wm = prev["b"], prev["wm"]
         cands = [w for w in (prev_wm, None if max_ts is None else max_ts - self.delay_ms) if w is not None]
         wm = max(cands) if cands else None
-        merged = pre.select("window_end_ms", "key", "n")
-        if prev_b is not None:
-            prev_live = _read_or_none(spark, f"{self.state_dir}/live/gen={prev_b}")
-            if prev_live is not None:
-                merged = merged.unionByName(prev_live)
-        merged = merged.groupBy("window_end_ms", "key").agg(F.sum("n").cast("bigint").alias("n")).persist()
-        closed = F.col("window_end_ms") < F.lit(wm) if wm is not None else F.lit(False)
-        fires = merged.filter(closed)
-        if self.n_partitions:
-            fires = key_partition(fires, "key", self.n_partitions).select("partition", "window_end_ms", "key", "n")
-        fires.write.mode("overwrite").parquet(f"{self.state_dir}/fires/fire_b={batch_id}")
-        merged.filter(~closed).write.mode("overwrite").parquet(f"{self.state_dir}/live/gen={batch_id}")
-        (spark.createDataFrame([(batch_id, self.clock(batch_id), wm)], "b bigint, t_ms bigint, wm_ms bigint")
-         .coalesce(1).write.mode("overwrite").parquet(f"{self.state_dir}/batches/b={batch_id}"))
-        merged.unpersist()
+        self._write_delta(pre, batch_id)
+        e = F.col("window_end_ms")
+        if wm is None:
+            fires = spark.createDataFrame([], LIVE_SCHEMA)
+        else:
+            closing = (e < F.lit(wm)) if prev_wm is None else ((e >= F.lit(prev_wm)) & (e < F.lit(wm)))
+            late = (e < F.lit(prev_wm)) if prev_wm is not None else F.lit(False)
+            fires = pre.filter(closing | late).select("window_end_ms", "key", "n")
+            if prev_b is not None:
+                older = _window_deltas(spark, self.state_dir,
+                                       _delta_batches(spark, self.state_dir, closing, prev_b), closing)
+                if older is not None:
+                    fires = fires.unionByName(older)
+            fires = fires.groupBy("window_end_ms", "key").agg(F.sum("n").cast("bigint").alias("n"))
+        (self._fires_frame(fires).hint("rebalance").write.mode("overwrite")
+         .parquet(f"{self.state_dir}/fires/fire_b={batch_id}"))
+        self._commit(spark, batch_id, self.clock(batch_id), wm)
         pre.unpersist()
 
 
-def read_batches(spark: SparkSession, state_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{state_dir}/batches").select(F.col("b").cast("bigint"), "t_ms", "wm_ms")
-
-
 def read_fire_log(spark: SparkSession, state_dir: str) -> DataFrame:
     """`(fire_b, [partition,] window_end_ms, key, n)` of committed batches."""
     fires = spark.read.parquet(f"{state_dir}/fires").withColumn("fire_b", F.col("fire_b").cast("bigint"))
@@ -112,13 +148,20 @@ def read_fire_log(spark: SparkSession, state_dir: str) -> DataFrame:
 
 
 def read_live(spark: SparkSession, state_dir: str, batch: int | None = None) -> DataFrame:
-    """Open windows after `batch` (default: the last committed batch)."""
+    """Open windows after `batch` (default: the last committed batch): deltas of committed batches <= batch for
+    windows at or above that batch's watermark (never fired), summed."""
+    state_dir = state_dir.rstrip("/")
     log = read_batches(spark, state_dir)
-    b = log.agg(F.max("b")).first()[0] if batch is None else \
-        log.filter(F.col("b") <= batch).agg(F.max("b")).first()[0]
-    if b is None:
+    if batch is not None:
+        log = log.filter(F.col("b") <= batch)
+    last = log.agg(F.max("b").alias("b"), F.max("wm_ms").alias("wm")).first()
+    if last["b"] is None:
+        return spark.createDataFrame([], LIVE_SCHEMA)
+    is_open = F.col("window_end_ms") >= F.lit(last["wm"]) if last["wm"] is not None else F.lit(True)
+    deltas = _window_deltas(spark, state_dir, _delta_batches(spark, state_dir, is_open, last["b"]), is_open)
+    if deltas is None:
         return spark.createDataFrame([], LIVE_SCHEMA)
-    return spark.read.parquet(f"{state_dir}/live/gen={b}")
+    return deltas.groupBy("window_end_ms", "key").agg(F.sum("n").cast("bigint").alias("n"))
 
 
 def read_retained(spark: SparkSession, state_dir: str, at_ms: int, delay_ms: int, batch: int | None = None,
