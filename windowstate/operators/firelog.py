@@ -28,7 +28,7 @@ from windowstate.operators.scale import checked_broadcast, col_or_lit, first_mar
 class Replay:
     pre: DataFrame    # (b, window_end_ms, key, n, max_ts_ms), persisted
     log: DataFrame    # (b, t_ms, wm_ms), cached, one row per batch
-    fired: DataFrame  # (b, window_end_ms, key, n, first_b, fire_b), persisted
+    fired: DataFrame  # (b, window_end_ms, key, n, first_b, fire_b): narrow broadcast join over `pre`
     n_batches: int    # rows of log
     n_windows: int    # distinct window ends
 
@@ -75,9 +75,9 @@ def replay(rows: DataFrame, size_ms: int, delay_ms: int = 0, t_ms: Column | None
     # one row per distinct window end (bounded by time span / window size; counted): broadcast within the limit
     fe, n_windows = first_fire(pre, log, n_batches)
     fe = checked_broadcast(fe, bound=n_windows)
+    # a map-side join against the broadcast first-fire table: cheap to recompute from the persisted pre-aggregate
     fired = (pre.drop("max_ts_ms").join(fe, "window_end_ms", "left")
-             .withColumn("fire_b", F.when(F.col("first_b").isNotNull(), F.greatest(F.col("b"), F.col("first_b"))))
-             .persist())
+             .withColumn("fire_b", F.when(F.col("first_b").isNotNull(), F.greatest(F.col("b"), F.col("first_b")))))
     return Replay(pre, log, fired, n_batches, n_windows)
 
 
