@@ -1,5 +1,7 @@
 """Structured Streaming: strict close, drop mode = batch formula, resume, state reads, re-fire writer, listener."""
 
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -101,8 +103,13 @@ def test_memory_sink_listener_and_stop(spark):
         assert q.isActive and len(q.recentProgress) >= 2
         q.stop()  # T11: cancellation
         assert not q.isActive
+        for _ in range(20):  # listener events arrive asynchronously
+            if listener.events:
+                break
+            time.sleep(0.5)
     finally:
         spark.streams.removeListener(listener)
+    assert listener.events and {"batch_id", "rows", "state_rows", "dropped"} <= set(listener.events[0])
 
 
 @pytest.mark.parametrize("strict,expected", [(True, set()), (False, {(10, 1, 1)})])

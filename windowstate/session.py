@@ -38,27 +38,15 @@ def get_session(cpus: int | str = "*", shuffle_partitions: int = 8, app: str = "
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for checkpoints and derived tables.
 
-    Read from ``spark.checkpoint.dir`` (the cluster names it); only when it is unset, as in local tests,
-    set a fresh one under the system temp folder."""
+    The cluster names it in ``spark.checkpoint.dir`` (the context then holds a per-application subfolder); only
+    when it is unset, as in local tests, a fresh one is set under the system temp folder."""
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
-        return current.rstrip("/").rsplit("/", 1)[0] if _is_context_subdir(current) else current
+        return current
     conf_dir = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
-    if not conf_dir:
-        conf_dir = tempfile.mkdtemp(prefix="windowstate-ckpt-")
-    sc.setCheckpointDir(conf_dir)
-    return conf_dir
-
-
-def _is_context_subdir(path: str) -> bool:
-    # setCheckpointDir appends a per-context uuid folder
-    last = path.rstrip("/").rsplit("/", 1)[-1]
-    try:
-        uuid.UUID(last)
-        return True
-    except ValueError:
-        return False
+    sc.setCheckpointDir(conf_dir or tempfile.mkdtemp(prefix="windowstate-ckpt-"))
+    return sc.getCheckpointDir()
 
 
 def scratch_dir(spark: SparkSession, tag: str) -> str:
