@@ -103,3 +103,12 @@ def test_against_simulation(spark, seed):
     total = sum(r.n for r in flog.collect()) + sum(live.values())
     assert total == len(rows)
     rp.unpersist()
+
+
+def test_retained_since_restart(spark):
+    """After a restart at t=105 the reference has lost the windows retained by the fire at t=103."""
+    rp = _replay(spark, FIX_ROWS, 10, FIX_T)
+    flog = firelog.fire_log(rp.fired, 1)
+    kept = retention.retained_view(flog, rp.log, 1, 104, 5)
+    lost = retention.retained_view(flog, rp.log, 1, 104, 5, retained_since=105)
+    assert kept.count() == 2 and lost.count() == 0

@@ -17,10 +17,15 @@ from pyspark.sql import functions as F
 from windowstate.operators.scale import checked_broadcast
 
 
-def current_fires(flog: DataFrame, log: DataFrame, batch: int, at_ms: int, delay_ms: int) -> DataFrame:
-    """`(partition, fire_b)`: fires whose windows are retained at time `at_ms`, after batch `batch`."""
+def current_fires(flog: DataFrame, log: DataFrame, batch: int, at_ms: int, delay_ms: int,
+                  retained_since: int | None = None) -> DataFrame:
+    """`(partition, fire_b)`: fires whose windows are retained at time `at_ms`, after batch `batch`.
+    `retained_since` (a restart time) reproduces the reference losing retained windows on restart: fires before
+    it are ignored (ours keep them by default, since they come from the durable fire log)."""
     fires = (flog.filter(F.col("fire_b") <= F.lit(batch)).select("partition", "fire_b").distinct()
              .join(log.select(F.col("b").alias("fire_b"), "t_ms"), "fire_b"))
+    if retained_since is not None:
+        fires = fires.filter(F.col("t_ms") >= F.lit(retained_since))
     by_p = Window.partitionBy("partition").orderBy("t_ms", "fire_b")
     gap = F.col("t_ms") - F.lag("t_ms").over(by_p)
     fires = fires.withColumn("__new", F.when(gap > F.lit(delay_ms), 1).otherwise(0))
@@ -34,13 +39,13 @@ def current_fires(flog: DataFrame, log: DataFrame, batch: int, at_ms: int, delay
 
 def retained_view(flog: DataFrame, log: DataFrame, batch: int, at_ms: int, delay_ms: int,
                   n_partitions: int | None = None, n_batches: int | None = None,
-                  n_windows: int | None = None) -> DataFrame:
+                  n_windows: int | None = None, retained_since: int | None = None) -> DataFrame:
     """`(partition, window_end_ms, key, n, fire_b)`: emitted counts still readable at `at_ms` after `batch`.
     `flog` is a fire log with a partition column (fire_log(..., n_partitions=n)); it is read three times, so
     pass a persisted one. With the partition, batch and window counts known, the two small tables are broadcast
     on their proven bounds (partitions x batches, partitions x windows) instead of being counted."""
     known = n_partitions is not None
-    cur = checked_broadcast(current_fires(flog, log, batch, at_ms, delay_ms),
+    cur = checked_broadcast(current_fires(flog, log, batch, at_ms, delay_ms, retained_since),
                             bound=n_partitions * n_batches if known and n_batches is not None else None)
     in_session = flog.join(cur, ["partition", "fire_b"])
     last = (in_session.groupBy("partition", "window_end_ms").agg(F.max("fire_b").alias("fire_b")))
