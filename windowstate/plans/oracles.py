@@ -53,13 +53,17 @@ WM = f"(select max({MS}) from events)"
 ARRIVAL_B = "((event_id + (event_id*7919) % 500) // 1000)"
 
 
-def _replay_ctes(batch: int, at_ms: int, delay: int, b_expr: str = ARRIVAL_B) -> str:
+def _replay_ctes(batch: int, at_ms: int, delay: int, b_expr: str = ARRIVAL_B, drop: bool = False) -> str:
+    # drop mode: a window fires once, at its first fire batch, with the rows that were not late
+    log0 = ("select raw as fb, e, key, cast(sum(n) as bigint) as n from f where raw is not null and b <= raw "
+            "group by 1,2,3") if drop else \
+        "select fb, e, key, cast(sum(n) as bigint) as n from f where raw is not null group by 1,2,3"
     return f"""with ev as (select {MS} as ts_ms, user_id as key, {b_expr} as b from events),
 bt as (select b, 1000*b as t, max(max(ts_ms)) over (order by b) as wm from ev group by b),
 pre as (select b, ts_ms - ts_ms % {S} + {S} as e, key, count(*) as n from ev group by 1,2,3),
 fe as (select e, min(bt.b) as fb from (select distinct e from pre) x join bt on bt.wm > x.e group by e),
 f as (select pre.*, greatest(pre.b, fe.fb) as fb, fe.fb as raw from pre left join fe on pre.e = fe.e),
-log0 as (select fb, e, key, cast(sum(n) as bigint) as n from f where raw is not null group by 1,2,3),
+log0 as ({log0}),
 log as ({partition_sql('select * from log0', N_PARTITIONS, 'p')}),
 lf as (select * from log where fb <= {batch}),
 ft as (select distinct p, lf.fb, bt.t from lf join bt on bt.b = lf.fb),
@@ -200,3 +204,8 @@ _LAST_B = "(select max(b) from ev)"
 ORACLES["q28_lookup_stream"] = _replay_ctes(_LAST_B, f"1000 * {_LAST_B}", CLEANUP_MS) + ", " + _answers(
     """select coalesce(l.e, r.e) as window_end_ms, coalesce(l.key, r.key) as key, coalesce(l.n, r.n) as n
        from live l full join (select e, key, n from ret) r on l.e = r.e and l.key = r.key""")
+
+ORACLES["q29_stream_lookup_drop"] = _replay_ctes(_LAST_B, f"1000 * {_LAST_B}", CLEANUP_MS, drop=True) + ", " + _answers(
+    """select coalesce(l.e, r.e) as window_end_ms, coalesce(l.key, r.key) as key, coalesce(l.n, r.n) as n
+       from (select e, key, cast(sum(n) as bigint) as n from f where raw is null group by 1, 2) l
+       full join (select e, key, n from ret) r on l.e = r.e and l.key = r.key""")

@@ -11,7 +11,7 @@ from windowstate.sources.tables import arrival_rows, read_table
 from windowstate.streaming import filereplay as replay
 from windowstate.streaming import refire
 from windowstate.streaming.state import read_count_state
-from windowstate.streaming.windowed import start_count, windowed_count, with_event_time
+from windowstate.streaming.windowed import EmitLog, start_count, windowed_count, with_event_time
 
 ROW_SCHEMA = "ts_ms bigint, key bigint"
 INGEST_WINDOW_MS = 2_000   # arrival-time windows of the ingestion-time query (two replay batches each)
@@ -100,6 +100,27 @@ def q25_ingestion_time(spark, sf):
     return tumbling_count(rows, INGEST_WINDOW_MS)
 
 
+def q29_stream_lookup_drop(spark, sf):
+    """Lookups over the built-in (drop-mode) stream: live windows from its state store, emitted windows kept by
+    an EmitLog sink and read through the retention view at the last batch's time."""
+    from windowstate.operators.lookups import lookup
+    from windowstate.plans.catalog import _requests
+    run = replay.new_run(spark, "q29", ROW_SCHEMA)
+    state_dir = f"{run.root}/state"
+    current = {"b": 0}
+    sink = EmitLog(state_dir, N_PARTITIONS, clock=lambda _id: 1000 * current["b"])
+
+    def start(src: DataFrame, r: replay.ReplayRun):
+        counts = windowed_count(with_event_time(src), HOUR_MS, delay_ms=0, strict=True)
+        return (counts.writeStream.outputMode("append").foreachBatch(sink)
+                .option("checkpointLocation", r.checkpoint).trigger(availableNow=True).start())
+
+    replay.replay(spark, _rows(spark, sf), run, start, before_run=lambda grp: current.update(b=grp[-1]))
+    live = read_count_state(spark, run.checkpoint)
+    retained = refire.read_retained(spark, state_dir, at_ms=1000 * current["b"], delay_ms=CLEANUP_MS)
+    return lookup(_requests(spark, sf), live, HOUR_MS, retained=retained)
+
+
 STREAM_QUERIES = {
     "q20_stream_count": q20_stream_count,
     "q21_state_read": q21_state_read,
@@ -108,4 +129,5 @@ STREAM_QUERIES = {
     "q24_stream_refire": q24_stream_refire,
     "q25_ingestion_time": q25_ingestion_time,
     "q28_lookup_stream": q28_lookup_stream,
+    "q29_stream_lookup_drop": q29_stream_lookup_drop,
 }

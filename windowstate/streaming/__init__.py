@@ -4,11 +4,11 @@ from windowstate.streaming.refire import (LookupWriter, RefireWriter, read_batch
                                          read_retained)
 from windowstate.streaming.filereplay import ReplayRun, new_run, replay
 from windowstate.streaming.state import read_count_state, state_inventory
-from windowstate.streaming.windowed import (ProgressLog, start_count, windowed_count, with_event_time,
+from windowstate.streaming.windowed import (EmitLog, ProgressLog, start_count, windowed_count, with_event_time,
                                             with_ingestion_time)
 
 __all__ = [
-    "LookupWriter", "ProgressLog", "RefireWriter", "ReplayRun", "new_run", "read_batches", "read_count_state", "read_fire_log",
+    "EmitLog", "LookupWriter", "ProgressLog", "RefireWriter", "ReplayRun", "new_run", "read_batches", "read_count_state", "read_fire_log",
     "read_live", "read_retained", "replay", "start_count", "state_inventory", "windowed_count", "with_event_time",
     "with_ingestion_time",
 ]

@@ -63,11 +63,14 @@ def input_stream(spark: SparkSession, run: ReplayRun) -> DataFrame:
 
 def replay(spark: SparkSession, rows: DataFrame | None, run: ReplayRun,
            start: Callable[[DataFrame, ReplayRun], StreamingQuery], batches: list[int] | None = None,
-           groups: list[list[int]] | None = None) -> ReplayRun:
+           groups: list[list[int]] | None = None,
+           before_run: Callable[[list[int]], None] | None = None) -> ReplayRun:
     """Feed arrival batches one run at a time (or several batches per run with `groups`), restarting the query
-    from its checkpoint for each run."""
+    from its checkpoint for each run. `before_run(group)` is called before each run (e.g. to set a replay clock)."""
     all_batches = stage(rows, run) if batches is None else batches
     for grp in (groups or [[b] for b in all_batches]):
+        if before_run is not None:
+            before_run(grp)
         for b in grp:
             feed(spark, run, b)
         q = start(input_stream(spark, run), run)

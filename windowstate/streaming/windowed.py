@@ -49,6 +49,28 @@ def start_count(counts: DataFrame, sink_path: str, checkpoint: str, fmt: str = "
     return w.trigger(**(trigger or {"availableNow": True})).start()
 
 
+class EmitLog:
+    """foreachBatch sink for the built-in windowed count (append mode): writes each micro-batch's emitted windows
+    to `state_dir/fires/fire_b=<id>` (with the key's routing partition) and appends `(b, t_ms)` to `state_dir/log`,
+    the layout the re-fire readers use; so the retained windows of a built-in stream can be read
+    (`refire.read_retained`) and looked up. Writes are keyed by batch id (idempotent on replay)."""
+
+    def __init__(self, state_dir: str, n_partitions: int, clock=None):
+        import time as _time
+        self.state_dir = state_dir.rstrip("/")
+        self.n_partitions = n_partitions
+        self.clock = clock or (lambda _b: int(_time.time() * 1000))
+
+    def __call__(self, emitted: DataFrame, batch_id: int) -> None:
+        from windowstate.functions.keyhash import key_partition
+        spark = emitted.sparkSession
+        (key_partition(emitted.select("window_end_ms", "key", "n"), "key", self.n_partitions)
+         .select("partition", "window_end_ms", "key", "n").hint("rebalance").write.mode("overwrite")
+         .parquet(f"{self.state_dir}/fires/fire_b={batch_id}"))
+        (spark.createDataFrame([(batch_id, self.clock(batch_id), None)], "b bigint, t_ms bigint, wm_ms bigint")
+         .coalesce(1).write.mode("append").parquet(f"{self.state_dir}/log"))
+
+
 class ProgressLog(StreamingQueryListener):
     """Collects per-batch progress (batch id, rows, watermark, state rows, late rows dropped)."""
 
