@@ -28,6 +28,7 @@ class ReplayRun:
     output: str
     schema: str
     batch_ids: dict[int, int] = field(default_factory=dict)  # arrival batch -> last streaming batch id
+    n_rows: int | None = None                                 # staged rows (sizes the state partitions)
 
     def batch_id_at(self, arrival_batch: int) -> int:
         """Streaming batch id holding the state after the last fed arrival batch <= `arrival_batch`."""
@@ -47,8 +48,9 @@ def stage(rows: DataFrame, run: ReplayRun, batch_col: str = "b") -> list[int]:
     staged = f"{run.root}/staged"
     rows.write.mode("overwrite").partitionBy(batch_col).parquet(staged)
     spark = rows.sparkSession
-    batches = [r[0] for r in spark.read.parquet(staged).select(batch_col).distinct().orderBy(batch_col).collect()]
-    return batches
+    st = spark.read.parquet(staged)
+    run.n_rows = st.count()
+    return [r[0] for r in st.select(batch_col).distinct().orderBy(batch_col).collect()]
 
 
 def feed(spark: SparkSession, run: ReplayRun, b: int, batch_col: str = "b") -> None:
@@ -57,6 +59,29 @@ def feed(spark: SparkSession, run: ReplayRun, b: int, batch_col: str = "b") -> N
      .write.mode("overwrite").parquet(f"{run.input_dir}/{batch_col}={b:09d}"))
 
 
+# Input rows per stateful partition when a replay sizes its state partitions (capped by the session setting).
+ROWS_PER_STATE_PARTITION = 2_000_000
+
+
+def state_partitions(spark: SparkSession, n_rows: int | None) -> int:
+    session = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if n_rows is None:
+        return session
+    return max(1, min(session, -(-n_rows // ROWS_PER_STATE_PARTITION)))
+
+
+def _start_sized(spark: SparkSession, run: ReplayRun, start) -> StreamingQuery:
+    """Start with the state partition count sized to the replayed rows. The count is fixed in the checkpoint by
+    the first start (later restarts reuse it); the session setting is restored right after start()."""
+    key = "spark.sql.shuffle.partitions"
+    prev = spark.conf.get(key)
+    spark.conf.set(key, str(state_partitions(spark, run.n_rows)))
+    try:
+        return start(input_stream(spark, run), run)
+    finally:
+        spark.conf.set(key, prev)
+
+
 def input_stream(spark: SparkSession, run: ReplayRun) -> DataFrame:
     return spark.readStream.schema(run.schema).parquet(f"{run.input_dir}/*")
 
@@ -73,7 +98,7 @@ def replay(spark: SparkSession, rows: DataFrame | None, run: ReplayRun,
             before_run(grp)
         for b in grp:
             feed(spark, run, b)
-        q = start(input_stream(spark, run), run)
+        q = _start_sized(spark, run, start)
         q.awaitTermination()
         if q.exception():
             raise q.exception()
