@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from windowstate.operators import firelog
 from windowstate.streaming import filereplay, refire
 from windowstate.streaming.state import read_count_state, state_inventory
-from windowstate.streaming.windowed import (ProgressLog, start_count, windowed_count, with_event_time,
+from windowstate.streaming.windowed import (AVAILABLE_NOW, ProgressLog, start_count, windowed_count, with_event_time,
                                             with_ingestion_time)
 
 SCHEMA = "ts_ms bigint, key bigint"
@@ -24,7 +24,7 @@ def _count_run(spark, tag, groups=None, size=10):
     batches = filereplay.stage(_rows(spark), run)
 
     def start(src, r):
-        return start_count(windowed_count(with_event_time(src), size), r.output, r.checkpoint)
+        return start_count(windowed_count(with_event_time(src), size), r.output, r.checkpoint, trigger=AVAILABLE_NOW)
 
     if groups is not None:
         groups = [[b for b in batches if g(b)] for g in groups]
@@ -118,7 +118,7 @@ def test_strict_close_in_stream(spark, strict, expected):
     run = filereplay.new_run(spark, f"t-strict-{strict}", SCHEMA)
     spark.createDataFrame([(5, 1), (10, 2)], SCHEMA).write.parquet(f"{run.input_dir}/b=0")
     counts = windowed_count(with_event_time(filereplay.input_stream(spark, run)), 10, strict=strict)
-    start_count(counts, run.output, run.checkpoint).awaitTermination()
+    start_count(counts, run.output, run.checkpoint, trigger=AVAILABLE_NOW).awaitTermination()
     assert {tuple(r) for r in spark.read.parquet(run.output).collect()} == expected
 
 

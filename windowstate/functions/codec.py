@@ -24,7 +24,8 @@ def _c(x: Column | str) -> Column:
 
 def parse_long(text: Column | str, invalid: int | None = INVALID_KEY) -> Column:
     """Decimal text (or UTF-8 bytes) -> bigint. Anything unparsable, including overflow, becomes `invalid`
-    (default -1, mixed with genuine -1 values; pass invalid=None to get null and filter those rows)."""
+    (default -1, mixed with genuine -1 values; pass invalid=None to get null and filter those rows).
+    Digits are ASCII only; the reference's parser would also accept other Unicode decimal digits."""
     s = _c(text).cast("string")
     parsed = F.when(s.rlike(LONG_PATTERN), s.try_cast("bigint"))
     return parsed if invalid is None else F.coalesce(parsed, F.lit(invalid).cast("bigint"))

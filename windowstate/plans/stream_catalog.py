@@ -11,7 +11,7 @@ from windowstate.sources.tables import arrival_rows, read_table
 from windowstate.streaming import filereplay as replay
 from windowstate.streaming import refire
 from windowstate.streaming.state import read_count_state
-from windowstate.streaming.windowed import EmitLog, start_count, windowed_count, with_event_time
+from windowstate.streaming.windowed import AVAILABLE_NOW, EmitLog, start_count, windowed_count, with_event_time
 
 ROW_SCHEMA = "ts_ms bigint, key bigint"
 INGEST_WINDOW_MS = 2_000   # arrival-time windows of the ingestion-time query (two replay batches each)
@@ -25,7 +25,7 @@ def _rows(spark: SparkSession, sf: str) -> DataFrame:
 def _count_starter(counts_sink_fmt: str = "parquet"):
     def start(src: DataFrame, run: replay.ReplayRun):
         counts = windowed_count(with_event_time(src), HOUR_MS, delay_ms=0, strict=True)
-        return start_count(counts, run.output, run.checkpoint, fmt=counts_sink_fmt)
+        return start_count(counts, run.output, run.checkpoint, fmt=counts_sink_fmt, trigger=AVAILABLE_NOW)
     return start
 
 
