@@ -74,12 +74,23 @@ class RefireWriter:
     (default: wall clock); replays pass a deterministic one."""
 
     def __init__(self, state_dir: str, size_ms: int, delay_ms: int = 0, n_partitions: int | None = None,
-                 clock: Callable[[int], int] | None = None):
+                 clock: Callable[[int], int] | None = None, sink_dir: str | None = None):
         self.state_dir = state_dir.rstrip("/")
         self.size_ms = size_ms
         self.delay_ms = delay_ms
         self.n_partitions = n_partitions
         self.clock = clock or (lambda _b: int(time.time() * 1000))
+        self.sink_dir = sink_dir.rstrip("/") if sink_dir else None
+        self._prepared = False
+
+    def prepare(self, spark: SparkSession) -> None:
+        """Create the (empty) batch log and window index, so the first batch reads them instead of a missing path.
+        Appending zero rows is idempotent."""
+        if not self._prepared:
+            spark.createDataFrame([], LOG_SCHEMA).write.mode("append").parquet(f"{self.state_dir}/log")
+            spark.createDataFrame([], "b bigint, window_end_ms bigint").write.mode("append") \
+                .parquet(f"{self.state_dir}/windows")
+            self._prepared = True
 
     def _write_delta(self, counts: DataFrame, batch_id: int) -> None:
         # sorted by window inside each file, so a read for some windows skips other row groups
@@ -101,6 +112,7 @@ class RefireWriter:
         """T9 from a table: start from given open windows `(window_end_ms, key, n)` and watermark, as batch -1
         (before the stream's first batch). Only for a fresh state folder."""
         spark = live.sparkSession
+        self.prepare(spark)
         self._write_delta(live.select("window_end_ms", F.col("key").cast("bigint"), F.col("n").cast("bigint")), -1)
         (self._fires_frame(spark.createDataFrame([], LIVE_SCHEMA)).write.mode("overwrite")
          .parquet(f"{self.state_dir}/fires/fire_b=-1"))
@@ -108,6 +120,7 @@ class RefireWriter:
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
+        self.prepare(spark)
         pre = (batch.select(window_end("ts_ms", self.size_ms).alias("window_end_ms"), F.col("key").cast("bigint"),
                             F.col("ts_ms"))
                .groupBy("window_end_ms", "key").agg(F.count(F.lit(1)).alias("n"), F.max("ts_ms").alias("mx"))
@@ -134,6 +147,10 @@ class RefireWriter:
             fires = fires.groupBy("window_end_ms", "key").agg(F.sum("n").cast("bigint").alias("n"))
         (self._fires_frame(fires).hint("rebalance").write.mode("overwrite")
          .parquet(f"{self.state_dir}/fires/fire_b={batch_id}"))
+        if self.sink_dir:  # S3: emitted pairs as '(key,count)' text, one folder per batch (idempotent)
+            from windowstate.sources.sinks import pairs_frame
+            pairs_frame(spark.read.parquet(f"{self.state_dir}/fires/fire_b={batch_id}")) \
+                .write.mode("overwrite").text(f"{self.sink_dir}/batch={batch_id}")
         self._commit(spark, batch_id, self.clock(batch_id), wm)
         pre.unpersist()
 

@@ -61,11 +61,12 @@ class EmitLog:
     the layout the re-fire readers use; so the retained windows of a built-in stream can be read
     (`refire.read_retained`) and looked up. Writes are keyed by batch id (idempotent on replay)."""
 
-    def __init__(self, state_dir: str, n_partitions: int, clock=None):
+    def __init__(self, state_dir: str, n_partitions: int, clock=None, sink_dir: str | None = None):
         import time as _time
         self.state_dir = state_dir.rstrip("/")
         self.n_partitions = n_partitions
         self.clock = clock or (lambda _b: int(_time.time() * 1000))
+        self.sink_dir = sink_dir.rstrip("/") if sink_dir else None
 
     def __call__(self, emitted: DataFrame, batch_id: int) -> None:
         from windowstate.functions.keyhash import key_partition
@@ -73,6 +74,10 @@ class EmitLog:
         (key_partition(emitted.select("window_end_ms", "key", "n"), "key", self.n_partitions)
          .select("partition", "window_end_ms", "key", "n").hint("rebalance").write.mode("overwrite")
          .parquet(f"{self.state_dir}/fires/fire_b={batch_id}"))
+        if self.sink_dir:  # S3: emitted pairs as '(key,count)' text, one folder per batch (idempotent)
+            from windowstate.sources.sinks import pairs_frame
+            pairs_frame(spark.read.parquet(f"{self.state_dir}/fires/fire_b={batch_id}")) \
+                .write.mode("overwrite").text(f"{self.sink_dir}/batch={batch_id}")
         (spark.createDataFrame([(batch_id, self.clock(batch_id), None)], "b bigint, t_ms bigint, wm_ms bigint")
          .coalesce(1).write.mode("append").parquet(f"{self.state_dir}/log"))
 
