@@ -21,20 +21,31 @@ def current_fires(flog: DataFrame, log: DataFrame, batch: int, at_ms: int, delay
                   retained_since: int | None = None) -> DataFrame:
     """`(partition, fire_b)`: fires whose windows are retained at time `at_ms`, after batch `batch`.
     `retained_since` (a restart time) reproduces the reference losing retained windows on restart: fires before
-    it are ignored (ours keep them by default, since they come from the durable fire log)."""
+    it are ignored (ours keep them by default, since they come from the durable fire log).
+
+    A fire starts a session iff no fire of its partition lies in [t - delay, t). With time buckets of width
+    `delay`, that predecessor is either an earlier fire in the same bucket or the previous bucket's latest fire,
+    so the scans are grouped by (partition, bucket) - bounded by delay / trigger interval, not by the number of
+    batches - and the last session start per partition is a plain max aggregate."""
     fires = (flog.filter(F.col("fire_b") <= F.lit(batch)).select("partition", "fire_b").distinct()
              .join(log.select(F.col("b").alias("fire_b"), "t_ms"), "fire_b"))
     if retained_since is not None:
         fires = fires.filter(F.col("t_ms") >= F.lit(retained_since))
-    by_p = Window.partitionBy("partition").orderBy("t_ms", "fire_b")
-    gap = F.col("t_ms") - F.lag("t_ms").over(by_p)
-    fires = fires.withColumn("__new", F.when(gap > F.lit(delay_ms), 1).otherwise(0))
-    fires = fires.withColumn("__sid", F.sum("__new").over(by_p.rowsBetween(Window.unboundedPreceding, 0)))
-    whole_p = Window.partitionBy("partition")
-    fires = (fires.withColumn("__last_sid", F.max("__sid").over(whole_p))
-             .withColumn("__last_t", F.max("t_ms").over(whole_p)))
-    return fires.filter((F.col("__sid") == F.col("__last_sid")) &
-                        (F.lit(at_ms) <= F.col("__last_t") + F.lit(delay_ms))).select("partition", "fire_b")
+    width = max(int(delay_ms), 1)
+    fires = fires.withColumn("__bucket", F.floor(F.col("t_ms") / F.lit(width)).cast("bigint"))
+    in_bucket = Window.partitionBy("partition", "__bucket").orderBy("t_ms", "fire_b")
+    fires = fires.withColumn("__prev_in", F.lag("t_ms").over(in_bucket))
+    bucket_max = (fires.groupBy("partition", "__bucket").agg(F.max("t_ms").alias("__prev_bucket_max"))
+                  .withColumn("__bucket", F.col("__bucket") + 1))
+    fires = fires.join(bucket_max, ["partition", "__bucket"], "left")
+    prev = F.coalesce(F.col("__prev_in"), F.col("__prev_bucket_max"))
+    # a fire at the same time as another continues its session (gap 0); a gap of exactly `delay` also continues
+    fires = fires.withColumn("__starts", prev.isNull() | (F.col("t_ms") - prev > F.lit(delay_ms)))
+    per_p = fires.groupBy("partition").agg(
+        F.max(F.when(F.col("__starts"), F.col("t_ms"))).alias("__start"), F.max("t_ms").alias("__last_t"))
+    cur = fires.join(per_p, "partition")
+    return cur.filter((F.col("t_ms") >= F.col("__start")) &
+                      (F.lit(at_ms) <= F.col("__last_t") + F.lit(delay_ms))).select("partition", "fire_b")
 
 
 def retained_view(flog: DataFrame, log: DataFrame, batch: int, at_ms: int, delay_ms: int,
