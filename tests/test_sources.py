@@ -15,6 +15,8 @@ def test_decode_keys_on_a_stream(spark):
     assert sorted(r.key for r in spark.sql("select key from decoded").collect()) == [-3, -1, -1, 12]
     dropped = decode_keys(spark.createDataFrame([("1",), ("y",)], "value string"), invalid=None)
     assert [r.key for r in dropped.collect()] == [1]
+    dropped = decode_keys(spark.createDataFrame([("1",), ("y",)], "value string"), drop_invalid=True)
+    assert [r.key for r in dropped.collect()] == [1]
 
 
 def test_key_sequence_stream(spark):

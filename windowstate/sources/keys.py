@@ -10,10 +10,13 @@ from windowstate.functions.timecols import int_div
 
 
 def decode_keys(df: DataFrame, value_col: str = "value", invalid: int | None = INVALID_KEY,
-                time_col: str | None = None) -> DataFrame:
+                time_col: str | None = None, drop_invalid: bool = False) -> DataFrame:
     """`value` (binary or string) -> `key bigint` with the strict decimal parse; unparsable -> `invalid`
-    (-1 by default, counted like any key); invalid=None drops those rows instead. Works on batch and streaming
-    frames alike; with Kafka pass time_col='timestamp' to keep the record time."""
+    (-1 by default, counted like any key, as the reference does); drop_invalid=True (or invalid=None) drops those
+    rows instead. Works on batch and streaming frames alike; with Kafka pass time_col='timestamp' to keep the
+    record time."""
+    if drop_invalid:
+        invalid = None
     key = parse_long(F.col(value_col), invalid=invalid)
     cols = [key.alias("key")] + ([F.col(time_col).alias("ts")] if time_col else [])
     out = df.select(*cols)
