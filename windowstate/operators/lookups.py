@@ -31,7 +31,8 @@ def _hits(state: DataFrame, wanted: DataFrame, name: str, bound: int | None) ->
 
 def lookup(requests: DataFrame, live: DataFrame, size_ms: int, retained: DataFrame | None = None,
            now_ms: Column | int | None = None, with_text: bool = False) -> DataFrame:
-    """`(req_id, key, window_end_ms, n, found[, answer])` for every request."""
+    """`(req_id, key, window_end_ms, n, found[, answer])` for every request. `live` and `retained`
+    hold one row per (window_end_ms, key), as every state table of this library does."""
     req = align_requests(requests, size_ms, now_ms)
     wanted = req.select("window_end_ms", "key").distinct().cache()
     n_wanted = wanted.count()

@@ -1,8 +1,9 @@
 """Scale helpers: size-checked broadcast and distributed ordered scans.
 
-Ordered scans (running max, "first mark at or after a point") are computed in two levels so no task sees more
-than one range chunk: the input is range-partitioned into chunks, each chunk is scanned by a window partitioned
-by chunk, and the carry between chunks is a scan over one row per chunk (bounded by the chunk count)."""
+Ordered scans (running max, "first mark at or after a point") over at most SINGLE_SCAN_MAX_ROWS counted rows run
+as one ordered window. Larger ones are computed in two levels so no task sees more than one range chunk: the
+input is range-partitioned into chunks, each chunk is scanned by a window partitioned by chunk, and the carry
+between chunks is a scan over one row per chunk (bounded by the chunk count)."""
 
 from __future__ import annotations
 
