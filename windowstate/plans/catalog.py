@@ -209,6 +209,12 @@ def q19_key_sequence(spark, sf):
     return key_sequence(spark, int(stats["k"]), SEQ_PARALLELISM, steps)
 
 
+def q30_state_view(spark, sf):
+    """The queryable state at batch 6 as one table: live rows, then retained rows not shadowed by live ones."""
+    ret, fired = _retained(spark, sf, REPLAY_BATCH, REPLAY_AT_MS, CLEANUP_MS)
+    return lookups.state_view(firelog.live_at(fired, REPLAY_BATCH), ret)
+
+
 def q26_state_size(spark, sf):
     return counts.state_size(q04_open_windows(spark, sf))
 

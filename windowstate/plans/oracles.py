@@ -209,3 +209,9 @@ ORACLES["q29_stream_lookup_drop"] = _replay_ctes(_LAST_B, f"1000 * {_LAST_B}", C
     """select coalesce(l.e, r.e) as window_end_ms, coalesce(l.key, r.key) as key, coalesce(l.n, r.n) as n
        from (select e, key, cast(sum(n) as bigint) as n from f where raw is null group by 1, 2) l
        full join (select e, key, n from ret) r on l.e = r.e and l.key = r.key""")
+
+ORACLES["q30_state_view"] = _replay_ctes(REPLAY_BATCH, REPLAY_AT_MS, CLEANUP_MS) + """
+select e as window_end_ms, key, n, 'live' as origin from live
+union all
+select r.e, r.key, r.n, 'retained' from ret r
+where not exists (select 1 from live l where l.e = r.e and l.key = r.key)"""
