@@ -128,3 +128,14 @@ def test_close_boundary(spark, wm, closed):
     from windowstate.operators.counts import with_closed_flag
     df = spark.createDataFrame([(10, 1, 1)], "window_end_ms long, key long, n long")
     assert with_closed_flag(df, wm).first().closed is closed
+
+
+def test_request_tokens_split_on_whitespace(spark):
+    from windowstate.functions.requests import request_tokens
+    lines = spark.createDataFrame([(0, "1000, 7"), (1, "  8  "), (2, "stop 9")], "line_id long, line string")
+    toks = [r.line for r in request_tokens(lines).orderBy("req_id").collect()]
+    assert toks == ["1000,", "7", "8", "stop", "9"]
+    parsed = request_tokens(lines).select("req_id", parse_request("line", 5).alias("r")).select("req_id", "r.*")
+    from windowstate.functions.requests import until_stop
+    assert [(r.ts_ms, r.key) for r in until_stop(parsed, "req_id").orderBy("req_id").collect()] == \
+        [(5, 1000), (5, 7), (5, 8)]

@@ -47,3 +47,13 @@ def until_stop(requests: DataFrame, order_col: str, command_col: str = "command"
     The first stop position is a scalar subquery (one distributed min), not a driver loop."""
     first_stop = requests.filter(F.col(command_col) == "stop").select(F.min(order_col)).scalar()
     return requests.filter(first_stop.isNull() | (F.col(order_col) < first_stop))
+
+
+def request_tokens(lines: DataFrame, line_col: str = "line", order_col: str = "line_id") -> DataFrame:
+    """Split request lines into whitespace-separated tokens, as the reference client reads them (`1000, 7` is two
+    requests: `1000,` then `7`). Returns `(req_id, line)` with req_id ordering tokens by line, then position."""
+    toks = lines.select(F.col(order_col), F.posexplode(F.split(F.trim(F.col(line_col)), r"\s+")).alias("pos", "tok"))
+    toks = toks.filter(F.col("tok") != "")
+    # dense, order-preserving id: line order first, then token position (bounded per line)
+    return toks.select((F.col(order_col).cast("bigint") * F.lit(1 << 20) + F.col("pos")).alias("req_id"),
+                       F.col("tok").alias("line"))

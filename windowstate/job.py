@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from windowstate.functions.codec import answer_text
-from windowstate.functions.requests import parse_request, until_stop
+from windowstate.functions.requests import parse_request, request_tokens, until_stop
 from windowstate.operators.lookups import lookup
 from windowstate.sources.keys import decode_keys
 from windowstate.streaming.refire import RefireWriter, read_live, read_retained
@@ -115,9 +115,8 @@ def main(argv: list[str] | None = None) -> None:
                              args.late, args.partitions, args.event_time_column, args.available_now)
         q.awaitTermination()
         return
-    lines = (spark.read.text(args.requests).select(F.monotonically_increasing_id().alias("req_id"),
-                                                    F.trim(F.col("value")).alias("line"))
-             .filter(F.col("line") != ""))
+    lines = request_tokens(spark.read.text(args.requests)
+                           .select(F.monotonically_increasing_id().alias("line_id"), F.col("value").alias("line")))
     ans = answer_requests(spark, lines, args.state_path, args.window_size, args.window_cleanup_delay, args.now,
                           args.late)
     if args.output:
