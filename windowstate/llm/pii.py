@@ -123,6 +123,10 @@ def find_pii(docs: DataFrame, kinds: list[Kind] | None = None) -> DataFrame:
     return docs.withColumn("__pii", F.array_sort(F.concat(*[spans_of(text, k) for k in kinds])))
 
 
+def count_of(spans: Column, kind: str) -> Column:
+    return F.size(F.filter(spans, lambda s: s["kind"] == ORDER[kind])).cast("long")
+
+
 def spans_text(spans: Column) -> Column:
     """kind:start:end, comma-joined, in the spans' order."""
     names = F.array(*[F.lit(k.name) for k in KINDS])

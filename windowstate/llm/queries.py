@@ -44,8 +44,7 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find_pii(_read(spark, sf_dir, "documents").select("doc_id", "text"))
     found = found.select("doc_id", "__pii")
     base = [k for k in pii.KINDS if k.base]
-    n = [F.size(F.filter("__pii", lambda s, i=pii.ORDER[k.name]: s["kind"] == i)).cast("long").alias(f"n_{k.name}")
-         for k in base]
+    n = [pii.count_of(F.col("__pii"), k.name).alias(f"n_{k.name}") for k in base]
     of_base = F.filter("__pii", lambda s: s["kind"] < len(base))
     return found.select("doc_id", *n, _sha(pii.spans_text(of_base)).alias("base_sha256"),
                         pii.spans_text(F.col("__pii")).alias("spans"),
