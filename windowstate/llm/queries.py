@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from windowstate.llm import decontaminate, line_dedup, pii, url_filter
+from windowstate.llm import decontaminate, license_scan, line_dedup, mixing, pii, quality_fm, url_filter
 from windowstate.llm.common import alnum_words
 
 
@@ -17,6 +17,23 @@ def _sha(col) -> F.Column:
     return F.sha2(col, 256)
 
 
+def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, size, source_size, target, taken, copies) of every document."""
+    out = mixing.mix(_read(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    return out.select("doc_id", F.col("__size").alias("size"), F.col("__source_size").alias("source_size"),
+                      F.col("__target").alias("target"), (F.col("__size") * F.col("__copies")).alias("taken"),
+                      F.col("__copies").alias("copies"))
+
+
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, held_out, score, predicted) of every document."""
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text", "n_chars")
+    model = quality_fm.train(docs, _read(spark, sf_dir, "labels"))
+    out = quality_fm.score_quality(docs, model)
+    return out.select("doc_id", quality_fm.held_out(F.col("doc_id")).alias("held_out"), F.col("__score").alias("score"),
+                      (F.col("__score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(page_id, host, path, rule, verdict, pattern) of every page."""
     return url_filter.filter_urls(_read(spark, sf_dir, "pages").select("page_id", "url"))
@@ -32,6 +49,12 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
                       (F.col("__n_hit") > 0).alias("contaminated"))
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score) of every document."""
+    out = license_scan.scan_licenses(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "__license.*")
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, n_lines, n_removed, kept_sha256) of every document; the operator itself returns the kept text."""
     out = line_dedup.dedup_lines(_read(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -52,8 +75,11 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 LLM_QUERIES = {
+    "op1_mix_sources": op1_mix_sources,
+    "op2_quality": op2_quality,
     "op4_url_filter": op4_url_filter,
     "op5_decontaminate": op5_decontaminate,
+    "op6_license_scan": op6_license_scan,
     "op8_line_dedup": op8_line_dedup,
     "op9_pii": op9_pii,
 }
