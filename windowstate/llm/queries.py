@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from windowstate.llm import decontaminate, license_scan, line_dedup, mixing, pii, quality_fm, url_filter
+from windowstate.llm import decontaminate, license_scan, line_dedup, mixing, near_dup, pii, quality_fm, url_filter
 from windowstate.llm.common import alnum_words
 
 
@@ -74,7 +74,13 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.coalesce(F.array_max(F.transform("__pii", lambda s: s["score"])), F.lit(0.0)).alias("max_score"))
 
 
+def op10_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) of every document."""
+    return near_dup.near_duplicates(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 LLM_QUERIES = {
+    "op10_near_dup": op10_near_dup,
     "op1_mix_sources": op1_mix_sources,
     "op2_quality": op2_quality,
     "op4_url_filter": op4_url_filter,
