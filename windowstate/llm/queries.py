@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from windowstate.llm import decontaminate, license_scan, line_dedup, mixing, near_dup, pii, quality_fm, url_filter
+from windowstate.llm import decontaminate, license_scan, line_dedup, mixing, near_dup, pii, quality_fm, suffix_dedup, url_filter
 from windowstate.llm.common import alnum_words
 
 
@@ -79,7 +79,13 @@ def op10_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(_read(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of every document; the operator also gives the ranges."""
+    return suffix_dedup.remove_repeats(_read(spark, sf_dir, "documents").select("doc_id", "text")).drop("removed")
+
+
 LLM_QUERIES = {
+    "op3_suffix_dedup": op3_suffix_dedup,
     "op10_near_dup": op10_near_dup,
     "op1_mix_sources": op1_mix_sources,
     "op2_quality": op2_quality,
