@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from windowstate.llm import decontaminate, license_scan, line_dedup, mixing, near_dup, pii, quality_fm, suffix_dedup, url_filter
+from windowstate.llm import ann_polytope, decontaminate, license_scan, line_dedup, mixing, near_dup, pii, quality_fm, suffix_dedup, url_filter
 from windowstate.llm.common import alnum_words
 
 
@@ -84,7 +84,14 @@ def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(_read(spark, sf_dir, "documents").select("doc_id", "text")).drop("removed")
 
 
+def op7_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(query_id, rank, vec_id, score): the 5 nearest found of every vector whose id is divisible by 50."""
+    return ann_polytope.search(_read(spark, sf_dir, "embeddings").select("vec_id", "embedding"),
+                               F.col("vec_id") % 50 == 0)
+
+
 LLM_QUERIES = {
+    "op7_ann": op7_ann,
     "op3_suffix_dedup": op3_suffix_dedup,
     "op10_near_dup": op10_near_dup,
     "op1_mix_sources": op1_mix_sources,
