@@ -37,8 +37,8 @@ def host_rule(name: str, verdict: str) -> Rule:
     """`host/path`: fits the host and its subdomains where the path starts with the rule's path. A path that does
     not end in a token break may cut its last token, which is then not indexed."""
     host, slash, path = name.partition("/")
-    whole = host + slash + (path if re.search(rf"{TOKEN_BREAK}$", path) else re.sub(r"[a-z0-9]+$", "", path.lower()))
-    tokens = tuple(sorted({t for t in re.split(TOKEN_BREAK, whole.lower()) if t}))
+    whole = (host + slash + re.sub(r"[a-z0-9]+$", "", path.lower())).lower()
+    tokens = tuple(sorted({t for t in re.split(TOKEN_BREAK, whole) if t}))
     return Rule(name, verdict, rf"^([^/]*\.)?{re.escape(name)}", tokens, host_rule=True)
 
 
