@@ -5,19 +5,19 @@
 2. A class is posted under its (coordinate, value) tokens. Pairs must agree in at least `MIN_MATCHES` coordinates, so
    tokens that no other class has can not help, and with tokens ordered by rarity two such classes share one of their
    `COORDINATES - MIN_MATCHES + 1` rarest (prefix filter). Only those are posted.
-3. First pass: every posting proposes one pair, with the smallest class of its list; of its proposals a class keeps
-   the one that agrees most. These pairs are confirmed on full shingle sets and joined into components.
-4. Second pass, exact for the rest: lists that still hold several components count collisions between classes of
-   different components, skipping pairs inside one, and by size those that can't reach the similarity. Every pair
-   with enough agreeing coordinates is confirmed on full sets. Long lists are dealt out as pairs of blocks.
-   Components over both passes' links are the result.
+3. Each posting list counts collisions between its classes, skipping by size those that can't reach the similarity
+   and those that the list has connected already, and gives a spanning forest of its candidate pairs. The forests'
+   components are candidate groups: every pair that agrees enough lies within one.
+4. In a candidate group the pairs that agree enough are confirmed on full shingle sets (64-bit hashes), skipping what
+   is connected already. Only confirmed links leave, again as a forest; their components are the result.
 
-A pair of similarity 0.75 agrees in 96 of 128 coordinates on average (standard deviation 4.9); fewer than 70 has a
-probability of about 1e-7.
+Long lists and groups are dealt out as pairs of blocks, so no task holds more than two blocks, and output grows with
+the classes, not with their pairs. A pair of similarity 0.75 agrees in 96 of 128 coordinates on average (standard
+deviation 4.9); fewer than 70 has a probability of about 1e-7.
 
 Edge cases: a text of fewer than five words has one shingle, its whole word sequence; null or wordless texts have no
-shingles and link with nothing; a null doc_id is its own component without an id and is kept; rows of one doc_id are
-one document with the union of their shingles' classes (equal rows: simply equal); an empty table works.
+shingles and link with nothing; a null doc_id has no component and is kept; rows of one doc_id are one document
+whose texts' links all count; an empty table works.
 """
 
 from __future__ import annotations
@@ -40,7 +40,7 @@ COORDINATES = 128
 MIN_MATCHES = 70
 PREFIX = COORDINATES - MIN_MATCHES + 1
 NUM, DEN = 75, 100          # similarity of at least NUM / DEN
-BLOCK = 512                 # classes of a list in one block of the second pass
+BLOCK = 512                 # classes of a list or group in one block
 SEED = 11
 
 
@@ -68,18 +68,25 @@ def signature(hashes: np.ndarray) -> np.ndarray:
     return best
 
 
+def brief(sig: np.ndarray) -> np.ndarray:
+    """One byte a coordinate: comparing them can only add matches, a quarter of a match a pair on average."""
+    return rolling.mix(sig.astype(np.uint64)).astype(np.uint8)
+
+
 def sketches(docs: DataFrame) -> DataFrame:
-    """(doc_id, n, digest, sig): set size, digest of the sorted set, signature bytes (null without shingles)."""
+    """(doc_id, n, digest, sig, brief): set size, digest of the sorted set, signature (null without shingles)."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             sets = [shingles(t) for t in batch["text"]]
+            sigs = [signature(x) if len(x) else None for x in sets]
             yield pd.DataFrame({
-                "doc_id": batch["doc_id"].astype("Int64"), "n": [len(s) for s in sets],
-                "digest": [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets],
-                "sig": [signature(s).tobytes() if len(s) else None for s in sets]})
+                "doc_id": batch["doc_id"].astype("Int64"), "n": [len(x) for x in sets],
+                "digest": [hashlib.blake2b(x.tobytes(), digest_size=16).digest() if len(x) else None for x in sets],
+                "sig": [None if x is None else x.tobytes() for x in sigs],
+                "brief": [None if x is None else brief(x).tobytes() for x in sigs]})
 
     # ids travel beside the texts as nullable integers, not floats
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, n long, digest binary, sig binary")
+    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, n long, digest binary, sig binary, brief binary")
 
 
 def _tokens(classes: DataFrame) -> DataFrame:
@@ -109,94 +116,126 @@ def postings(classes: DataFrame) -> DataFrame:
             .select("id", F.col("e.token").alias("token")))
 
 
-def agreement(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """pairs (a, b) that agree in MIN_MATCHES coordinates and whose sizes allow the similarity, with `matches`."""
-    side = lambda x: classes.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"),
-                                    F.col("sig").alias(f"sig{x}"))
-    near = (pairs.join(side("a"), "a").join(side("b"), "b")
-            .where((F.least("na", "nb") * DEN >= F.greatest("na", "nb") * NUM)))
+def _dealt(rows: DataFrame, key: str, sizes: DataFrame) -> DataFrame:
+    """Rows of each key as pairs of blocks, ordered for `_runs`: sizes (key, len). A row of block i goes to the pair
+    of i and every block, named (x, y) with x <= y."""
+    rows = (rows.join(sizes, key).withColumn("blocks", F.ceil(F.col("len") / BLOCK).cast("int"))
+            .withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = (rows.withColumn("x", F.least("block", "other")).withColumn("y", F.greatest("block", "other"))
+            .drop("other", "blocks", "len"))
+    return rows.repartition(key, "x", "y").sortWithinPartitions(key, "x", "y", "n", "id")
+
+
+def _runs(batches: Iterator[pd.DataFrame], key: str) -> Iterator[dict[str, np.ndarray]]:
+    """Columns of each run of rows with one (key, x, y); runs go over the ends of batches."""
+    held: dict[str, np.ndarray] = {}
+    for batch in batches:
+        cols = {c: batch[c].to_numpy() for c in batch.columns}
+        if held:
+            cols = {c: np.concatenate((held[c], v)) for c, v in cols.items()}
+        where = [cols[c] for c in (key, "x", "y")]
+        new = np.flatnonzero(np.logical_or.reduce([w[1:] != w[:-1] for w in where])) + 1
+        ends = np.concatenate((new, [len(where[0])]))
+        lo = 0
+        for hi in ends[:-1].tolist():
+            yield {c: v[lo:hi] for c, v in cols.items()}
+            lo = hi
+        held = {c: v[lo:] for c, v in cols.items()}
+    if held and len(held[key]):
+        yield held
+
+
+def _partners(run: dict[str, np.ndarray]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(i, later rows that agree enough with row i and are not connected to it, labels). The caller connects rows by
+    changing the labels. Rows are ordered by set size, so partners that are too large form the end."""
+    n, block = run["n"], run["block"]
+    across = run["x"][0] != run["y"][0]
+    short = np.ascontiguousarray(np.frombuffer(b"".join(run["brief"]), np.uint8).reshape(len(n), COORDINATES).T)
+    _, labels = np.unique(run["id"], return_inverse=True)
+    reach = np.searchsorted(n, n * DEN // NUM, side="right")
+    for i in range(len(n) - 1):
+        wanted = labels[i + 1:reach[i]] != labels[i]
+        if across:
+            wanted &= block[i + 1:reach[i]] != block[i]
+        at = np.flatnonzero(wanted) + i + 1
+        if len(at):
+            agree = np.add.reduce(short[:, at] == short[:, i:i + 1], axis=0, dtype=np.uint8)
+            at = at[agree >= MIN_MATCHES]
+            if len(at):
+                yield i, at, labels
 
-    @F.pandas_udf("int")
-    def matches(x: pd.Series, y: pd.Series) -> pd.Series:
-        if not len(x):
-            return pd.Series([], dtype="int32")
-        rows = [np.frombuffer(b"".join(s), dtype=np.uint32).reshape(len(s), COORDINATES) for s in (x, y)]
-        return pd.Series((rows[0] == rows[1]).sum(axis=1))
 
-    return near.select("a", "b", matches("siga", "sigb").alias("matches")).where(F.col("matches") >= MIN_MATCHES)
+def _connect(i: int, found: np.ndarray, labels: np.ndarray) -> list[int]:
+    """Joins the components of `found` to that of row i; the one of each that does it."""
+    used = []
+    for j in found[np.unique(labels[found], return_index=True)[1]].tolist():
+        if labels[j] != labels[i]:
+            used.append(j)
+            labels[labels == labels[j]] = labels[i]
+    return used
 
 
-def confirm(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose full shingle sets reach the similarity. Each class's text joins once, with the list
-    of its pairs' smaller partners spread over rows before the second join."""
-    texts = docs.where(F.col("doc_id").isNotNull()).select("doc_id", "text")
-    left = pairs.join(texts, F.col("a") == F.col("doc_id")).select("a", "b", F.col("text").alias("ta"))
-    both = left.join(texts, F.col("b") == F.col("doc_id")).select("a", "b", "ta", F.col("text").alias("tb"))
-
-    def run(columns: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for ta, tb in columns:
-            kept, good = ("", None), []
-            for x, y in zip(ta, tb, strict=True):
-                if kept[0] != y:
-                    kept = (y, _exact_set(y))
-                sx, sy = _exact_set(x), kept[1]
-                common = len(sx & sy)
-                good.append(DEN * common >= NUM * (len(sx) + len(sy) - common))
-            yield pd.Series(good, dtype=bool)
-
-    return both.where(F.pandas_udf(run, "boolean")(F.col("ta"), F.col("tb"))).select("a", "b")
-
-
-def _exact_set(text: str) -> set:
-    words = rolling.space_words(text).split(b" ")
-    return {b" ".join(words[i:i + SHINGLE]) for i in range(max(1, len(words) - SHINGLE + 1))}
-
-
-def first_pairs(posted: DataFrame, classes: DataFrame) -> DataFrame:
-    """One pair per class: of the smallest classes of its lists, the one that agrees most."""
-    leads = posted.groupBy("token").agg(F.min("id").alias("b"), F.max("id").alias("m")).where("b < m").select("token", "b")
-    pairs = posted.join(leads, "token").where("id > b").select(F.col("id").alias("a"), "b").distinct()
-    return (agreement(pairs, classes).groupBy("a")
-            .agg(F.max(F.struct("matches", (-F.col("b")).alias("minus"))).alias("best"))
-            .select("a", (-F.col("best.minus")).alias("b")))
-
-
-def rest_pairs(posted: DataFrame, classes: DataFrame, comp: DataFrame) -> DataFrame:
-    """All pairs of classes that agree enough, lie in different components and meet in a list."""
-    c = comp.select("id", "component")
-    told = posted.join(c, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    mixed = (told.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"),
-                                       F.count(F.lit(1)).alias("len")).where("lo < hi").select("token", "len"))
-    rows = (told.join(mixed, "token").join(classes.select("id", "n", "sig"), "id")
-            .withColumn("blocks", F.ceil(F.col("len") / BLOCK).cast("int"))
-            .withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")))
-    # block i of a list meets blocks i..: a row goes to (min, max) of its block and every other
-    rows = rows.select("token", "id", "component", "n", "sig", "block", F.explode(
-        F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    rows = rows.select("token", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"),
-                       "block", "id", "component", "n", "sig")
-
-    def count(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("n", kind="stable")
-        sig = np.frombuffer(b"".join(group["sig"]), dtype=np.uint32).reshape(len(group), COORDINATES)
-        n, ids = group["n"].to_numpy(), group["id"].to_numpy()
-        comps, block = group["component"].to_numpy(), group["block"].to_numpy()
-        across = group["x"].iloc[0] != group["y"].iloc[0]
-        reach = np.searchsorted(n, n * DEN // NUM, side="right")       # sizes a partner may have
-        found = []
-        for i in range(len(group) - 1):
-            span = slice(i + 1, reach[i])
-            wanted = comps[span] != comps[i]
-            if across:
-                wanted &= block[span] != block[i]
-            at = np.flatnonzero(wanted)
-            if len(at):
-                at += i + 1
-                at = at[(sig[at] == sig[i]).sum(axis=1) >= MIN_MATCHES]
-                found += [(max(ids[i], ids[j]), min(ids[i], ids[j])) for j in at]
-        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+def _pairs(ids: np.ndarray, pairs: list[tuple[int, int]]) -> pd.DataFrame:
+    at = np.array(pairs, dtype=np.int64).reshape(-1, 2)
+    return pd.DataFrame({"a": ids[at[:, 0]], "b": ids[at[:, 1]]})
 
-    return rows.groupBy("token", "x", "y").applyInPandas(count, "a long, b long").distinct()
+
+def candidate_links(posted: DataFrame, classes: DataFrame) -> DataFrame:
+    """(a, b): a spanning forest of the pairs of each posting list that agree enough."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for r in _runs(batches, "token"):
+            if len(r["id"]) > 1:
+                yield _pairs(r["id"], [(i, j) for i, at, labels in _partners(r) for j in _connect(i, at, labels)])
+
+    lists = posted.groupBy("token").agg(F.count(F.lit(1)).alias("len")).where("len > 1")
+    rows = posted.join(classes.select("id", "n", "brief"), "id")
+    return _dealt(rows, "token", lists).mapInPandas(run, "a long, b long").distinct()
+
+
+def confirmed_links(groups: DataFrame, docs: DataFrame) -> DataFrame:
+    """(a, b): for every candidate group (id, component) a forest of the pairs whose full sets reach the
+    similarity. Texts of grouped classes only go on, as their shingle sets."""
+    def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for lo in range(0, len(batch), 512):
+                part = batch.iloc[lo:lo + 512]
+                got = [shingles(t) for t in part["text"]]
+                yield pd.DataFrame({"id": part["id"], "component": part["component"], "n": [len(x) for x in got],
+                                    "brief": [brief(signature(x)).tobytes() for x in got],
+                                    "shingles": [x.tobytes() for x in got]})
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for r in _runs(batches, "component"):
+            if len(r["id"]) > 1:
+                yield _pairs(r["id"], _confirm(r))
+
+    texts = docs.where(F.col("doc_id").isNotNull()).select("doc_id", "text")
+    rows = (texts.join(groups, F.col("doc_id") == F.col("id")).select("id", "component", "text")
+            .mapInPandas(sets, "id long, component long, n long, brief binary, shingles binary").where("n > 0"))
+    sizes = groups.groupBy("component").agg(F.count(F.lit(1)).alias("len"))
+    return _dealt(rows, "component", sizes).mapInPandas(run, "a long, b long").distinct()
+
+
+def _confirm(run: dict[str, np.ndarray]) -> list[tuple[int, int]]:
+    """Exact similarities of the pairs that agree enough: the members of row i's set are flagged, and a sum over a
+    partner's members counts what both have."""
+    n = run["n"]
+    _, member = np.unique(np.frombuffer(b"".join(run["shingles"]), np.uint64), return_inverse=True)
+    starts = np.cumsum(n) - n
+    flags = np.zeros(member.max() + 1, dtype=np.int64)
+    links = []
+    for i, at, labels in _partners(run):
+        own = member[starts[i]:starts[i] + n[i]]
+        flags[own] = 1
+        if len(at) < 32:
+            common = np.array([flags[member[starts[j]:starts[j] + n[j]]].sum() for j in at])
+        else:
+            common = np.add.reduceat(flags[member], starts)[at]
+        flags[own] = 0
+        good = at[DEN * common >= NUM * (n[i] + n[at] - common)]
+        links += [(i, j) for j in _connect(i, good, labels)]
+    return links
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -204,17 +243,16 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     sketch = table(sketches(docs), "neardup-sketches")
     have = sketch.where("n > 0 and doc_id is not null")
     same = have.groupBy("digest").agg(F.min("doc_id").alias("id"))
-    members = table(have.join(same, "digest").select("doc_id", "id").distinct(), "neardup-members")
+    members = table(have.select("doc_id", "digest").join(same, "digest").select("doc_id", "id").distinct(),
+                    "neardup-members")
     classes = table(have.join(same.select("id", F.col("digest").alias("d")),
                               (F.col("digest") == F.col("d")) & (F.col("doc_id") == F.col("id")))
-                    .select("id", "n", "sig").dropDuplicates(["id", "n", "sig"]), "neardup-classes")
+                    .select("id", "n", "sig", "brief").dropDuplicates(["id", "n", "sig"]), "neardup-classes")
     posted = table(postings(classes), "neardup-postings")
-    texts = docs.select("doc_id", "text")
-    links = table(confirm(first_pairs(posted, classes), texts), "neardup-links1")
-    comp = components(links, "neardup-comp1")
-    more = table(confirm(table(rest_pairs(posted, classes, comp), "neardup-pairs2"), texts), "neardup-links2")
-    joined = members.where("doc_id <> id").select(F.col("doc_id").alias("a"), F.col("id").alias("b"))
-    full = components(links.unionByName(more).unionByName(joined), "neardup-comp2")
+    groups = components(candidate_links(posted, classes), "neardup-groups")
+    links = confirmed_links(groups, docs.select("doc_id", "text"))
+    copies = members.where("doc_id <> id").select(F.col("doc_id").alias("a"), F.col("id").alias("b"))
+    full = components(links.unionByName(copies), "neardup-components")
     final = sketch.select("doc_id", F.col("n").alias("n_shingles")).join(
         full.select(F.col("id").alias("i"), "component"), F.col("doc_id") == F.col("i"), "left")
     component = F.coalesce("component", "doc_id")
