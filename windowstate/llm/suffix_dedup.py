@@ -3,10 +3,11 @@
 A byte goes if a 50-byte string over it also starts in a document with a smaller doc_id; strings are judged on the
 input, over whole texts as UTF-8 bytes, and never cross documents. Only the first 50 bytes of a suffix matter.
 
+0. A text that a smaller document has whole loses everything; one document stands for each set of equal texts.
 1. Every 50-byte window is filed under the smallest hash of its 20-byte grams. Neighbouring windows share it, so a
    text falls into runs of windows, about one for 15 bytes. Equal windows are filed alike.
-2. Runs whose hash no other document has can't repeat and go no further. Hashes are posted in packed blocks; a hash
-   that several documents of one batch have is posted once for the batch.
+2. Runs whose hash no other text has can't repeat and go no further. Hashes are posted in packed blocks; a hash
+   that several texts of one batch have is posted once for the batch.
 3. The other runs travel, with their bytes, to the task of their hash. Equal runs of a batch travel once, with their
    documents. There the suffixes are ordered: multikey quicksort on 8-byte characters to a shallow depth (suffixes
    alone in their group are done), then a blind trie for each group that still shares its prefix. Suffixes that end
@@ -21,7 +22,6 @@ gives an empty result.
 from __future__ import annotations
 
 import hashlib
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from windowstate.llm import rolling
+from windowstate.llm.common import table
 
 LENGTH = 50
 GRAM = 20
@@ -93,7 +94,8 @@ def _post(n_buckets: int):
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            got = [(k, *runs(_as_bytes(t))) for k, t in zip(batch["key"], batch["text"], strict=True)]
+            texts = batch.drop_duplicates("key")
+            got = [(k, *runs(_as_bytes(t))) for k, t in zip(texts["key"], texts["text"], strict=True)]
             keys = np.repeat(np.array([g[0] for g in got], dtype=np.int64), [len(g[1]) for g in got])
             if not len(keys):
                 continue
@@ -150,9 +152,9 @@ def _several(hashes: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 def _by_document(keys: np.ndarray, packed: np.ndarray) -> pd.DataFrame:
-    at = np.argsort(keys, kind="stable")
-    cuts = np.flatnonzero(np.diff(keys[at])) + 1
-    pieces = np.split(at, cuts) if len(at) else []
+    at = np.lexsort((packed, keys))
+    at = at[np.concatenate(([True], (np.diff(keys[at]) != 0) | (np.diff(packed[at]) != 0)))[:len(at)]]
+    pieces = np.split(at, np.flatnonzero(np.diff(keys[at])) + 1) if len(at) else []
     return pd.DataFrame({"key": [int(keys[p[0]]) for p in pieces], "runs": [packed[p].tobytes() for p in pieces]})
 
 
@@ -183,26 +185,29 @@ def _shared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 # --- step 3: order the suffixes of shared runs
 
-SEGMENTS = "hash long, bytes binary, keys binary, ords binary, starts binary"
+SEGMENTS = "hash long, bytes binary, places binary"
+PLACE = 24                       # bytes of a place: document key, rank and start of the run
 
 
 def _segments(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """(hash, bytes, keys, ords, starts): the distinct runs of a batch with the documents and places they stand in."""
+    """(hash, bytes, places): the distinct runs of a batch with the documents and places they stand in."""
     for batch in batches:
-        found: dict[tuple[int, bytes], list[tuple[int, int, int]]] = defaultdict(list)
-        for row in batch.itertuples(index=False):
-            raw = _as_bytes(row.text)
-            packed = np.concatenate([np.frombuffer(r, np.int64) for r in row.runs])
-            start, size = packed // RUN, packed % RUN + 1
+        found: dict[tuple[int, bytes], bytes] = {}
+        for key, order, text, held in zip(batch["key"], batch["ord"], batch["text"], batch["runs"], strict=True):
+            raw = _as_bytes(text)
+            packed = np.concatenate([np.frombuffer(r, np.int64) for r in held])
+            start, end = packed // RUN, packed // RUN + packed % RUN + LENGTH
             lows = np.zeros(len(start), np.int64)            # the run's hash again, from its first window
             for lo, low in window_lows(raw):
                 here = (start >= lo) & (start < lo + len(low))
                 lows[here] = low[start[here] - lo].astype(np.int64)
-            for h, s, n in zip(lows.tolist(), start.tolist(), size.tolist(), strict=True):
-                found[h, raw[s:s + n - 1 + LENGTH]].append((row.key, row.ord, s))
-        yield pd.DataFrame([(h, b, *(np.array(x, dtype=np.int64).tobytes() for x in zip(*places, strict=True)))
-                            for (h, b), places in found.items()],
-                           columns=["hash", "bytes", "keys", "ords", "starts"])
+            places = np.column_stack((np.full(len(start), key), np.full(len(start), order), start)).tobytes()
+            for i, (h, s, e) in enumerate(zip(lows.tolist(), start.tolist(), end.tolist(), strict=True)):
+                run = h, raw[s:e]
+                place = places[i * PLACE:(i + 1) * PLACE]
+                found[run] = found[run] + place if run in found else place
+        yield pd.DataFrame({"hash": np.array([h for h, _ in found], dtype=np.int64),
+                            "bytes": [b for _, b in found], "places": list(found.values())})
 
 
 def equal_groups(text: np.ndarray, at: np.ndarray, group: np.ndarray) -> Iterator[np.ndarray]:
@@ -277,70 +282,61 @@ class BlindTrie:
 
 def _covered(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Reduce side, rows ordered by hash: (key, start, end) of covered byte ranges."""
-    held: list = []
+    held: list[tuple[int, bytes, bytes]] = []
     windows, last = 0, None
-
-    def flush() -> Iterator[pd.DataFrame]:
-        nonlocal windows
-        if held:
-            yield _judge(held)
-            held.clear()
-            windows = 0
-
     for batch in batches:
-        for row in batch.itertuples(index=False):
-            if row.hash != last and windows >= CHUNK_WINDOWS:
-                yield from flush()
-            last = row.hash
+        for row in zip(batch["hash"].tolist(), batch["bytes"], batch["places"], strict=True):
+            if row[0] != last and windows >= CHUNK_WINDOWS:
+                yield _judge(held)
+                held, windows = [], 0
+            last = row[0]
             held.append(row)
-            windows += len(row.bytes) - LENGTH + 1
-    yield from flush()
+            windows += len(row[1]) - LENGTH + 1
+    if held:
+        yield _judge(held)
 
 
-def _judge(rows: list) -> pd.DataFrame:
+def _judge(rows: list[tuple[int, bytes, bytes]]) -> pd.DataFrame:
     """Ranges of the windows that a smaller document has, over runs of whole hashes."""
-    merged: dict[tuple[int, bytes], list] = defaultdict(list)
-    for r in rows:
-        merged[r.hash, r.bytes].append(r)
-    keys, start, end = [], [], []
-    alone: dict[int, list] = defaultdict(list)
-    for (h, b), same in merged.items():
-        k, o, s = (np.concatenate([np.frombuffer(getattr(r, c), np.int64) for r in same]) for c in ("keys", "ords", "starts"))
-        low = o.min()
-        later = o > low                      # a smaller document has the whole run
-        keys.append(k[later])
-        start.append(s[later])
-        end.append(s[later] + len(b))
-        alone[h].append((b, low, k[~later], s[~later]))
-    segments = [(i, *x) for i, (h, v) in enumerate(alone.items()) if len(v) > 1 for x in v]
-    if segments:
-        text = np.frombuffer(b"".join(x[1] for x in segments), np.uint8)
-        sizes = np.array([len(x[1]) for x in segments])
-        n = sizes - LENGTH + 1
-        base = np.cumsum(sizes) - sizes
-        seg = np.repeat(np.arange(len(segments)), n)
-        first = np.cumsum(n) - n
-        at = np.repeat(base, n) + np.arange(n.sum()) - np.repeat(first, n)
-        ords = np.array([x[2] for x in segments], dtype=np.int64)
-        group = np.array([x[0] for x in segments])[seg]
+    number: dict[tuple[int, bytes], int] = {}          # distinct runs
+    of_row = [number.setdefault((h, b), len(number)) for h, b, _ in rows]
+    seg = np.repeat(of_row, [len(p) // PLACE for _, _, p in rows])
+    place = np.frombuffer(b"".join(p for _, _, p in rows), np.int64).reshape(-1, 3)
+    order = np.lexsort((place[:, 1], seg))
+    seg, place = seg[order], place[order]
+    first = np.flatnonzero(np.concatenate(([True], seg[1:] != seg[:-1])))
+    low = place[first, 1]                              # smallest rank of each run
+    size = np.array([len(b) for _, b in number])
+    later = place[:, 1] > low[seg]                     # a smaller document has the whole run
+    found = [(place[later, 0], place[later, 2], place[later, 2] + size[seg[later]])]
+    # the smallest documents of runs that share their hash with other runs
+    hashes = np.array([h for h, _ in number], dtype=np.int64)
+    _, same, count = np.unique(hashes, return_inverse=True, return_counts=True)
+    mixed = np.flatnonzero(count[same] > 1)
+    if len(mixed):
+        runs_bytes = list(number)
+        text = np.frombuffer(b"".join(runs_bytes[i][1] for i in mixed), np.uint8)
+        n = size[mixed] - LENGTH + 1
+        base, begin = np.cumsum(size[mixed]) - size[mixed], np.cumsum(n) - n
+        own = np.repeat(np.arange(len(mixed)), n)
+        at = np.arange(n.sum()) - begin[own] + base[own]
+        rank = low[mixed][own]
         hit = np.zeros(len(at), dtype=bool)
-        for same in equal_groups(text, at, group):
-            o = ords[seg[same]]
-            hit[same[o > o.min()]] = True
-        # runs of consecutive hit windows of a segment are one range
-        edge = np.diff(np.concatenate(([0], hit.astype(np.int8), [0])))
-        edge_new = np.flatnonzero(hit[1:] & hit[:-1] & (seg[1:] != seg[:-1])) + 1
-        lo = np.sort(np.concatenate((np.flatnonzero(edge == 1), edge_new)))
-        hi = np.sort(np.concatenate((np.flatnonzero(edge == -1), edge_new))) - 1
-        for a, z in zip(lo.tolist(), hi.tolist(), strict=True):
-            i = seg[a]
-            _, _, _, k, s = segments[i]
-            keys.append(k)
-            start.append(s + (a - first[i]))
-            end.append(s + (z - first[i]) + LENGTH)
-    if not keys:
-        return pd.DataFrame({"key": np.zeros(0, np.int64), "start": np.zeros(0, np.int64), "end": np.zeros(0, np.int64)})
-    return pd.DataFrame({"key": np.concatenate(keys), "start": np.concatenate(start), "end": np.concatenate(end)})
+        for equal in equal_groups(text, at, same[mixed][own]):
+            hit[equal[rank[equal] > rank[equal].min()]] = True
+        # consecutive hit windows of a run are one range, for each of its smallest documents
+        new = np.concatenate(([True], own[1:] != own[:-1]))
+        lo = np.flatnonzero(hit & (new | ~np.concatenate(([False], hit[:-1]))))
+        hi = np.flatnonzero(hit & (np.concatenate((new[1:], [True])) | ~np.concatenate((hit[1:], [False]))))
+        run = mixed[own[lo]]
+        at_first = (lo - begin[own[lo]], hi - begin[own[lo]] + LENGTH)
+        smallest = np.add.reduceat((~later).astype(np.int64), first)     # places of the smallest rank come first
+        times = smallest[run]
+        pick = np.repeat(first[run], times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+        found.append((place[pick, 0], place[pick, 2] + np.repeat(at_first[0], times),
+                      place[pick, 2] + np.repeat(at_first[1], times)))
+    key, start, end = (np.concatenate(x) for x in zip(*found, strict=True))
+    return pd.DataFrame({"key": key, "start": start, "end": end})
 
 
 # --- step 4: back to the documents
@@ -384,12 +380,23 @@ def remove_repeats(docs: DataFrame, buckets: int | None = None) -> DataFrame:
     n = buckets or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     whole = docs.select(F.xxhash64(F.lit(1), "doc_id", "text").alias("key"),
                         F.coalesce("doc_id", F.lit(LAST)).alias("ord"), "text")
-    posted = whole.select("key", "text").mapInPandas(_post(n), POSTED)
+    equal = docs.select(F.xxhash64(F.lit(1), "doc_id", "text").alias("key"), F.xxhash64("text").alias("content"),
+                        F.coalesce("doc_id", F.lit(LAST)).alias("ord"), F.unhex(F.md5("text")).alias("digest"),
+                        F.octet_length("text").cast("long").alias("size")).where(F.col("size") >= LENGTH)
+    equal = table(equal, "repeats-texts")
+    least = equal.groupBy("content", "digest").agg(F.min("ord").alias("least"))
+    equal = table(equal.join(least, ["content", "digest"]), "repeats-equal")
+    copies = (equal.where("ord > least").distinct()
+              .select("key", F.lit(0).cast("long").alias("start"), F.col("size").alias("end")))
+    posted = (docs.select(F.xxhash64("text").alias("key"), "text").mapInPandas(_post(n), POSTED))
     shared = (posted.repartition(n, "bucket").sortWithinPartitions("bucket")
               .mapInPandas(_shared, "key long, runs binary"))
-    by_doc = shared.groupBy("key").agg(F.collect_list("runs").alias("runs"))     # of one document: bounded by its text
-    segments = (whole.join(by_doc, "key").select("key", "ord", "text", "runs").mapInPandas(_segments, SEGMENTS))
+    # runs of a text go to the one document that stands for it; of one document, they are bounded by its text
+    by_text = table(shared.select(F.col("key").alias("content"), "runs")
+                    .join(equal.where("ord = least").select("content", "key").distinct(), "content")
+                    .groupBy("key").agg(F.collect_set("runs").alias("runs")), "repeats-shared")
+    segments = (whole.join(by_text, "key").select("key", "ord", "text", "runs").mapInPandas(_segments, SEGMENTS))
     ranges = (segments.repartition(n, "hash").sortWithinPartitions("hash")
-              .mapInPandas(_covered, "key long, start long, end long"))
+              .mapInPandas(_covered, "key long, start long, end long").unionByName(copies))
     ranges = ranges.groupBy("key").agg(F.collect_list(F.struct("start", "end")).alias("ranges"))
     return (whole.join(ranges, "key", "left").select("ord", "text", "ranges").mapInPandas(_cut, RESULT))
