@@ -90,13 +90,6 @@ def test_parse_request(spark):
     assert {r.i: (r.command, r.ts_ms, r.key) for r in rows} == {i: e for i, (_, e) in enumerate(REQUESTS)}
 
 
-def test_until_stop(spark):
-    from windowstate.functions.requests import until_stop
-    df = spark.createDataFrame([(0, "1"), (1, "2"), (2, "stop"), (3, "4")], "i int, line string")
-    parsed = df.select("i", parse_request("line", 0).alias("r")).select("i", "r.*")
-    assert sorted(r.i for r in until_stop(parsed, "i").collect()) == [0, 1]
-
-
 def test_epoch_ms_independent_of_zone(spark):
     import datetime as dt
     import calendar
@@ -136,6 +129,47 @@ def test_request_tokens_split_on_whitespace(spark):
     toks = [r.line for r in request_tokens(lines).orderBy("req_id").collect()]
     assert toks == ["1000,", "7", "8", "stop", "9"]
     parsed = request_tokens(lines).select("req_id", parse_request("line", 5).alias("r")).select("req_id", "r.*")
-    from windowstate.functions.requests import until_stop
-    assert [(r.ts_ms, r.key) for r in until_stop(parsed, "req_id").orderBy("req_id").collect()] == \
-        [(5, 1000), (5, 7), (5, 8)]
+    asked = parsed.filter(F.col("command") == "lookup").orderBy("req_id").collect()
+    assert [(r.ts_ms, r.key) for r in asked] == [(5, 1000), (5, 7), (5, 8), (5, 9)]
+
+
+def test_request_tokens_of_large_line_ids(spark):
+    """Ids as monotonically_increasing_id gives them from file partition 1024 on, and lines of many tokens."""
+    from windowstate.functions.requests import request_tokens
+    lines = spark.createDataFrame([(1024 << 33, "1 2"), ((1 << 63) - 1, "3"), (5000 << 33, "4")], "line_id long, line string")
+    assert [r.line for r in request_tokens(lines).orderBy("req_id").collect()] == ["1", "2", "4", "3"]
+
+
+def test_request_lines_keep_their_order_over_files(spark, tmp_path):
+    from windowstate.functions.requests import read_request_lines, request_tokens
+    for name, first in (("b.txt", 1000), ("a.txt", 0), ("c.txt", 2000)):
+        (tmp_path / name).write_text("".join(f"{first + i}\n" for i in range(500)))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
+    try:
+        got = [int(r.line) for r in request_tokens(read_request_lines(spark, str(tmp_path))).orderBy("req_id").collect()]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert got == [k + i for k in (0, 1000, 2000) for i in range(500)]
+
+
+def test_scratch_folder_needs_a_shared_one_off_local_mode():
+    from types import SimpleNamespace
+
+    from windowstate.session import ensure_checkpoint_dir
+    unset = SimpleNamespace(get=lambda *_: None)
+    sc = SimpleNamespace(getCheckpointDir=lambda: None, getConf=lambda: unset, master="spark://host:7077")
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        ensure_checkpoint_dir(SimpleNamespace(sparkContext=sc, conf=unset))
+
+
+def test_column_keys_and_codecs(spark):
+    from windowstate.operators.counts import tumbling_count
+    from windowstate.sources.keys import decode_keys
+    from windowstate.sources.sinks import pairs_frame
+    rows = spark.createDataFrame([(1, 10), (2, 11), (3, 20)], "ts_ms long, k long")
+    assert {tuple(r) for r in tumbling_count(rows, 10, key=F.col("k") % 10).collect()} == {(10, 0, 2), (10, 1, 1)}
+    keys = decode_keys(spark.createDataFrame([("0x1f",)], "value string"), decode=lambda v: F.conv(F.substr(v, F.lit(3)), 16, 10).cast("long"))
+    assert keys.first().key == 31
+    pair = pairs_frame(spark.createDataFrame([(1, 2)], "key long, n long"), encode=lambda k, n: F.concat_ws("=", k, n))
+    assert pair.first().value == "1=2"

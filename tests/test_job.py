@@ -31,4 +31,21 @@ def test_window_job_and_lookups(spark, late):
     ans = {r.req_id: r.answer for r in answer_requests(spark, lines, f"{root}/job", 10_000, 5_000, now_ms=0,
                                                         late=late).collect()}
     assert ans == {0: "StateFound(key: 1, value: 2)", 1: "StateFound(key: 2, value: 1)",
-                   2: "StateFound(key: 3, value: 1)", 4: "StateNotFound(key: 7)"}
+                   2: "StateFound(key: 3, value: 1)", 4: "StateNotFound(key: 7)",
+                   6: "StateFound(key: 1, value: 2)"}
+
+
+def test_kafka_options(spark, tmp_path):
+    import argparse
+
+    from windowstate.job import sources
+    ap = argparse.ArgumentParser()
+    args = argparse.Namespace(source_path=str(tmp_path), source_format="text", brokers="h:9", source=None, sink="out", sink_path=None)
+    source, sink = sources(spark, args, ap)
+    assert source.isStreaming and callable(sink)
+    args.sink = None
+    with pytest.raises(SystemExit):
+        sources(spark, args, ap)
+    args.source_path, args.sink_path = None, "/tmp/x"
+    with pytest.raises(SystemExit):
+        sources(spark, args, ap)

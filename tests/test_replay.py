@@ -102,7 +102,7 @@ def test_against_simulation(spark, seed):
     # invariant: everything is either emitted or live
     total = sum(r.n for r in flog.collect()) + sum(live.values())
     assert total == len(rows)
-    rp.unpersist()
+    flog.unpersist()
 
 
 def test_retained_since_restart(spark):

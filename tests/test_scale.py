@@ -3,28 +3,31 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from windowstate.operators.scale import first_mark_after, running_max
 
 SF = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("seed", range(3))
-def test_running_max_two_level_equals_brute_force(spark, seed):
+@pytest.mark.parametrize("rows_per_chunk", [1000, 40, 1])
+@pytest.mark.parametrize("seed", range(2))
+def test_running_max_equals_brute_force(spark, seed, rows_per_chunk):
     rnd = random.Random(seed)
-    vals = [(b, rnd.randint(-50, 50)) for b in range(300)]
+    vals = [(b * b, rnd.randint(-50, 50)) for b in range(120)]
+    rnd.shuffle(vals)
     df = spark.createDataFrame(vals, "b long, v long")
-    for n_rows in (None, 300):  # None forces the range-partitioned two-level path
-        got = {r.b: r.m for r in running_max(df, "b", "v", "m", n_rows=n_rows, n_chunks=7).collect()}
-        best, expected = None, {}
-        for b, v in vals:
-            best = v if best is None else max(best, v)
-            expected[b] = best
-        assert got == expected
+    got = {r.b: r.m for r in running_max(df, "b", "v", "m", rows_per_chunk=rows_per_chunk).collect()}
+    best, expected = None, {}
+    for b, v in sorted(vals):
+        best = v if best is None else max(best, v)
+        expected[b] = best
+    assert got == expected
 
 
+@pytest.mark.parametrize("rows_per_chunk", [1000, 30])
 @pytest.mark.parametrize("strict", [True, False])
-def test_first_mark_after_two_level_equals_brute_force(spark, strict):
+def test_first_mark_after_equals_brute_force(spark, strict, rows_per_chunk):
     rnd = random.Random(7)
     points = sorted({rnd.randint(0, 400) for _ in range(150)})
     marks, wm = [], 0
@@ -33,11 +36,24 @@ def test_first_mark_after_two_level_equals_brute_force(spark, strict):
         marks.append((b, wm))
     p_df = spark.createDataFrame([(p,) for p in points], "e long")
     m_df = spark.createDataFrame(marks, "b long, wm long")
-    for n_rows in (None, 10):
-        res = first_mark_after(p_df, "e", m_df, "wm", "b", "fb", strict=strict, n_rows=n_rows, n_chunks=5)
-        got = {r.e: r.fb for r in res.collect()}
-        expected = {p: min((b for b, w in marks if (w > p if strict else w >= p)), default=None) for p in points}
-        assert got == expected
+    res = first_mark_after(p_df, "e", m_df, "wm", "b", "fb", strict=strict, rows_per_chunk=rows_per_chunk)
+    got = {r.e: r.fb for r in res.collect()}
+    assert got == {p: min((b for b, w in marks if (w > p if strict else w >= p)), default=None) for p in points}
+
+
+def test_ordered_scans_of_many_rows(spark):
+    """1.6 million rows at default settings (several chunks), against closed forms, twice on one frame."""
+    n = 1_600_000
+    df = spark.range(n).selectExpr("id as b", "case when id % 1000 = 0 then id else id - 5000 end as v")
+    res = running_max(df, "b", "v", "m", n_rows=n)
+    wrong = res.filter(F.col("m") != F.greatest(F.expr("b - b % 1000"), F.lit(-5000)))
+    assert res.count() == n and wrong.count() == 0
+    points = spark.range(n).selectExpr("id * 3 as e")
+    marks = spark.range(n // 10).selectExpr("id as b", "id * 31 as wm")
+    for _ in range(2):
+        res = first_mark_after(points, "e", marks, "wm", "b", "fb", n_rows=n + n // 10)
+        right = F.when(F.col("e") < 31 * (n // 10 - 1), F.expr("e div 31 + 1"))
+        assert res.filter(~F.col("fb").eqNullSafe(right)).count() == 0
 
 
 def test_counts_pre_aggregate_before_the_shuffle(spark):

@@ -12,30 +12,27 @@ from windowstate.streaming.windowed import (AVAILABLE_NOW, ProgressLog, start_co
                                             with_ingestion_time)
 
 SCHEMA = "ts_ms bigint, key bigint"
-ROWS = [(0, 1, 1), (0, 2, 1), (0, 3, 2), (1, 12, 3), (2, 4, 1), (2, 9, 4), (3, 25, 3), (3, 19, 5), (4, 31, 1)]
+ROWS = [(0, 1, 1), (0, 2, 1), (0, 3, 2), (1, 12, 3), (2, 4, 1), (2, 9, 4), (3, 25, 3), (3, 19, 5), (4, 31, 1), (4, 5, 9)]
+BATCHES = 5
 
 
 def _rows(spark):
     return spark.createDataFrame(ROWS, "b long, ts_ms long, key long")
 
 
-def _count_run(spark, tag, groups=None, size=10):
-    run = filereplay.new_run(spark, tag, SCHEMA)
-    batches = filereplay.stage(_rows(spark), run)
-
+def _count_run(spark, tag, split=None, size=10):
     def start(src, r):
         return start_count(windowed_count(with_event_time(src), size), r.output, r.checkpoint, trigger=AVAILABLE_NOW)
 
-    if groups is not None:
-        groups = [[b for b in batches if g(b)] for g in groups]
-    return filereplay.replay(spark, None, run, start, batches=batches, groups=groups)
+    return filereplay.replay(spark, _rows(spark), filereplay.new_run(spark, tag, SCHEMA), start, BATCHES, split)
 
 
-def _expected_drop(spark, size=10, batch_of=lambda b: b):
-    rows = [(batch_of(b), t, k) for b, t, k in ROWS]
-    rp = firelog.replay(spark.createDataFrame(rows, "b long, ts_ms long, key long"), size)
-    f = rp.fired
-    emitted = (f.filter(F.col("first_b").isNotNull() & (F.col("b") <= F.col("first_b")))
+def _expected_drop(spark, size=10, split=None):
+    """A window is emitted by the batch after the one whose watermark passes it, with that batch's rows (not after
+    the split, where a no-data batch came first)."""
+    f = firelog.replay(_rows(spark), size).fired
+    until = F.col("first_b") + F.when(F.col("first_b") == (-1 if split is None else split), 0).otherwise(1)
+    emitted = (f.filter(F.col("first_b").isNotNull() & (F.col("b") <= until))
                .groupBy("window_end_ms", "key").agg(F.sum("n").alias("n")))
     live = f.filter(F.col("first_b").isNull()).groupBy("window_end_ms", "key").agg(F.sum("n").alias("n"))
     return {tuple(r) for r in emitted.collect()}, {tuple(r) for r in live.collect()}
@@ -46,24 +43,38 @@ def test_stream_drop_mode_equals_batch_formula(spark):
     got = {tuple(r) for r in spark.read.parquet(run.output).select("window_end_ms", "key", "n").collect()}
     emitted, live = _expected_drop(spark)
     assert got == emitted
-    # the late row (ts 4 in batch 2, window 10 closed after batch 1) is dropped, not re-fired
-    assert (10, 1, 2) in got and (10, 1, 3) not in got
+    # the late row of batch 4 (ts 5, window 10 passed by batch 1's watermark) is dropped, that of batch 2 is not
+    assert (10, 1, 3) in got and not any(k == 9 for _, k, _ in got)
     assert {tuple(r) for r in read_count_state(spark, run.checkpoint).collect()} == live
     assert state_inventory(spark, run.checkpoint).count() >= 1
 
 
 def test_state_history_by_batch(spark):
     run = _count_run(spark, "t-hist")
-    # after arrival batch 1 (wm 12): window 10 emitted, window 20 open with key 3
-    st = read_count_state(spark, run.checkpoint, batch_id=run.batch_ids[1])
-    assert {tuple(r) for r in st.collect()} == {(20, 3, 1)}
+    # batch 1 runs with the watermark after batch 0 (3): nothing is closed yet
+    st = read_count_state(spark, run.checkpoint, batch_id=1)
+    assert {tuple(r) for r in st.collect()} == {(10, 1, 2), (10, 2, 1), (20, 3, 1)}
+    # batch 2 runs with that after batch 1 (12): window 10 is emitted
+    assert {tuple(r) for r in read_count_state(spark, run.checkpoint, batch_id=2).collect()} == {(20, 3, 1)}
 
 
 def test_resume_two_runs_one_checkpoint(spark):
-    run = _count_run(spark, "t-resume", groups=[lambda b: b <= 1, lambda b: b > 1])
+    run = _count_run(spark, "t-resume", split=1)
     got = {tuple(r) for r in spark.read.parquet(run.output).select("window_end_ms", "key", "n").collect()}
-    emitted, _ = _expected_drop(spark, batch_of=lambda b: 0 if b <= 1 else 1)
-    assert got == emitted
+    assert got == _expected_drop(spark, split=1)[0]
+
+
+def test_replay_files_follow_the_batches(spark):
+    run = filereplay.new_run(spark, "t-files", SCHEMA, files_per_batch=2)
+    rows = spark.range(60).selectExpr("id div 20 as b", "id as ts_ms", "id as key")
+    seen = {}
+
+    def start(src, r):
+        return (src.writeStream.foreachBatch(lambda df, i: seen.update({i: sorted(x.key for x in df.collect())}))
+                .option("checkpointLocation", r.checkpoint).trigger(availableNow=True).start())
+
+    filereplay.replay(spark, rows, run, start, 3)
+    assert seen == {i: list(range(20 * i, 20 * i + 20)) for i in range(3)}
 
 
 def test_refire_writer_matches_batch_fire_log(spark):
@@ -75,16 +86,46 @@ def test_refire_writer_matches_batch_fire_log(spark):
         return src.writeStream.foreachBatch(writer).option("checkpointLocation", r.checkpoint) \
             .trigger(availableNow=True).start()
 
-    filereplay.replay(spark, _rows(spark), run, start)
+    filereplay.replay(spark, _rows(spark), run, start, BATCHES)
     got = {tuple(r) for r in refire.read_fire_log(spark, state_dir).collect()}
     rp = firelog.replay(_rows(spark), 10)
     assert got == {tuple(r) for r in firelog.fire_log(rp.fired, 2).collect()}
     for b in range(5):
         assert ({tuple(r) for r in refire.read_live(spark, state_dir, b).collect()}
                 == {tuple(r) for r in firelog.live_at(rp.fired, b).collect()})
-    # replaying a batch (as after a failure) rewrites the same files
-    writer(spark.createDataFrame([(31, 1)], SCHEMA), 4)
-    assert {tuple(r) for r in refire.read_fire_log(spark, state_dir).collect()} == got
+    # replaying a batch (as after a failure) changes nothing, also by a new writer whose clock has moved on
+    batches = sorted(map(tuple, refire.read_batches(spark, state_dir).collect()))
+    for again in (writer, refire.RefireWriter(state_dir, 10, n_partitions=2, clock=lambda b: 10**9)):
+        again(spark.createDataFrame([(31, 1), (5, 9)], SCHEMA), 4)
+        assert {tuple(r) for r in refire.read_fire_log(spark, state_dir).collect()} == got
+        assert sorted(map(tuple, refire.read_batches(spark, state_dir).collect())) == batches
+
+
+def _folders(spark, path):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return {f.getPath().getName() for f in p.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(p)
+            if f.isDirectory()}
+
+
+def test_cleanup_keeps_state_bounded_and_readable(spark):
+    """One window of 10 ms per 3 batches; a pause in firing after batch 12 lets the earlier fires go."""
+    root = filereplay.new_run(spark, "t-clean", SCHEMA).root
+    times = {b: 100 * b + (5000 if b > 12 else 0) for b in range(24)}
+    kept = refire.RefireWriter(f"{root}/kept", 10, n_partitions=1, clock=times.get)
+    clean = refire.RefireWriter(f"{root}/clean", 10, n_partitions=1, clock=times.get, cleanup_delay_ms=450)
+    sizes = []
+    for b in range(24):
+        batch = spark.createDataFrame([(4 * b, b % 3), (4 * b + 1, 7)], SCHEMA)
+        kept(batch, b)
+        clean(batch, b)
+        sizes.append(tuple(len(_folders(spark, f"{root}/clean/{x}")) for x in ("deltas", "windows", "fires", "log")))
+        if b in (12, 23):
+            for read in (lambda d: refire.read_live(spark, d),
+                         lambda d, b=b: refire.read_retained(spark, d, times[b] + 100, 450)):
+                assert sorted(map(tuple, read(f"{root}/clean").collect())) == sorted(map(tuple, read(f"{root}/kept").collect()))
+    assert max(s[0] for s in sizes) <= 5 and max(s[1] for s in sizes) <= 5
+    assert sizes[13][2] < sizes[12][2]          # the pause cleared what had fired before it
+    assert sizes[13][3] < sizes[12][3]
 
 
 def test_memory_sink_listener_and_stop(spark):
@@ -109,7 +150,7 @@ def test_memory_sink_listener_and_stop(spark):
             time.sleep(0.5)
     finally:
         spark.streams.removeListener(listener)
-    assert listener.events and {"batch_id", "rows", "state_rows", "dropped"} <= set(listener.events[0])
+    assert listener.events and listener.events.maxlen and {"batch_id", "rows", "state_rows", "dropped"} <= set(listener.events[0])
 
 
 @pytest.mark.parametrize("strict,expected", [(True, set()), (False, {(10, 1, 1)})])

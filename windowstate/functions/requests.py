@@ -1,13 +1,14 @@
 """Lookup request text.
 
 A request token is `key` (time = now), `time,key`, or a command. Parsing follows the reference client:
-the token is lower-cased; 'stop' / 'quit' end the session; the token is split on ',' with trailing empty
+the token is lower-cased; 'stop' / 'quit' are commands (a prompt ends there; in a table of requests
+they ask for nothing); the token is split on ',' with trailing empty
 parts removed (so ',' has zero parts); one part -> (now, key); two parts -> (time, key); zero or three+ parts
 are still sent, as (-1, -1); a part that is not a strict decimal long makes the request invalid (not sent)."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from windowstate.functions.codec import parse_long
@@ -41,19 +42,18 @@ def parse_request(line: Column | str, now_ms: Column | int) -> Column:
     )
 
 
-def until_stop(requests: DataFrame, order_col: str, command_col: str = "command") -> DataFrame:
-    """Requests the client would still send: those ordered before the first stop command.
-
-    The first stop position is a scalar subquery (one distributed min), not a driver loop."""
-    first_stop = requests.filter(F.col(command_col) == "stop").select(F.min(order_col)).scalar()
-    return requests.filter(first_stop.isNull() | (F.col(order_col) < first_stop))
-
-
 def request_tokens(lines: DataFrame, line_col: str = "line", order_col: str = "line_id") -> DataFrame:
     """Split request lines into whitespace-separated tokens, as the reference client reads them (`1000, 7` is two
-    requests: `1000,` then `7`). Returns `(req_id, line)` with req_id ordering tokens by line, then position."""
+    requests: `1000,` then `7`). Returns `(req_id, line)`; req_id is the struct (line id, position), which orders
+    tokens by line, then place, for line ids of any type and size."""
     toks = lines.select(F.col(order_col), F.posexplode(F.split(F.trim(F.col(line_col)), r"\s+")).alias("pos", "tok"))
-    toks = toks.filter(F.col("tok") != "")
-    # dense, order-preserving id: line order first, then token position (bounded per line)
-    return toks.select((F.col(order_col).cast("bigint") * F.lit(1 << 20) + F.col("pos")).alias("req_id"),
-                       F.col("tok").alias("line"))
+    return toks.filter(F.col("tok") != "").select(
+        F.struct(F.col(order_col).alias("line_id"), "pos").alias("req_id"), F.col("tok").alias("line"))
+
+
+def read_request_lines(spark: SparkSession, path: str) -> DataFrame:
+    """`(line_id, line)` of text files; line_id is the struct (file, start of the split, row of the split), which
+    follows the order of lines in each file however files are packed into partitions."""
+    return spark.read.text(path).select(
+        F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"),
+                 F.monotonically_increasing_id().alias("row")).alias("line_id"), F.col("value").alias("line"))

@@ -13,9 +13,11 @@ from windowstate.functions.codec import pair_text
 from windowstate.operators.scale import col_or_lit
 
 
-def tumbling_count(rows: DataFrame, size_ms: int, key: str = "key", ts: str = "ts_ms") -> DataFrame:
-    """A1: `(window_end_ms, key, n)` = number of rows per key per tumbling window of `size_ms`."""
-    return (rows.select(window_end(ts, size_ms).alias("window_end_ms"), F.col(key).alias("key"))
+def tumbling_count(rows: DataFrame, size_ms: int, key: str | Column = "key", ts: str = "ts_ms") -> DataFrame:
+    """A1: `(window_end_ms, key, n)` = number of rows per key per tumbling window of `size_ms`. `key` is a column
+    name or any Column expression (U2)."""
+    k = F.col(key) if isinstance(key, str) else key
+    return (rows.select(window_end(ts, size_ms).alias("window_end_ms"), k.alias("key"))
             .groupBy("window_end_ms", "key").agg(F.count(F.lit(1)).alias("n")))
 
 

@@ -7,10 +7,10 @@ which fires at the end of its own batch (a delta, never dropped):
 
     first_b(e) = min b with wm(b) > e,   fire_b = greatest(b, first_b(e)),   null first_b => still live.
 
-Plan: one pass over the rows builds the pre-aggregate (b, e, key, n, max ts) (partial aggregation + one shuffle)
-and persists it; the batch log (one row per batch) and the distinct window ends (one row per window) are derived
-from it and cached; first_b is an as-of scan over those two small tables (range-partitioned, nothing paired) and
-is joined back on e with a size-checked broadcast."""
+Plan: the batch log (one row per batch) and the distinct window ends (one row per window) are narrow aggregates of
+the rows, written once to the shared scratch folder; first_b is an as-of scan over those two tables (chunked,
+nothing paired) and joins the pre-aggregate (b, e, key, n) on e, a plain equi-join whose strategy Spark picks by
+bytes. Nothing is cached."""
 
 from __future__ import annotations
 
@@ -21,64 +21,47 @@ from pyspark.sql import functions as F
 
 from windowstate.functions.align import window_end
 from windowstate.functions.keyhash import key_partition
-from windowstate.operators.scale import checked_broadcast, col_or_lit, first_mark_after, materialize, running_max
+from windowstate.operators.scale import col_or_lit, first_mark_after, materialize, running_max
 
 
 @dataclass
 class Replay:
-    pre: DataFrame    # (b, window_end_ms, key, n, max_ts_ms), persisted
-    log: DataFrame    # (b, t_ms, wm_ms), cached, one row per batch
-    fired: DataFrame  # (b, window_end_ms, key, n, first_b, fire_b): narrow broadcast join over `pre`
-    n_batches: int    # rows of log
-    n_windows: int    # distinct window ends
-
-    def unpersist(self) -> None:
-        for df in (self.fired, self.log, self.pre):
-            df.unpersist()
+    pre: DataFrame    # (b, window_end_ms, key, n)
+    log: DataFrame    # (b, t_ms, wm_ms), one row per batch, materialized
+    fired: DataFrame  # (b, window_end_ms, key, n, first_b, fire_b)
 
 
 def pre_aggregate(rows: DataFrame, size_ms: int) -> DataFrame:
-    """`(b, window_end_ms, key, n, max_ts_ms)`: rows counted per arrival batch, window and key."""
-    return (rows.select("b", "ts_ms", window_end("ts_ms", size_ms).alias("window_end_ms"), "key")
-            .groupBy("b", "window_end_ms", "key")
-            .agg(F.count(F.lit(1)).alias("n"), F.max("ts_ms").alias("max_ts_ms")))
+    """`(b, window_end_ms, key, n)`: rows counted per arrival batch, window and key."""
+    return (rows.select("b", window_end("ts_ms", size_ms).alias("window_end_ms"), "key")
+            .groupBy("b", "window_end_ms", "key").agg(F.count(F.lit(1)).alias("n")))
 
 
-def batch_log(pre: DataFrame, delay_ms: int = 0, t_ms: Column | None = None) -> DataFrame:
-    """`(b, t_ms, wm_ms)` from a pre-aggregate: one row per arrival batch. `t_ms` is the processing time of the
+def batch_log(rows: DataFrame, delay_ms: int = 0, t_ms: Column | None = None) -> DataFrame:
+    """`(b, t_ms, wm_ms)` of rows `(b, ts_ms)`: one row per arrival batch. `t_ms` is the processing time of the
     batch as an expression of b (default 1000*b); the watermark is the running max of (max ts - delay)."""
-    return _batch_log(pre, delay_ms, t_ms)[0]
-
-
-def _batch_log(pre: DataFrame, delay_ms: int, t_ms: Column | None) -> tuple[DataFrame, int]:
     t = t_ms if t_ms is not None else F.col("b") * F.lit(1000)
-    per, n_batches = materialize(pre.groupBy("b").agg((F.max("max_ts_ms") - F.lit(delay_ms)).alias("__mx"))
-                                 .withColumn("t_ms", t.cast("bigint")))
-    log, _ = materialize(running_max(per, "b", "__mx", "wm_ms", n_rows=n_batches).select("b", "t_ms", "wm_ms"))
-    per.unpersist()
-    return log, n_batches
+    per, n_batches = materialize(rows.groupBy("b").agg((F.max("ts_ms") - F.lit(delay_ms)).alias("__mx"))
+                                 .withColumn("t_ms", t.cast("bigint")), "batches")
+    return materialize(running_max(per, "b", "__mx", "wm_ms", n_rows=n_batches).select("b", "t_ms", "wm_ms"), "log")[0]
 
 
-def first_fire(pre: DataFrame, log: DataFrame, n_batches: int | None = None) -> tuple[DataFrame, int]:
-    """`(window_end_ms, first_b)`: first batch whose watermark is strictly past each window end (null: open);
-    returns the table and its row count (one row per distinct window end)."""
-    ends, n_ends = materialize(pre.select("window_end_ms").distinct())
-    n_b = log.count() if n_batches is None else n_batches
-    fe = first_mark_after(ends, "window_end_ms", log, "wm_ms", "b", "first_b", strict=True, n_rows=n_ends + n_b)
-    return fe, n_ends
+def first_fire(ends: DataFrame, log: DataFrame) -> DataFrame:
+    """`(window_end_ms, first_b)` for window ends `(window_end_ms)`: first batch whose watermark is strictly past
+    each (null: open)."""
+    ends, n_ends = materialize(ends.select("window_end_ms").distinct(), "ends")
+    return first_mark_after(ends, "window_end_ms", log, "wm_ms", "b", "first_b", strict=True,
+                            n_rows=n_ends + log.count())
 
 
 def replay(rows: DataFrame, size_ms: int, delay_ms: int = 0, t_ms: Column | None = None) -> Replay:
     """Build the replay state of `rows(b, ts_ms, key)` for tumbling windows of `size_ms`."""
-    pre = pre_aggregate(rows, size_ms).persist()
-    log, n_batches = _batch_log(pre, delay_ms, t_ms)
-    # one row per distinct window end (bounded by time span / window size; counted): broadcast within the limit
-    fe, n_windows = first_fire(pre, log, n_batches)
-    fe = checked_broadcast(fe, bound=n_windows)
-    # a map-side join against the broadcast first-fire table: cheap to recompute from the persisted pre-aggregate
-    fired = (pre.drop("max_ts_ms").join(fe, "window_end_ms", "left")
+    pre = pre_aggregate(rows, size_ms)
+    log = batch_log(rows, delay_ms, t_ms)
+    fe = first_fire(rows.select(window_end("ts_ms", size_ms).alias("window_end_ms")), log)
+    fired = (pre.join(fe, "window_end_ms", "left")
              .withColumn("fire_b", F.when(F.col("first_b").isNotNull(), F.greatest(F.col("b"), F.col("first_b")))))
-    return Replay(pre, log, fired, n_batches, n_windows)
+    return Replay(pre, log, fired)
 
 
 def fire_log(fired: DataFrame, n_partitions: int | None = None) -> DataFrame:

@@ -2,8 +2,8 @@
 
 A request `(req_id, ts_ms, key)` is aligned to its window end (a request exactly at a window end reads the *next*
 window, as in the reference) and answered from live state first, then retained state, else n = 0 and
-found = false. State tables stay where they are: they are joined against the (size-checked, broadcast) distinct
-(window, key) pairs of the requests, and only the hits travel back to the requests."""
+found = false. Requests and state meet in plain equi-joins on (window, key): Spark broadcasts the smaller side when
+its bytes allow it and otherwise shuffles, splitting hot pairs of the requests at run time. Planning runs no job."""
 
 from __future__ import annotations
 
@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from windowstate.functions.align import window_end
 from windowstate.functions.codec import answer_text
 from windowstate.functions.keyhash import key_partition
-from windowstate.operators.scale import BROADCAST_MAX_ROWS, checked_broadcast, col_or_lit
+from windowstate.operators.scale import col_or_lit
 
 
 def align_requests(requests: DataFrame, size_ms: int, now_ms: Column | int | None = None) -> DataFrame:
@@ -22,27 +22,15 @@ def align_requests(requests: DataFrame, size_ms: int, now_ms: Column | int | Non
     return requests.withColumn("ts_ms", ts).withColumn("window_end_ms", window_end("ts_ms", size_ms))
 
 
-def _hits(state: DataFrame, wanted: DataFrame, name: str, bound: int | None) -> DataFrame:
-    hits = (state.select("window_end_ms", "key", F.col("n").alias(name))
-            .join(wanted, ["window_end_ms", "key"], "inner"))
-    # state has one row per (window, key), so hits <= wanted: broadcast on that bound; requests never shuffle
-    return checked_broadcast(hits, bound=bound) if bound is not None else hits
-
-
 def lookup(requests: DataFrame, live: DataFrame, size_ms: int, retained: DataFrame | None = None,
            now_ms: Column | int | None = None, with_text: bool = False) -> DataFrame:
     """`(req_id, key, window_end_ms, n, found[, answer])` for every request. `live` and `retained`
     hold one row per (window_end_ms, key), as every state table of this library does."""
     req = align_requests(requests, size_ms, now_ms)
-    wanted = req.select("window_end_ms", "key").distinct().cache()
-    n_wanted = wanted.count()
-    small = n_wanted <= BROADCAST_MAX_ROWS
-    if small:
-        wanted = F.broadcast(wanted)
-    bound = n_wanted if small else None
-    out = req.join(_hits(live, wanted, "__live", bound), ["window_end_ms", "key"], "left")
+    pair = ["window_end_ms", "key"]
+    out = req.join(live.select(*pair, F.col("n").alias("__live")), pair, "left")
     if retained is not None:
-        out = out.join(_hits(retained, wanted, "__ret", bound), ["window_end_ms", "key"], "left")
+        out = out.join(retained.select(*pair, F.col("n").alias("__ret")), pair, "left")
         n = F.coalesce(F.col("__live"), F.col("__ret"))
     else:
         n = F.col("__live")

@@ -14,7 +14,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from windowstate.operators.scale import checked_broadcast
 
 
 def current_fires(flog: DataFrame, log: DataFrame, batch: int, at_ms: int, delay_ms: int,
@@ -49,17 +48,12 @@ def current_fires(flog: DataFrame, log: DataFrame, batch: int, at_ms: int, delay
 
 
 def retained_view(flog: DataFrame, log: DataFrame, batch: int, at_ms: int, delay_ms: int,
-                  n_partitions: int | None = None, n_batches: int | None = None,
-                  n_windows: int | None = None, retained_since: int | None = None) -> DataFrame:
+                  retained_since: int | None = None) -> DataFrame:
     """`(partition, window_end_ms, key, n, fire_b)`: emitted counts still readable at `at_ms` after `batch`.
     `flog` is a fire log with a partition column (fire_log(..., n_partitions=n)); it is read three times, so
-    pass a persisted one. With the partition, batch and window counts known, the two small tables are broadcast
-    on their proven bounds (partitions x batches, partitions x windows) instead of being counted."""
-    known = n_partitions is not None
-    cur = checked_broadcast(current_fires(flog, log, batch, at_ms, delay_ms, retained_since),
-                            bound=n_partitions * n_batches if known and n_batches is not None else None)
+    pass a materialized one."""
+    cur = current_fires(flog, log, batch, at_ms, delay_ms, retained_since)
     in_session = flog.join(cur, ["partition", "fire_b"])
     last = (in_session.groupBy("partition", "window_end_ms").agg(F.max("fire_b").alias("fire_b")))
-    last = checked_broadcast(last, bound=n_partitions * n_windows if known and n_windows is not None else None)
     return (in_session.join(last, ["partition", "window_end_ms", "fire_b"])
             .select("partition", "window_end_ms", "key", "n", "fire_b"))

@@ -13,10 +13,11 @@ from windowstate.functions.keyhash import key_partition
 from windowstate.functions.requests import parse_request
 from windowstate.functions.timecols import epoch_ms
 from windowstate.operators import counts, firelog, lookups, retention
-from windowstate.plans.params import (CLEANUP_MS, EPOCH_2024_MS, HOUR_MS, MISROUTED_PARTITIONS, MISSING_KEY_OFFSET,
+from windowstate.operators.scale import materialize
+from windowstate.plans.params import (CLEANUP_MS, DAY_MS, EPOCH_2024_MS, HOUR_MS, MISROUTED_PARTITIONS, MISSING_KEY_OFFSET,
                                       N_PARTITIONS, NOW_MS, REPLAY_AT_MS, REPLAY_BATCH, SEQ_PARALLELISM,
                                       SHORT_AT_MS, SHORT_CLEANUP_MS)
-from windowstate.sources.keys import key_sequence
+from windowstate.sources.keys import sequence_keys
 from windowstate.sources.tables import arrival_rows, read_table, timed_keys
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -93,9 +94,8 @@ def q07_fire_totals(spark, sf):
 def _retained(spark, sf, batch, at_ms, delay_ms):
     rp = _replay(spark, sf)
     # read three times by the retention view (fire sessions, last fire per window, final rows)
-    flog = firelog.fire_log(rp.fired, N_PARTITIONS).persist()
-    view = retention.retained_view(flog, rp.log, batch, at_ms, delay_ms, N_PARTITIONS, rp.n_batches, rp.n_windows)
-    return view, rp.fired
+    flog = materialize(firelog.fire_log(rp.fired, N_PARTITIONS), "fires")[0]
+    return retention.retained_view(flog, rp.log, batch, at_ms, delay_ms), rp.fired
 
 
 def q08_retained_view(spark, sf):
@@ -122,39 +122,37 @@ def q11_lookup_live_retained(spark, sf):
     return lookups.lookup(_requests(spark, sf), live, HOUR_MS, retained=ret)
 
 
+def _variants(df: DataFrame, *variants) -> DataFrame:
+    """One scan: each row of `df` gives a row per struct of `variants`."""
+    return df.select(F.inline(F.array(*variants)))
+
+
 def q12_parse_long(spark, sf):
-    ev = _events(spark, sf)
-    cu = read_table(spark, sf, "customer")
     eid = F.col("event_id")
-    texts = [
-        ("props", eid, F.col("props")),
-        ("props_value", eid, F.substring("props", 7, F.length("props") - 7)),
-        ("props_spaced", eid, F.substring("props", 6, F.length("props") - 6)),
-        ("user", eid, F.col("user_id").cast("string")),
-        ("user_plus", eid, F.concat(F.lit("+"), F.col("user_id").cast("string"))),
-        ("user_frac", eid, F.concat(F.col("user_id").cast("string"), F.lit(".5"))),
-        ("neg_id", eid, F.concat(F.lit("-"), eid.cast("string"))),
-        ("event_type", eid, F.col("event_type")),
-        ("empty", eid, F.substring("event_type", 100, 1)),
-    ]
-    parts = [ev.select(F.lit(s).alias("src"), i.alias("id"), t.alias("text")) for s, i, t in texts]
-    parts.append(cu.select(F.lit("c_name").alias("src"), F.col("c_custkey").alias("id"), F.col("c_name").alias("text")))
-    parts.append(cu.select(F.lit("c_overflow").alias("src"), F.col("c_custkey").alias("id"),
-                           F.concat(F.col("c_custkey").cast("string"), F.lit("0000000000000000000")).alias("text")))
-    u = parts[0]
-    for p in parts[1:]:
-        u = u.unionByName(p)
-    return u.withColumn("key", parse_long("text"))
+    ident = lambda src, i, text: F.struct(F.lit(src).alias("src"), i.alias("id"), text.alias("text"))
+    ev = _variants(
+        _events(spark, sf),
+        ident("props", eid, F.col("props")),
+        ident("props_value", eid, F.substring("props", 7, F.length("props") - 7)),
+        ident("props_spaced", eid, F.substring("props", 6, F.length("props") - 6)),
+        ident("user", eid, F.col("user_id").cast("string")),
+        ident("user_plus", eid, F.concat(F.lit("+"), F.col("user_id").cast("string"))),
+        ident("user_frac", eid, F.concat(F.col("user_id").cast("string"), F.lit(".5"))),
+        ident("neg_id", eid, F.concat(F.lit("-"), eid.cast("string"))),
+        ident("event_type", eid, F.col("event_type")),
+        ident("empty", eid, F.substring("event_type", 100, 1)))
+    key = F.col("c_custkey")
+    cu = _variants(
+        read_table(spark, sf, "customer"), ident("c_name", key, F.col("c_name")),
+        ident("c_overflow", key, F.concat(key.cast("string"), F.lit("0000000000000000000"))))
+    return ev.unionByName(cu).withColumn("key", parse_long("text"))
 
 
 def q13_text_roundtrip(spark, sf):
-    ev = _events(spark, sf)
     big = F.lit(1_000_000_000_000)
     vals = [F.col("user_id"), -F.col("event_id"), F.col("event_id") * big, -(F.col("event_id") * big) - 1]
-    parts = [ev.select("event_id", F.lit(i).alias("variant"), v.cast("bigint").alias("v")) for i, v in enumerate(vals)]
-    u = parts[0]
-    for p in parts[1:]:
-        u = u.unionByName(p)
+    u = _variants(_events(spark, sf), *[F.struct("event_id", F.lit(i).alias("variant"), v.cast("bigint").alias("v"))
+                                        for i, v in enumerate(vals)])
     u = u.withColumn("text", long_text("v"))
     return u.withColumn("back", parse_long("text"))
 
@@ -183,11 +181,8 @@ def q15_align_negative(spark, sf):
 
 
 def q16_key_partition(spark, sf):
-    ev = _events(spark, sf)
-    keys = (ev.select(F.col("user_id").alias("key"))
-            .unionByName(ev.select((-F.col("user_id") - 1).alias("key")))
-            .unionByName(ev.select((F.col("event_id") * F.lit(2654435761) - F.lit(1 << 62)).alias("key")))
-            .distinct())
+    keys = _variants(_events(spark, sf), *[F.struct(v.alias("key")) for v in (
+        F.col("user_id"), -F.col("user_id") - 1, F.col("event_id") * F.lit(2654435761) - F.lit(1 << 62))]).distinct()
     return key_partition(keys, "key", N_PARTITIONS, hash_col="hash")
 
 
@@ -203,10 +198,10 @@ def q18_partition_audit(spark, sf):
 
 
 def q19_key_sequence(spark, sf):
+    """S2 over the table: events are dealt to the generators in turn, and each gives its generator's next key."""
     ev = _events(spark, sf)
-    stats = ev.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("user_id").alias("k")).first()
-    steps = -(-stats["n"] // SEQ_PARALLELISM)
-    return key_sequence(spark, int(stats["k"]), SEQ_PARALLELISM, steps)
+    num_keys = ev.agg(F.countDistinct("user_id")).first()[0]
+    return sequence_keys(ev.select("event_id"), "event_id", max(num_keys, 1), SEQ_PARALLELISM)
 
 
 def q30_state_view(spark, sf):
@@ -223,6 +218,24 @@ def q27_retention_short(spark, sf):
     return _retained(spark, sf, REPLAY_BATCH, SHORT_AT_MS, SHORT_CLEANUP_MS)[0]
 
 
+def _shipped(spark, sf):
+    """Line items as a keyed series: parts, counted per day shipped."""
+    return timed_keys(read_table(spark, sf, "lineitem"), "l_partkey", "l_shipdate", extra=["l_orderkey", "l_linenumber"])
+
+
+def q31_lineitem_count(spark, sf):
+    """A1 on the volume table, keyed by a Column expression."""
+    return counts.tumbling_count(_shipped(spark, sf), DAY_MS, key=F.col("key") % 1000)
+
+
+def q32_lineitem_lookup(spark, sf):
+    """L2 on the volume table: each line item asks for its part's count a week after it was shipped."""
+    rows = _shipped(spark, sf)
+    requests = rows.select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("req_id"),
+                           (F.col("ts_ms") + F.lit(7 * DAY_MS)).alias("ts_ms"), "key")
+    return lookups.lookup(requests, counts.tumbling_count(rows, DAY_MS), DAY_MS)
+
+
 BATCH_QUERIES: dict[str, Query] = {
     name: fn for name, fn in sorted(globals().items()) if name[:1] == "q" and name[1:3].isdigit() and callable(fn)
 }

@@ -4,9 +4,8 @@ Times: `epoch_us(ts) // 1000` (DuckDB's epoch_ms rounds, Spark floors). Counts a
 
 from __future__ import annotations
 
-from windowstate.functions import keyhash as K
 from windowstate.plans.stream_catalog import INGEST_WINDOW_MS, RESUME_SPLIT
-from windowstate.plans.params import (CLEANUP_MS, EPOCH_2024_MS, HOUR_MS, MISROUTED_PARTITIONS, MISSING_KEY_OFFSET,
+from windowstate.plans.params import (CLEANUP_MS, DAY_MS, EPOCH_2024_MS, HOUR_MS, MISROUTED_PARTITIONS, MISSING_KEY_OFFSET,
                                       N_PARTITIONS, NOW_MS, REPLAY_AT_MS, REPLAY_BATCH, SEQ_PARALLELISM,
                                       SHORT_AT_MS, SHORT_CLEANUP_MS)
 
@@ -28,12 +27,13 @@ def _xs(x: str, s: int) -> str:
 
 
 def partition_sql(src: str, n: int, out: str = "partition", hash_out: str | None = None) -> str:
-    """Wrap relation `src` (must have `key`) adding the routing partition (and optionally the hash)."""
+    """Wrap relation `src` (must have `key`) adding the routing partition (and optionally the hash). The hash's
+    constants are written out here, apart from the code under test."""
     steps = [
-        lambda x: _mul(x, K.C1), lambda x: _rotl(x, K.ROT1), lambda x: _mul(x, K.C2), lambda x: _rotl(x, K.ROT2),
-        lambda x: _mul(x, K.C3), lambda x: f"xor({x}, {K.XOR_LEN})", lambda x: _xs(x, K.FINAL_SHIFTS[0]),
-        lambda x: _mul(x, K.C4), lambda x: _xs(x, K.FINAL_SHIFTS[1]), lambda x: _mul(x, K.C5),
-        lambda x: _xs(x, K.FINAL_SHIFTS[2]),
+        lambda x: _mul(x, 0xcc9e2d51), lambda x: _rotl(x, 15), lambda x: _mul(x, 0x1b873593), lambda x: _rotl(x, 13),
+        lambda x: _mul(x, 0xe6546b64), lambda x: f"xor({x}, 4)", lambda x: _xs(x, 16),
+        lambda x: _mul(x, 0x85ebca6b), lambda x: _xs(x, 13), lambda x: _mul(x, 0xc2b2ae35),
+        lambda x: _xs(x, 16),
     ]
     rel = f"(select *, xor(key & {M32}, (key >> 32) & {M32}) as __h from ({src}) __s0)"
     for i, st in enumerate(steps):
@@ -50,12 +50,14 @@ from events group by all"""
 WM = f"(select max({MS}) from events)"
 
 
-ARRIVAL_B = "((event_id + (event_id*7919) % 500) // 1000)"
+ARRIVAL = "(event_id + (event_id*7919) % 500)"
+ARRIVAL_B = f"({ARRIVAL} // ((select max({ARRIVAL}) from events) // 10 + 1))"
 
 
 def _replay_ctes(batch: int, at_ms: int, delay: int, b_expr: str = ARRIVAL_B, drop: bool = False) -> str:
-    # drop mode: a window fires once, at its first fire batch, with the rows that were not late
-    log0 = ("select raw as fb, e, key, cast(sum(n) as bigint) as n from f where raw is not null and b <= raw "
+    # drop mode: a window fires once, in the streaming batch after the one whose watermark passes it, which still
+    # counts its own rows
+    log0 = ("select raw as fb, e, key, cast(sum(n) as bigint) as n from f where raw is not null and b <= raw + 1 "
             "group by 1,2,3") if drop else \
         "select fb, e, key, cast(sum(n) as bigint) as n from f where raw is not null group by 1,2,3"
     return f"""with ev as (select {MS} as ts_ms, user_id as key, {b_expr} as b from events),
@@ -179,18 +181,17 @@ select event_id, shifted_ms, shifted_ms - shifted_ms % {S} as window_start_ms,
     "q18_partition_audit": f"""with s as ({partition_sql(COUNTS, MISROUTED_PARTITIONS)}),
 a as ({partition_sql('select * from s', N_PARTITIONS, 'expected_partition')})
 select * from a where partition <> expected_partition""",
-    "q19_key_sequence": f"""with st as (select count(*) as n, count(distinct user_id) as k from events),
-sz as (select (n + {SEQ_PARALLELISM} - 1) // {SEQ_PARALLELISM} as steps, k from st),
-ids as (select unnest(range(0, {SEQ_PARALLELISM} * (select steps from sz))) as id)
-select cast(id // sz.steps as integer) as subtask, id % sz.steps as idx,
-  ((id // sz.steps) * (sz.k // {SEQ_PARALLELISM}) + id % sz.steps) % sz.k as key from ids, sz""",
+    "q19_key_sequence": f"""with k as (select count(distinct user_id) as n from events)
+select cast(event_id % {SEQ_PARALLELISM} as integer) as subtask, event_id // {SEQ_PARALLELISM} as idx,
+  ((event_id % {SEQ_PARALLELISM}) * (k.n // {SEQ_PARALLELISM}) + event_id // {SEQ_PARALLELISM}) % k.n as key from events, k""",
     "q20_stream_count": _replay_ctes(10**9, 0, 0) + """select e as window_end_ms, key, cast(sum(n) as bigint) as n
-from f where raw is not null and b <= raw group by 1, 2""",
+from f where raw is not null and b <= raw + 1 group by 1, 2""",
     "q21_state_read": _replay_ctes(10**9, 0, 0) + """select e as window_end_ms, key, cast(sum(n) as bigint) as n
 from f where raw is null group by 1, 2""",
-    "q22_state_history": _replay_ctes(REPLAY_BATCH, 0, 0) + "select e as window_end_ms, key, n from live",
-    "q23_resume": _replay_ctes(10**9, 0, 0, f"(case when {ARRIVAL_B} <= {RESUME_SPLIT} then 0 else 1 end)") + """
-select e as window_end_ms, key, cast(sum(n) as bigint) as n from f where raw is not null and b <= raw group by 1, 2""",
+    "q22_state_history": _replay_ctes(REPLAY_BATCH, 0, 0) + f"""select e as window_end_ms, key, cast(sum(n) as bigint) as n
+from f where b <= {REPLAY_BATCH} and (raw is null or raw >= {REPLAY_BATCH}) group by 1, 2""",
+    "q23_resume": _replay_ctes(10**9, 0, 0) + f"""select e as window_end_ms, key, cast(sum(n) as bigint) as n
+from f where raw is not null and b <= raw + (case when raw = {RESUME_SPLIT} then 0 else 1 end) group by 1, 2""",
     "q25_ingestion_time": f"""with a as (select user_id as key, 1000 * {ARRIVAL_B} as t from events)
 select t - t % {INGEST_WINDOW_MS} + {INGEST_WINDOW_MS} as window_end_ms, key, count(*) as n from a group by 1, 2""",
     "q26_state_size": f"""select window_end_ms, count(*) as num_keys from ({COUNTS}) c
@@ -210,6 +211,14 @@ ORACLES["q29_stream_lookup_drop"] = _replay_ctes(_LAST_B, f"1000 * {_LAST_B}", C
        from (select e, key, cast(sum(n) as bigint) as n from f where raw is null group by 1, 2) l
        full join (select e, key, n from ret) r on l.e = r.e and l.key = r.key""")
 
+_SHIPPED = f"(epoch_us(l_shipdate) // 1000) - (epoch_us(l_shipdate) // 1000) % {DAY_MS} + {DAY_MS}"
+ORACLES["q31_lineitem_count"] = f"""select {_SHIPPED} as window_end_ms, l_partkey % 1000 as key, count(*) as n
+from lineitem group by all"""
+ORACLES["q32_lineitem_lookup"] = f"""with c as (select {_SHIPPED} as e, l_partkey as key, count(*) as n from lineitem group by all),
+r as (select l_orderkey * 8 + l_linenumber as req_id, l_partkey as key, {_SHIPPED} + {7} * {DAY_MS} as e from lineitem)
+select r.req_id, r.key, r.e as window_end_ms, coalesce(c.n, 0) as n, c.n is not null as found
+from r left join c on r.e = c.e and r.key = c.key"""
+
 ORACLES["q30_state_view"] = _replay_ctes(REPLAY_BATCH, REPLAY_AT_MS, CLEANUP_MS) + """
 select e as window_end_ms, key, n, 'live' as origin from live
 union all

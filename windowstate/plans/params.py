@@ -1,9 +1,10 @@
 """Parameters of the registered queries."""
 
 HOUR_MS = 3_600_000          # window size of the table queries
+DAY_MS = 86_400_000          # window size of the line item queries
 N_PARTITIONS = 4             # routing partitions (the reference test's parallelism)
 MISROUTED_PARTITIONS = 3     # partition count of a misrouted store for the audit query
-REPLAY_BATCH = 6             # replay batch at which live / retained state is read
+REPLAY_BATCH = 6             # replay batch, of ten, at which live / retained state is read
 REPLAY_AT_MS = 6_500         # processing time of the retained-state read
 CLEANUP_MS = 2_500           # cleanup delay of retained windows
 SHORT_AT_MS = 6_000          # retained read with a short delay

@@ -5,9 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from windowstate.operators.counts import tumbling_count
 from windowstate.plans.params import CLEANUP_MS, HOUR_MS, N_PARTITIONS, REPLAY_BATCH
-from windowstate.sources.tables import arrival_rows, read_table
+from windowstate.sources.tables import ARRIVAL_BATCHES, arrival_rows, read_table
 from windowstate.streaming import filereplay as replay
 from windowstate.streaming import refire
 from windowstate.streaming.state import read_count_state
@@ -22,24 +21,17 @@ def _rows(spark: SparkSession, sf: str) -> DataFrame:
     return arrival_rows(read_table(spark, sf, "events"), "user_id", "ts", "event_id")
 
 
-def _count_starter(counts_sink_fmt: str = "parquet"):
+def _count_run(spark: SparkSession, sf: str, tag: str, split: int | None = None) -> replay.ReplayRun:
+    """The drop-mode count: what a batch brings for windows that the watermark before the previous batch had passed
+    is dropped (the reference never drops; q24 is its parity mode)."""
     def start(src: DataFrame, run: replay.ReplayRun):
         counts = windowed_count(with_event_time(src), HOUR_MS, delay_ms=0, strict=True)
-        return start_count(counts, run.output, run.checkpoint, fmt=counts_sink_fmt, trigger=AVAILABLE_NOW)
-    return start
-
-
-def _count_run(spark: SparkSession, sf: str, tag: str, groups_split: int | None = None) -> replay.ReplayRun:
-    run = replay.new_run(spark, tag, ROW_SCHEMA)
-    batches = replay.stage(_rows(spark, sf), run)
-    groups = None
-    if groups_split is not None:
-        groups = [[b for b in batches if b <= groups_split], [b for b in batches if b > groups_split]]
-        groups = [g for g in groups if g]
-    return replay.replay(spark, None, run, _count_starter(), batches=batches, groups=groups)
+        return start_count(counts, run.output, run.checkpoint, trigger=AVAILABLE_NOW)
+    return replay.replay(spark, _rows(spark, sf), replay.new_run(spark, tag, ROW_SCHEMA), start, ARRIVAL_BATCHES, split)
 
 
 def q20_stream_count(spark, sf):
+    """Drop mode: fewer pairs than q03, which counts late rows, too."""
     run = _count_run(spark, sf, "q20")
     return spark.read.parquet(run.output).select("window_end_ms", "key", "n")
 
@@ -51,11 +43,12 @@ def q21_state_read(spark, sf):
 
 def q22_state_history(spark, sf):
     run = _count_run(spark, sf, "q22")
-    return read_count_state(spark, run.checkpoint, batch_id=run.batch_id_at(REPLAY_BATCH))
+    return read_count_state(spark, run.checkpoint, batch_id=REPLAY_BATCH)
 
 
 def q23_resume(spark, sf):
-    run = _count_run(spark, sf, "q23", groups_split=RESUME_SPLIT)
+    """Drop mode over two runs and one checkpoint."""
+    run = _count_run(spark, sf, "q23", split=RESUME_SPLIT)
     return spark.read.parquet(run.output).select("window_end_ms", "key", "n")
 
 
@@ -69,7 +62,7 @@ def _refire_run(spark, sf, tag):
         return (src.writeStream.foreachBatch(writer).option("checkpointLocation", r.checkpoint)
                 .trigger(availableNow=True).start())
 
-    replay.replay(spark, _rows(spark, sf), run, start)
+    replay.replay(spark, _rows(spark, sf), run, start, ARRIVAL_BATCHES)
     return run, state_dir
 
 
@@ -83,7 +76,7 @@ def q28_lookup_stream(spark, sf):
     (live after the last batch, retained at that batch's time)."""
     from windowstate.plans.catalog import _requests
     run, state_dir = _refire_run(spark, sf, "q28")
-    last_b = refire.read_batches(spark, state_dir).agg(F.max("b")).first()[0]
+    last_b = ARRIVAL_BATCHES - 1
     req_dir, out_dir = f"{run.root}/requests", f"{run.root}/answers"
     _requests(spark, sf).write.parquet(f"{req_dir}/part=0")
     writer = refire.LookupWriter(state_dir, out_dir, HOUR_MS, CLEANUP_MS, clock=lambda _b: 1000 * last_b)
@@ -95,29 +88,38 @@ def q28_lookup_stream(spark, sf):
 
 
 def q25_ingestion_time(spark, sf):
-    """Counts by arrival (ingestion) time: each row is stamped with its batch's processing time (1000*b)."""
-    rows = _rows(spark, sf).withColumn("ts_ms", F.col("b") * F.lit(1000))
-    return tumbling_count(rows, INGEST_WINDOW_MS)
+    """T1 on a stream: each record carries the processing time of its arrival batch (1000*b) as event time, counted
+    per arrival window; the windows that the stream emits and those still open in its state."""
+    rows = _rows(spark, sf).select("b", (F.col("b") * F.lit(1000)).alias("ts_ms"), "key")
+    run = replay.new_run(spark, "q25", ROW_SCHEMA)
+
+    def start(src: DataFrame, r: replay.ReplayRun):
+        counts = windowed_count(with_event_time(src), INGEST_WINDOW_MS, delay_ms=0, strict=True)
+        return start_count(counts, r.output, r.checkpoint, trigger=AVAILABLE_NOW)
+
+    replay.replay(spark, rows, run, start, ARRIVAL_BATCHES)
+    emitted = spark.read.schema("window_end_ms bigint, key bigint, n bigint").parquet(run.output)
+    return emitted.unionByName(read_count_state(spark, run.checkpoint).select("window_end_ms", "key", "n"))
 
 
 def q29_stream_lookup_drop(spark, sf):
-    """Lookups over the built-in (drop-mode) stream: live windows from its state store, emitted windows kept by
-    an EmitLog sink and read through the retention view at the last batch's time."""
+    """Lookups over the built-in (drop-mode) stream: live windows from its state store, emitted windows kept by an
+    EmitLog sink and read through the retention view. The windows that batch b's watermark passes are emitted by the
+    next streaming batch, at its time; the view is read at the time of the batch after the last."""
     from windowstate.operators.lookups import lookup
     from windowstate.plans.catalog import _requests
     run = replay.new_run(spark, "q29", ROW_SCHEMA)
     state_dir = f"{run.root}/state"
-    current = {"b": 0}
-    sink = EmitLog(state_dir, N_PARTITIONS, clock=lambda _id: 1000 * current["b"])
+    sink = EmitLog(state_dir, N_PARTITIONS, clock=lambda batch_id: 1000 * batch_id)
 
     def start(src: DataFrame, r: replay.ReplayRun):
         counts = windowed_count(with_event_time(src), HOUR_MS, delay_ms=0, strict=True)
         return (counts.writeStream.outputMode("append").foreachBatch(sink)
                 .option("checkpointLocation", r.checkpoint).trigger(availableNow=True).start())
 
-    replay.replay(spark, _rows(spark, sf), run, start, before_run=lambda grp: current.update(b=grp[-1]))
+    replay.replay(spark, _rows(spark, sf), run, start, ARRIVAL_BATCHES)
     live = read_count_state(spark, run.checkpoint)
-    retained = refire.read_retained(spark, state_dir, at_ms=1000 * current["b"], delay_ms=CLEANUP_MS)
+    retained = refire.read_retained(spark, state_dir, at_ms=1000 * ARRIVAL_BATCHES, delay_ms=CLEANUP_MS)
     return lookup(_requests(spark, sf), live, HOUR_MS, retained=retained)
 
 

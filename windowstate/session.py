@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -38,13 +39,16 @@ def get_session(cpus: int | str = "*", shuffle_partitions: int = 8, app: str = "
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for checkpoints and derived tables.
 
-    The cluster names it in ``spark.checkpoint.dir`` (the context then holds a per-application subfolder); only
-    when it is unset, as in local tests, a fresh one is set under the system temp folder."""
+    The cluster names it in ``spark.checkpoint.dir`` (the context then holds a per-application subfolder). Where it
+    is unset, a local session, whose executors share the driver's disk, gets a fresh temp folder; any other master
+    is an error, as each node would write to a disk of its own."""
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
     conf_dir = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
+    if not conf_dir and not re.fullmatch(r"local(\[.*\])?", sc.master):
+        raise RuntimeError(f"spark.checkpoint.dir is not set; master {sc.master} needs a folder that all nodes share")
     sc.setCheckpointDir(conf_dir or tempfile.mkdtemp(prefix="windowstate-ckpt-"))
     return sc.getCheckpointDir()
 
@@ -56,6 +60,12 @@ def scratch_dir(spark: SparkSession, tag: str) -> str:
     return f"{base}/windowstate/{tag}-{uuid.uuid4().hex[:12]}"
 
 
+def delete_folder(spark: SparkSession, path: str) -> None:
+    """Remove a folder of derived data, on whatever file system it is."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def local_path(path: str) -> str:
     """Strip a ``file:`` scheme for the few places that need os-level access in local tests."""
     if path.startswith("file:"):

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from windowstate.functions.codec import INVALID_KEY, parse_long
@@ -10,14 +12,15 @@ from windowstate.functions.timecols import int_div
 
 
 def decode_keys(df: DataFrame, value_col: str = "value", invalid: int | None = INVALID_KEY,
-                time_col: str | None = None, drop_invalid: bool = False) -> DataFrame:
+                time_col: str | None = None, drop_invalid: bool = False,
+                decode: Callable[[Column], Column] | None = None) -> DataFrame:
     """`value` (binary or string) -> `key bigint` with the strict decimal parse; unparsable -> `invalid`
     (-1 by default, counted like any key, as the reference does); drop_invalid=True (or invalid=None) drops those
-    rows instead. Works on batch and streaming frames alike; with Kafka pass time_col='timestamp' to keep the
+    rows instead. `decode` (U3) is another Column function from the value to the key. Works on batch and streaming frames alike; with Kafka pass time_col='timestamp' to keep the
     record time."""
     if drop_invalid:
         invalid = None
-    key = parse_long(F.col(value_col), invalid=invalid)
+    key = parse_long(F.col(value_col), invalid=invalid) if decode is None else decode(F.col(value_col))
     cols = [key.alias("key")] + ([F.col(time_col).alias("ts")] if time_col else [])
     out = df.select(*cols)
     return out if invalid is not None else out.filter(F.col("key").isNotNull())
@@ -59,6 +62,15 @@ def key_sequence(spark: SparkSession, num_keys: int, parallelism: int, steps: in
                       _sequence_key(idx, subtask, num_keys, parallelism).alias("key"))
 
 
+def sequence_keys(df: DataFrame, index_col: str, num_keys: int, parallelism: int) -> DataFrame:
+    """S2 over rows: row number v (a column counting from 0) belongs to generator v % p at index v div p. Columns
+    (subtask, idx, key), one row per row of `df`."""
+    v = F.col(index_col)
+    subtask = (v % F.lit(parallelism)).cast("int")
+    idx = int_div(v, parallelism)
+    return df.select(subtask.alias("subtask"), idx.alias("idx"), _sequence_key(idx, subtask, num_keys, parallelism).alias("key"))
+
+
 def key_sequence_stream(spark: SparkSession, num_keys: int, parallelism: int, rows_per_second: int = 100,
                         micro_batch: bool = False) -> DataFrame:
     """S2 unbounded: the same sequence from the rate source; rate row v belongs to generator v % p at index

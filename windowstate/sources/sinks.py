@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from windowstate.functions.codec import long_text, pair_text
 
 
-def pairs_frame(counts: DataFrame, key: str = "key", n: str = "n") -> DataFrame:
+def pairs_frame(counts: DataFrame, key: str = "key", n: str = "n",
+                encode: Callable[[Column, Column], Column] | None = None) -> DataFrame:
     """S3 payload: one `value` string '(key,count)' per emitted pair (the window id is dropped, as in the
-    reference's output)."""
-    return counts.select(pair_text(key, n).alias("value"))
+    reference's output). `encode` (U3) is another Column function of key and count."""
+    value = pair_text(key, n) if encode is None else encode(F.col(key), F.col(n))
+    return counts.select(value.alias("value"))
 
 
 def text_keys_frame(keys: DataFrame, key: str = "key") -> DataFrame:

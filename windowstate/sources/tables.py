@@ -22,15 +22,18 @@ def timed_keys(df: DataFrame, key: str | Column, time: str, extra: list[str] | N
 # ---- fixed values: out-of-order arrival used by the replay queries (arrival = id + (id*7919) % 500) ----
 SHUFFLE_MULT = 7919
 SHUFFLE_SPAN = 500
-BATCH_ROWS = 1000
+ARRIVAL_BATCHES = 10
 # ----------------------------------------------------------------------------------------------------------
 
 
-def arrival_rows(df: DataFrame, key: str, time: str, order: str, batch_rows: int = BATCH_ROWS,
+def arrival_rows(df: DataFrame, key: str, time: str, order: str, batches: int = ARRIVAL_BATCHES,
                  shuffled: bool = True) -> DataFrame:
     """Replay table `(b, ts_ms, key)`: rows arrive in order of `order` (optionally displaced by up to
-    SHUFFLE_SPAN positions, which makes some rows late), grouped into arrival batches of `batch_rows` positions."""
+    SHUFFLE_SPAN positions, which makes some rows late), in `batches` arrival batches of equal spans of positions
+    whatever the table's size."""
     o = F.col(order).cast("bigint")
     arrival = o + (o * F.lit(SHUFFLE_MULT)) % F.lit(SHUFFLE_SPAN) if shuffled else o
+    last = df.select(F.max(arrival)).first()[0] or 0
+    batch_rows = last // batches + 1
     return df.select(int_div(arrival, batch_rows).alias("b"), epoch_ms(df, time).alias("ts_ms"),
                      F.col(key).alias("key"))

@@ -1,17 +1,16 @@
 """Deterministic replay of a table through a file stream.
 
-Rows carry an arrival batch `b`. They are staged once as parquet partitioned by b; then, batch by batch, batch
-b's rows are copied into the stream's input folder (a job that reads only partition b) and the streaming query
-runs with trigger(availableNow=True) from the same checkpoint. Every run therefore resumes from the previous
-one's offsets, watermark and state, and each arrival batch is exactly one micro-batch (plus, for stateful
-queries, the no-data batch that advances the watermark). All folders live under the session's checkpoint folder.
+Rows carry an arrival batch `b`. Batch by batch, their rows are written into the stream's input folder, a fixed number
+of files each, so the files' times follow the arrival order. Then one streaming query with availableNow reads them,
+that number of files per trigger: each arrival batch is one micro-batch, and a last no-data batch closes what the last
+watermark passed. All folders live under the session's checkpoint folder.
 
-The loop over batches is control only: no data passes through the driver."""
+The number of arrival batches is a parameter of the replay, not of the table's size."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,82 +26,42 @@ class ReplayRun:
     checkpoint: str
     output: str
     schema: str
-    batch_ids: dict[int, int] = field(default_factory=dict)  # arrival batch -> last streaming batch id
-    n_rows: int | None = None                                 # staged rows (sizes the state partitions)
+    files_per_batch: int = 1
 
-    def batch_id_at(self, arrival_batch: int) -> int:
-        """Streaming batch id holding the state after the last fed arrival batch <= `arrival_batch`."""
-        fed = [b for b in self.batch_ids if b <= arrival_batch]
-        if not fed:
-            raise ValueError(f"no arrival batch <= {arrival_batch} was fed")
-        return self.batch_ids[max(fed)]
 
-
-def new_run(spark: SparkSession, tag: str, schema: str) -> ReplayRun:
+def new_run(spark: SparkSession, tag: str, schema: str, files_per_batch: int = 1) -> ReplayRun:
     root = scratch_dir(spark, tag)
-    return ReplayRun(root, f"{root}/input", f"{root}/checkpoint", f"{root}/output", schema)
-
-
-def stage(rows: DataFrame, run: ReplayRun, batch_col: str = "b") -> list[int]:
-    """Write rows partitioned by arrival batch (one job); return the batch numbers in order."""
-    staged = f"{run.root}/staged"
-    rows.write.mode("overwrite").partitionBy(batch_col).parquet(staged)
-    spark = rows.sparkSession
-    st = spark.read.parquet(staged)
-    run.n_rows = st.count()
-    return [r[0] for r in st.select(batch_col).distinct().orderBy(batch_col).collect()]
-
-
-def feed(spark: SparkSession, run: ReplayRun, b: int, batch_col: str = "b") -> None:
-    """Make arrival batch b visible to the stream (reads only that staged partition)."""
-    (spark.read.parquet(f"{run.root}/staged").filter(F.col(batch_col) == b).drop(batch_col)
-     .write.mode("overwrite").parquet(f"{run.input_dir}/{batch_col}={b:09d}"))
-
-
-# Input rows per stateful partition when a replay sizes its state partitions (capped by the session setting).
-ROWS_PER_STATE_PARTITION = 2_000_000
-
-
-def state_partitions(spark: SparkSession, n_rows: int | None) -> int:
-    session = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    if n_rows is None:
-        return session
-    return max(1, min(session, -(-n_rows // ROWS_PER_STATE_PARTITION)))
+    return ReplayRun(root, f"{root}/input", f"{root}/checkpoint", f"{root}/output", schema, files_per_batch)
 
 
-def _start_sized(spark: SparkSession, run: ReplayRun, start) -> StreamingQuery:
-    """Start with the state partition count sized to the replayed rows. The count is fixed in the checkpoint by
-    the first start (later restarts reuse it); the session setting is restored right after start()."""
-    key = "spark.sql.shuffle.partitions"
-    prev = spark.conf.get(key)
-    spark.conf.set(key, str(state_partitions(spark, run.n_rows)))
-    try:
-        return start(input_stream(spark, run), run)
-    finally:
-        spark.conf.set(key, prev)
+def feed(rows: DataFrame, run: ReplayRun, batches: list[int], batch_col: str = "b") -> None:
+    """Write the rows of arrival batches, in their order, as the stream's next files. Every batch is
+    `files_per_batch` files (a batch of fewer rows would break the order, so it is an error)."""
+    for b in batches:
+        part = rows.filter(F.col(batch_col) == b).drop(batch_col)
+        out = f"{run.input_dir}/{batch_col}={b:09d}"
+        part.repartition(run.files_per_batch).write.mode("overwrite").parquet(out)
+        if len(rows.sparkSession.read.schema(run.schema).parquet(out).inputFiles()) != run.files_per_batch:
+            raise ValueError(f"arrival batch {b} has fewer rows than files_per_batch")
 
 
 def input_stream(spark: SparkSession, run: ReplayRun) -> DataFrame:
-    return spark.readStream.schema(run.schema).parquet(f"{run.input_dir}/*")
-
-
-def replay(spark: SparkSession, rows: DataFrame | None, run: ReplayRun,
-           start: Callable[[DataFrame, ReplayRun], StreamingQuery], batches: list[int] | None = None,
-           groups: list[list[int]] | None = None,
-           before_run: Callable[[list[int]], None] | None = None) -> ReplayRun:
-    """Feed arrival batches one run at a time (or several batches per run with `groups`), restarting the query
-    from its checkpoint for each run. `before_run(group)` is called before each run (e.g. to set a replay clock)."""
-    all_batches = stage(rows, run) if batches is None else batches
-    for grp in (groups or [[b] for b in all_batches]):
-        if before_run is not None:
-            before_run(grp)
-        for b in grp:
-            feed(spark, run, b)
-        q = _start_sized(spark, run, start)
+    return (spark.readStream.schema(run.schema).option("maxFilesPerTrigger", run.files_per_batch)
+            .parquet(f"{run.input_dir}/*"))
+
+
+def replay(spark: SparkSession, rows: DataFrame, run: ReplayRun,
+           start: Callable[[DataFrame, ReplayRun], StreamingQuery], batches: int,
+           split: int | None = None, batch_col: str = "b") -> ReplayRun:
+    """Feed arrival batches 0..batches-1 and run one query over them; with `split`, batches up to it come first and
+    a second query resumes from the checkpoint for the rest. An arrival batch's streaming batch id is its number (one
+    more after the split, whose first run ends with a no-data batch)."""
+    numbers = list(range(batches))
+    groups = [numbers] if split is None else [numbers[:split + 1], numbers[split + 1:]]
+    for group in groups:
+        feed(rows, run, group, batch_col)
+        q = start(input_stream(spark, run), run)
         q.awaitTermination()
         if q.exception():
             raise q.exception()
-        last = q.lastProgress
-        if last is not None:
-            run.batch_ids[grp[-1]] = last["batchId"]
     return run

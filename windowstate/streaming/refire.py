@@ -4,19 +4,22 @@ Built-in streaming aggregation drops late rows. The reference never drops them:
 a fresh partial window that is emitted again (a delta) at the next watermark. This writer keeps that state in
 tables under `state_dir`, so it is durable, resumable and readable:
 
-  log/               (b, t_ms, wm_ms)       appended, one row per batch, written last (the commit marker)
-  windows/           (b, window_end_ms)     appended index: which windows each batch added counts to
+  log/b=<id>/        (t_ms, wm_ms)            one row per batch, written last (the commit marker)
+  windows/b=<id>/    (window_end_ms)          which windows the batch added counts to
   deltas/b=<id>/     (window_end_ms, key, n)  the batch's rows counted per window and key, sorted by window
   fires/fire_b=<id>/ ([partition,] window_end_ms, key, n)   what batch <id> emitted
 
 Per micro-batch: pre-aggregate the batch to (window, key, n) and write it as the batch's delta; watermark =
-max(previous watermark from log/, max ts - delay). Windows in [previous watermark, watermark) close now: the index
-names the batches holding counts for them, and only those delta folders are read (explicit paths, no listing of
-the whole state; row groups pruned by window statistics) and summed; rows of this batch for windows below the
-previous watermark are late and fire as they are. Live state is the sum of the
-deltas of windows at or above the watermark, computed when read. So a batch costs its own size plus the windows it
-closes; open state is never rewritten. Deltas and fires are overwrites of folders named by the batch id and the
-appended log/index rows are de-duplicated on read, so a batch replayed after a failure changes nothing."""
+max(previous watermark, max ts - delay). Windows in [previous watermark, watermark) close now: the index names the
+batches holding counts for them, and only those deltas are read (row groups pruned by window statistics) and summed;
+rows of this batch for windows below the previous watermark are late and fire as they are. Live state is the sum of
+the deltas of windows at or above the watermark, computed when read. So a batch costs its own size plus the windows
+it closes; open state is never rewritten. Everything a batch writes is a folder named by its id, so a batch replayed
+after a failure changes nothing; its logged time is kept from the first try.
+
+With a cleanup delay (T7) a batch then removes what nothing reads any more: deltas and index entries of windows that
+are all closed, fires of before the last pause in firing longer than the delay (every partition's retained set is
+cleared by such a pause), and log rows that neither a delta nor a fire needs."""
 
 from __future__ import annotations
 
@@ -29,79 +32,88 @@ from pyspark.sql.utils import AnalysisException
 
 from windowstate.functions.align import window_end
 from windowstate.functions.keyhash import key_partition
+from windowstate.session import delete_folder
 
 LIVE_SCHEMA = "window_end_ms bigint, key bigint, n bigint"
 LOG_SCHEMA = "b bigint, t_ms bigint, wm_ms bigint"
 
 
-def _read_or_none(spark: SparkSession, path: str) -> DataFrame | None:
+INDEX_SCHEMA = "b bigint, window_end_ms bigint"
+
+
+def _read(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A folder of per-batch folders; empty before the first batch."""
     try:
-        return spark.read.parquet(path)
+        return spark.read.schema(schema).parquet(path)
     except AnalysisException:
-        return None
+        return spark.createDataFrame([], schema)
 
 
 def read_batches(spark: SparkSession, state_dir: str) -> DataFrame:
-    """`(b, t_ms, wm_ms)` of committed batches (a replayed batch appears once)."""
-    log = _read_or_none(spark, f"{state_dir.rstrip('/')}/log")
-    if log is None:
-        return spark.createDataFrame([], LOG_SCHEMA)
-    return log.groupBy("b").agg(F.max("t_ms").alias("t_ms"), F.max("wm_ms").alias("wm_ms"))
+    """`(b, t_ms, wm_ms)` of committed batches."""
+    return _read(spark, f"{state_dir.rstrip('/')}/log", LOG_SCHEMA)
 
 
-def _delta_batches(spark: SparkSession, state_dir: str, cond, max_b: int) -> list[int]:
-    """Batches <= max_b whose deltas hold counts for windows matching `cond` (from the index; a short list)."""
-    idx = _read_or_none(spark, f"{state_dir}/windows")
-    if idx is None:
-        return []
-    rows = idx.filter((F.col("b") <= max_b) & cond).select("b").distinct().collect()
-    return sorted(r[0] for r in rows)
+def last_batch(spark: SparkSession, state_dir: str, below: int | None = None) -> tuple[int | None, int | None]:
+    """(b, wm_ms) of the last committed batch (of those below an id)."""
+    log = read_batches(spark, state_dir)
+    if below is not None:
+        log = log.filter(F.col("b") < below)
+    last = log.agg(F.max("b").alias("b"), F.max("wm_ms").alias("wm")).first()
+    return last["b"], last["wm"]
 
 
-def _window_deltas(spark: SparkSession, state_dir: str, batches: list[int], cond) -> DataFrame | None:
+def _window_deltas(spark: SparkSession, state_dir: str, cond, max_b: int) -> DataFrame:
+    """Counts of batches <= max_b for windows matching `cond`, from the deltas that the index names."""
+    named = _read(spark, f"{state_dir}/windows", INDEX_SCHEMA).filter((F.col("b") <= max_b) & cond)
+    # ids of batches with open or closing windows; the batches of a window's life span, whatever the job's age
+    batches = [r[0] for r in named.select("b").distinct().collect()]
     if not batches:
-        return None
-    base = f"{state_dir}/deltas"
-    d = spark.read.option("basePath", base).parquet(*[f"{base}/b={b}" for b in batches])
-    return d.select(F.col("window_end_ms").cast("bigint"), F.col("key").cast("bigint"),
-                    F.col("n").cast("bigint")).filter(cond)
+        return spark.createDataFrame([], LIVE_SCHEMA)
+    deltas = _read(spark, f"{state_dir}/deltas", f"b bigint, {LIVE_SCHEMA}")
+    return deltas.filter(F.col("b").isin(batches)).filter(cond).select("window_end_ms", "key", "n")
 
 
 class RefireWriter:
     """foreachBatch function: `query = stream.writeStream.foreachBatch(RefireWriter(...)).start()`.
 
     Input rows need `ts_ms bigint` and `key`. `clock(batch_id)` gives the processing time logged for the batch
-    (default: wall clock); replays pass a deterministic one."""
+    (default: wall clock); replays pass a deterministic one. Without `cleanup_delay_ms` the whole history is kept.
+    `encode` is the sink's Column function of key and count (U3)."""
 
     def __init__(self, state_dir: str, size_ms: int, delay_ms: int = 0, n_partitions: int | None = None,
-                 clock: Callable[[int], int] | None = None, sink_dir: str | None = None):
+                 clock: Callable[[int], int] | None = None, sink_dir: str | None = None,
+                 cleanup_delay_ms: int | None = None, encode=None, sink: Callable[[DataFrame, int], None] | None = None):
         self.state_dir = state_dir.rstrip("/")
         self.size_ms = size_ms
         self.delay_ms = delay_ms
         self.n_partitions = n_partitions
         self.clock = clock or (lambda _b: int(time.time() * 1000))
         self.sink_dir = sink_dir.rstrip("/") if sink_dir else None
-        self._prepared = False
-
-    def prepare(self, spark: SparkSession) -> None:
-        """Create the (empty) batch log and window index, so the first batch reads them instead of a missing path.
-        Appending zero rows is idempotent."""
-        if not self._prepared:
-            spark.createDataFrame([], LOG_SCHEMA).write.mode("append").parquet(f"{self.state_dir}/log")
-            spark.createDataFrame([], "b bigint, window_end_ms bigint").write.mode("append") \
-                .parquet(f"{self.state_dir}/windows")
-            self._prepared = True
+        self.cleanup_delay_ms = cleanup_delay_ms
+        self.encode = encode
+        self.sink = sink
+        self._seen: dict[int, tuple[int | None, int | None]] = {}    # next batch id -> last batch before it
 
     def _write_delta(self, counts: DataFrame, batch_id: int) -> None:
         # sorted by window inside each file, so a read for some windows skips other row groups
         (counts.select("window_end_ms", "key", "n").hint("rebalance").sortWithinPartitions("window_end_ms")
          .write.mode("overwrite").parquet(f"{self.state_dir}/deltas/b={batch_id}"))
-        (counts.select(F.lit(batch_id).cast("bigint").alias("b"), "window_end_ms").distinct().coalesce(1)
-         .write.mode("append").parquet(f"{self.state_dir}/windows"))
+        (counts.select("window_end_ms").distinct().coalesce(1)
+         .write.mode("overwrite").parquet(f"{self.state_dir}/windows/b={batch_id}"))
 
     def _commit(self, spark: SparkSession, batch_id: int, t_ms: int, wm: int | None) -> None:
-        (spark.createDataFrame([(batch_id, t_ms, wm)], LOG_SCHEMA).coalesce(1)
-         .write.mode("append").parquet(f"{self.state_dir}/log"))
+        path = f"{self.state_dir}/log/b={batch_id}"
+        if not _exists(spark, f"{path}/_SUCCESS"):        # a batch tried again keeps its first time
+            (spark.createDataFrame([(t_ms, wm)], "t_ms bigint, wm_ms bigint").coalesce(1)
+             .write.mode("overwrite").parquet(path))
+        self._seen = {batch_id + 1: (batch_id, wm), batch_id: self._seen.get(batch_id, (None, None))}
+
+    def _previous(self, spark: SparkSession, batch_id: int) -> tuple[int | None, int | None]:
+        """The log is read once after a start; later batches remember their predecessor."""
+        if batch_id not in self._seen:
+            self._seen[batch_id] = last_batch(spark, self.state_dir, batch_id)
+        return self._seen[batch_id]
 
     def _fires_frame(self, fires: DataFrame) -> DataFrame:
         if self.n_partitions:
@@ -112,23 +124,45 @@ class RefireWriter:
         """T9 from a table: start from given open windows `(window_end_ms, key, n)` and watermark, as batch -1
         (before the stream's first batch). Only for a fresh state folder."""
         spark = live.sparkSession
-        self.prepare(spark)
         self._write_delta(live.select("window_end_ms", F.col("key").cast("bigint"), F.col("n").cast("bigint")), -1)
         (self._fires_frame(spark.createDataFrame([], LIVE_SCHEMA)).write.mode("overwrite")
          .parquet(f"{self.state_dir}/fires/fire_b=-1"))
         self._commit(spark, -1, self.clock(-1) if t_ms is None else t_ms, watermark_ms)
 
+    def clean(self, spark: SparkSession, batch_id: int, wm: int | None, t_ms: int) -> None:
+        """Drop state that nothing can read after this batch."""
+        # a row per batch that is not cleaned yet; read before anything goes
+        ends = {r["b"]: r["e"] for r in _read(spark, f"{self.state_dir}/windows", INDEX_SCHEMA)
+                .groupBy("b").agg(F.max("window_end_ms").alias("e")).collect()}
+        closed = [b for b, e in ends.items() if wm is not None and e < wm and b < batch_id]
+        logged = [r["b"] for r in read_batches(spark, self.state_dir).select("b").collect()]
+        fires = _read(spark, f"{self.state_dir}/fires", "fire_b bigint, window_end_ms bigint")
+        times = (fires.select(F.col("fire_b").alias("b")).distinct()
+                 .join(read_batches(spark, self.state_dir), "b").select("b", "t_ms").collect())
+        gone, after = [], t_ms
+        for b, t in sorted(times, key=lambda r: -r["t_ms"]):     # as many as there are uncleaned fires
+            if gone or after - t > self.cleanup_delay_ms:
+                gone.append(b)
+            after = t
+        for b in closed:
+            delete_folder(spark, f"{self.state_dir}/deltas/b={b}")
+            delete_folder(spark, f"{self.state_dir}/windows/b={b}")
+        for b in gone:
+            delete_folder(spark, f"{self.state_dir}/fires/fire_b={b}")
+        needed = ({b for b, _ in times} - set(gone)) | (ends.keys() - set(closed))
+        for b in logged:
+            if b < batch_id and b not in needed:       # also what a batch without rows has left
+                for folder in (f"fires/fire_b={b}", f"deltas/b={b}", f"windows/b={b}", f"log/b={b}"):
+                    delete_folder(spark, f"{self.state_dir}/{folder}")
+
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        self.prepare(spark)
         pre = (batch.select(window_end("ts_ms", self.size_ms).alias("window_end_ms"), F.col("key").cast("bigint"),
                             F.col("ts_ms"))
                .groupBy("window_end_ms", "key").agg(F.count(F.lit(1)).alias("n"), F.max("ts_ms").alias("mx"))
                .persist())
         max_ts = pre.agg(F.max("mx")).first()[0]
-        prev = read_batches(spark, self.state_dir).filter(F.col("b") < batch_id) \
-            .agg(F.max("b").alias("b"), F.max("wm_ms").alias("wm")).first()
-        prev_b, prev_wm = prev["b"], prev["wm"]
+        prev_b, prev_wm = self._previous(spark, batch_id)
         cands = [w for w in (prev_wm, None if max_ts is None else max_ts - self.delay_ms) if w is not None]
         wm = max(cands) if cands else None
         self._write_delta(pre, batch_id)
@@ -139,27 +173,43 @@ class RefireWriter:
             closing = (e < F.lit(wm)) if prev_wm is None else ((e >= F.lit(prev_wm)) & (e < F.lit(wm)))
             late = (e < F.lit(prev_wm)) if prev_wm is not None else F.lit(False)
             fires = pre.filter(closing | late).select("window_end_ms", "key", "n")
-            if prev_b is not None:
-                older = _window_deltas(spark, self.state_dir,
-                                       _delta_batches(spark, self.state_dir, closing, prev_b), closing)
-                if older is not None:
-                    fires = fires.unionByName(older)
+            if prev_b is not None and prev_wm != wm:
+                fires = fires.unionByName(_window_deltas(spark, self.state_dir, closing, prev_b))
             fires = fires.groupBy("window_end_ms", "key").agg(F.sum("n").cast("bigint").alias("n"))
-        (self._fires_frame(fires).hint("rebalance").write.mode("overwrite")
-         .parquet(f"{self.state_dir}/fires/fire_b={batch_id}"))
-        if self.sink_dir:  # S3: emitted pairs as '(key,count)' text, one folder per batch (idempotent)
-            from windowstate.sources.sinks import pairs_frame
-            pairs_frame(spark.read.parquet(f"{self.state_dir}/fires/fire_b={batch_id}")) \
-                .write.mode("overwrite").text(f"{self.sink_dir}/batch={batch_id}")
-        self._commit(spark, batch_id, self.clock(batch_id), wm)
+        fired_dir = f"{self.state_dir}/fires/fire_b={batch_id}"
+        self._fires_frame(fires).hint("rebalance").write.mode("overwrite").parquet(fired_dir)
+        emit(spark, fired_dir, batch_id, self.sink_dir, self.encode, self.sink)
+        t_ms = self.clock(batch_id)
+        self._commit(spark, batch_id, t_ms, wm)
+        if self.cleanup_delay_ms is not None:
+            self.clean(spark, batch_id, wm, t_ms)
         pre.unpersist()
 
 
-def read_fire_log(spark: SparkSession, state_dir: str) -> DataFrame:
-    """`(fire_b, [partition,] window_end_ms, key, n)` of committed batches."""
+def emit(spark: SparkSession, fired_dir: str, batch_id: int, sink_dir: str | None, encode=None,
+         sink: Callable[[DataFrame, int], None] | None = None) -> None:
+    """S3: a batch's emitted pairs as `value` strings, to one text folder per batch and / or a sink function."""
+    from windowstate.sources.sinks import pairs_frame
+    if sink_dir or sink:
+        pairs = pairs_frame(spark.read.parquet(fired_dir), encode=encode)
+        if sink_dir:
+            pairs.write.mode("overwrite").text(f"{sink_dir}/batch={batch_id}")
+        if sink:
+            sink(pairs, batch_id)
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
+def read_fire_log(spark: SparkSession, state_dir: str, since_ms: int | None = None) -> DataFrame:
+    """`(fire_b, [partition,] window_end_ms, key, n)` of committed batches (logged at `since_ms` or later)."""
     fires = spark.read.parquet(f"{state_dir}/fires").withColumn("fire_b", F.col("fire_b").cast("bigint"))
-    committed = read_batches(spark, state_dir).select(F.col("b").alias("fire_b"))
-    fires = fires.join(F.broadcast(committed), "fire_b", "left_semi")
+    committed = read_batches(spark, state_dir)
+    if since_ms is not None:
+        committed = committed.filter(F.col("t_ms") >= since_ms)
+    fires = fires.join(committed.select(F.col("b").alias("fire_b")), "fire_b", "left_semi")
     cols = ["fire_b"] + (["partition"] if "partition" in fires.columns else []) + ["window_end_ms", "key", "n"]
     return fires.select(*cols)
 
@@ -168,29 +218,21 @@ def read_live(spark: SparkSession, state_dir: str, batch: int | None = None) ->
     """Open windows after `batch` (default: the last committed batch): deltas of committed batches <= batch for
     windows at or above that batch's watermark (never fired), summed."""
     state_dir = state_dir.rstrip("/")
-    log = read_batches(spark, state_dir)
-    if batch is not None:
-        log = log.filter(F.col("b") <= batch)
-    last = log.agg(F.max("b").alias("b"), F.max("wm_ms").alias("wm")).first()
-    if last["b"] is None:
+    last_b, wm = last_batch(spark, state_dir, None if batch is None else batch + 1)
+    if last_b is None:
         return spark.createDataFrame([], LIVE_SCHEMA)
-    is_open = F.col("window_end_ms") >= F.lit(last["wm"]) if last["wm"] is not None else F.lit(True)
-    deltas = _window_deltas(spark, state_dir, _delta_batches(spark, state_dir, is_open, last["b"]), is_open)
-    if deltas is None:
-        return spark.createDataFrame([], LIVE_SCHEMA)
-    return deltas.groupBy("window_end_ms", "key").agg(F.sum("n").cast("bigint").alias("n"))
+    is_open = F.col("window_end_ms") >= F.lit(wm) if wm is not None else F.lit(True)
+    return (_window_deltas(spark, state_dir, is_open, last_b)
+            .groupBy("window_end_ms", "key").agg(F.sum("n").cast("bigint").alias("n")))
 
 
-def read_retained(spark: SparkSession, state_dir: str, at_ms: int, delay_ms: int, batch: int | None = None,
-                  n_partitions: int | None = None) -> DataFrame:
+def read_retained(spark: SparkSession, state_dir: str, at_ms: int, delay_ms: int, batch: int | None = None) -> DataFrame:
     """T6/T7 over streaming state: emitted windows still readable at `at_ms` after `batch` (default: last
     committed). Needs a writer built with n_partitions."""
     from windowstate.operators.retention import retained_view
-    log = read_batches(spark, state_dir)
     if batch is None:
-        batch = log.agg(F.max("b")).first()[0]
-    flog = read_fire_log(spark, state_dir).persist()
-    return retained_view(flog, log, batch, at_ms, delay_ms)
+        batch = last_batch(spark, state_dir)[0]
+    return retained_view(read_fire_log(spark, state_dir), read_batches(spark, state_dir), batch, at_ms, delay_ms)
 
 
 class LookupWriter:
@@ -210,8 +252,9 @@ class LookupWriter:
         from windowstate.operators.lookups import lookup
         spark = requests.sparkSession
         at = self.clock(batch_id)
-        live = read_live(spark, self.state_dir)
-        ret = read_retained(spark, self.state_dir, at, self.delay_ms)
+        last_b = last_batch(spark, self.state_dir)[0]        # one snapshot for both
+        live = read_live(spark, self.state_dir, last_b)
+        ret = read_retained(spark, self.state_dir, at, self.delay_ms, last_b)
         now = self.now_ms if self.now_ms is not None else at
         answers = lookup(requests, live, self.size_ms, retained=ret, now_ms=now)
         answers.write.mode("overwrite").parquet(f"{self.out_dir}/batch={batch_id}")

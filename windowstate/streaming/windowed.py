@@ -7,6 +7,8 @@ re-fire semantics (late rows counted again as deltas) are in `refire.py`."""
 
 from __future__ import annotations
 
+from collections import deque
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
@@ -57,36 +59,38 @@ def start_count(counts: DataFrame, sink_path: str, checkpoint: str, fmt: str = "
 
 class EmitLog:
     """foreachBatch sink for the built-in windowed count (append mode): writes each micro-batch's emitted windows
-    to `state_dir/fires/fire_b=<id>` (with the key's routing partition) and appends `(b, t_ms)` to `state_dir/log`,
+    to `state_dir/fires/fire_b=<id>` (with the key's routing partition) and writes `(t_ms)` to `state_dir/log/b=<id>`,
     the layout the re-fire readers use; so the retained windows of a built-in stream can be read
     (`refire.read_retained`) and looked up. Writes are keyed by batch id (idempotent on replay)."""
 
-    def __init__(self, state_dir: str, n_partitions: int, clock=None, sink_dir: str | None = None):
+    def __init__(self, state_dir: str, n_partitions: int, clock=None, sink_dir: str | None = None, encode=None,
+                 sink=None):
         import time as _time
         self.state_dir = state_dir.rstrip("/")
         self.n_partitions = n_partitions
         self.clock = clock or (lambda _b: int(_time.time() * 1000))
         self.sink_dir = sink_dir.rstrip("/") if sink_dir else None
+        self.encode, self.sink = encode, sink
 
     def __call__(self, emitted: DataFrame, batch_id: int) -> None:
         from windowstate.functions.keyhash import key_partition
+        from windowstate.streaming.refire import _exists, emit
         spark = emitted.sparkSession
         (key_partition(emitted.select("window_end_ms", "key", "n"), "key", self.n_partitions)
          .select("partition", "window_end_ms", "key", "n").hint("rebalance").write.mode("overwrite")
          .parquet(f"{self.state_dir}/fires/fire_b={batch_id}"))
-        if self.sink_dir:  # S3: emitted pairs as '(key,count)' text, one folder per batch (idempotent)
-            from windowstate.sources.sinks import pairs_frame
-            pairs_frame(spark.read.parquet(f"{self.state_dir}/fires/fire_b={batch_id}")) \
-                .write.mode("overwrite").text(f"{self.sink_dir}/batch={batch_id}")
-        (spark.createDataFrame([(batch_id, self.clock(batch_id), None)], "b bigint, t_ms bigint, wm_ms bigint")
-         .coalesce(1).write.mode("append").parquet(f"{self.state_dir}/log"))
+        emit(spark, f"{self.state_dir}/fires/fire_b={batch_id}", batch_id, self.sink_dir, self.encode, self.sink)
+        path = f"{self.state_dir}/log/b={batch_id}"
+        if not _exists(spark, f"{path}/_SUCCESS"):
+            (spark.createDataFrame([(self.clock(batch_id), None)], "t_ms bigint, wm_ms bigint").coalesce(1)
+             .write.mode("overwrite").parquet(path))
 
 
 class ProgressLog(StreamingQueryListener):
-    """Collects per-batch progress (batch id, rows, watermark, state rows, late rows dropped)."""
+    """Keeps the last `keep` batches' progress (batch id, rows, watermark, state rows, late rows dropped)."""
 
-    def __init__(self):
-        self.events: list[dict] = []
+    def __init__(self, keep: int = 1000):
+        self.events: deque[dict] = deque(maxlen=keep)
 
     def onQueryStarted(self, event):
         pass
