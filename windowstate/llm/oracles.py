@@ -109,7 +109,42 @@ SELECT doc_id, coalesce(n_email, 0) AS n_email, coalesce(n_ip, 0) AS n_ip, coale
 FROM d LEFT JOIN g USING (rn)
 """
 
+OP3 = r"""
+WITH d AS (SELECT row_number() OVER () AS rn, doc_id, encode(coalesce(text, '')) AS b FROM documents),
+wins AS (SELECT rn, doc_id, i, array_slice(b, i, i + 49) AS win FROM d, unnest(range(1, octet_length(b) - 48)) t(i)),
+low AS (SELECT win, min(doc_id) AS low FROM wins GROUP BY win HAVING min(doc_id) < max(doc_id)),
+hits AS (SELECT rn, i, lag(i) OVER (PARTITION BY rn ORDER BY i) AS before FROM wins JOIN low USING (win)
+  WHERE doc_id > low),
+marked AS (SELECT rn, i, sum(CASE WHEN before IS NULL OR i > before + 50 THEN 1 ELSE 0 END)
+  OVER (PARTITION BY rn ORDER BY i ROWS UNBOUNDED PRECEDING) AS run FROM hits),
+spans AS (SELECT rn, run, min(i) AS a, max(i) + 50 AS z FROM marked GROUP BY rn, run),
+pieces AS (SELECT rn, coalesce(lag(z) OVER (PARTITION BY rn ORDER BY a), 1) AS f, a AS t FROM spans
+  UNION ALL SELECT rn, max(z), NULL FROM spans GROUP BY rn),
+kept AS (SELECT rn, string_agg(hex(array_slice(b, f, coalesce(t - 1, octet_length(b)))), '' ORDER BY f) AS h
+  FROM pieces JOIN d USING (rn) WHERE f < coalesce(t, octet_length(b) + 1) GROUP BY rn),
+sums AS (SELECT rn, sum(z - a) AS n, count(*) AS k FROM spans GROUP BY rn)
+SELECT doc_id, CAST(octet_length(b) AS BIGINT) AS n_bytes, CAST(coalesce(n, 0) AS BIGINT) AS n_removed,
+  coalesce(k, 0) AS n_spans, sha256(CASE WHEN n IS NULL THEN b ELSE unhex(coalesce(h, '')) END) AS kept_sha256
+FROM d LEFT JOIN sums USING (rn) LEFT JOIN kept USING (rn)
+"""
+
+OP10 = r"""
+WITH RECURSIVE d AS (SELECT doc_id, """ + "regexp_extract_all(" + _LOWER.format("text") + r""", '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS g
+  FROM d, unnest(range(1, greatest(len(w) - 4, 1) + 1)) t(i) WHERE len(w) > 0),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT x, y FROM p JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y WHERE 100 * c >= 75 * (nx.n + ny.n - c)),
+e AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+r(doc_id, reach) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.doc_id, e.y FROM r JOIN e ON r.reach = e.x),
+c AS (SELECT doc_id, min(reach) AS component_id FROM r GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, component_id, component_id = d.doc_id AS kept
+FROM d LEFT JOIN n USING (doc_id) JOIN c USING (doc_id)
+"""
+
 LLM_ORACLES = {
+    "op3_suffix_dedup": OP3,
+    "op10_near_dup": OP10,
     "op4_url_filter": OP4,
     "op5_decontaminate": OP5,
     "op8_line_dedup": OP8,
