@@ -37,7 +37,7 @@ GRAM = 20
 SHALLOW = 16                     # bytes that the quicksort orders; 8 a step
 RUN = 64                         # windows in one run at most
 PIECE = 1 << 22                  # bytes of a text that are hashed at once
-CHUNK_WINDOWS = 400_000          # suffixes sorted at once, whole hashes
+CHUNK_WINDOWS = 200_000          # suffixes sorted at once, whole hashes
 HASH_BYTES = 5
 LAST = (1 << 63) - 1
 
@@ -87,10 +87,8 @@ def _post(n_buckets: int):
     start * RUN + windows - 1. An empty `hash` marks runs that are known to be shared; entries of key 0 only say
     that a hash is."""
     def block(bucket, keys, hashes, packed):
-        new = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
-        count = np.diff(np.concatenate((new, [len(keys)])))
-        return (bucket, _planes(keys[new], 8) + _planes(count, 8), _planes(hashes, HASH_BYTES) if len(hashes) else b"",
-                _planes(packed, 8))
+        owner, run = _pack(keys, packed)
+        return bucket, owner, _planes(hashes, HASH_BYTES) if len(hashes) else b"", run
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -134,6 +132,13 @@ def _from_planes(raw: bytes, n_bytes: int) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
+def _pack(keys: np.ndarray, packed: np.ndarray) -> tuple[bytes, bytes]:
+    """(owner, run) columns of a block."""
+    new = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+    count = np.diff(np.concatenate((new, [len(keys)])))
+    return _planes(keys[new], 8) + _planes(count, 8), _planes(packed, 8)
+
+
 def _unpack(owner: bytes, packed: bytes) -> tuple[np.ndarray, np.ndarray]:
     half = len(owner) // 2
     keys = np.repeat(_from_planes(owner[:half], 8).view(np.int64), _from_planes(owner[half:], 8).astype(np.int64))
@@ -155,32 +160,54 @@ def _by_document(keys: np.ndarray, packed: np.ndarray) -> pd.DataFrame:
     at = np.lexsort((packed, keys))
     at = at[np.concatenate(([True], (np.diff(keys[at]) != 0) | (np.diff(packed[at]) != 0)))[:len(at)]]
     pieces = np.split(at, np.flatnonzero(np.diff(keys[at])) + 1) if len(at) else []
-    return pd.DataFrame({"key": [int(keys[p[0]]) for p in pieces], "runs": [packed[p].tobytes() for p in pieces]})
+    return pd.DataFrame({"content": [int(keys[p[0]]) for p in pieces], "runs": [packed[p].tobytes() for p in pieces]})
+
 
+SHARED = "part int, owner binary, run binary"
 
-def _shared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Reduce side, rows ordered by bucket: (key, runs) of the runs whose hash several documents have."""
-    held: list[tuple[bytes, bytes, bytes]] = []
-    bucket = None
 
-    def decide() -> Iterator[pd.DataFrame]:
+def _shared(n_parts: int):
+    """Reduce side, rows ordered by bucket: blocks of the runs whose hash several texts have, by part of their keys."""
+    def decide(held) -> Iterator[pd.DataFrame]:
+        keys, packed = (np.concatenate(x) for x in zip(*[_unpack(o, r) for o, _, r in held], strict=True))
+        order, _, group, several = _several(np.concatenate([_from_planes(h, HASH_BYTES) for _, h, _ in held]), keys)
+        good = order[several[group] & (keys[order] != 0)]
+        keys, packed = keys[good], packed[good]
+        at = np.lexsort((packed, keys, keys % n_parts))
+        pieces = np.split(at, np.flatnonzero(np.diff(keys[at] % n_parts)) + 1) if len(at) else []
+        yield pd.DataFrame([(int(keys[p[0]] % n_parts), *_pack(keys[p], packed[p])) for p in pieces],
+                           columns=["part", "owner", "run"])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[tuple[bytes, bytes, bytes]] = []
+        bucket = None
+        for batch in batches:
+            known = batch[batch["hash"].map(len) == 0]           # their bucket is their part already
+            yield pd.DataFrame({"part": known["bucket"], "owner": known["owner"], "run": known["run"]})
+            for row in batch[batch["hash"].map(len) > 0].itertuples(index=False):
+                if row.bucket != bucket and held:
+                    yield from decide(held)
+                    held = []
+                bucket = row.bucket
+                held.append((row.owner, row.hash, row.run))
         if held:
-            keys, packed = (np.concatenate(x) for x in zip(*[_unpack(o, r) for o, _, r in held], strict=True))
-            order, _, group, several = _several(np.concatenate([_from_planes(h, HASH_BYTES) for _, h, _ in held]), keys)
-            good = order[several[group] & (keys[order] != 0)]
-            yield _by_document(keys[good], packed[good])
-            held.clear()
+            yield from decide(held)
+    return run
+
 
+def _gathered(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows ordered by part: (key, runs), one row for each text with shared runs."""
+    held: list[tuple[bytes, bytes]] = []
+    part = None
     for batch in batches:
         for row in batch.itertuples(index=False):
-            if not row.hash:
-                yield _by_document(*_unpack(row.owner, row.run))
-                continue
-            if row.bucket != bucket:
-                yield from decide()
-                bucket = row.bucket
-            held.append((row.owner, row.hash, row.run))
-    yield from decide()
+            if row.part != part and held:
+                yield _by_document(*(np.concatenate(x) for x in zip(*[_unpack(*h) for h in held], strict=True)))
+                held = []
+            part = row.part
+            held.append((row.owner, row.run))
+    if held:
+        yield _by_document(*(np.concatenate(x) for x in zip(*[_unpack(*h) for h in held], strict=True)))
 
 
 # --- step 3: order the suffixes of shared runs
@@ -195,7 +222,7 @@ def _segments(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         found: dict[tuple[int, bytes], bytes] = {}
         for key, order, text, held in zip(batch["key"], batch["ord"], batch["text"], batch["runs"], strict=True):
             raw = _as_bytes(text)
-            packed = np.concatenate([np.frombuffer(r, np.int64) for r in held])
+            packed = np.frombuffer(held, np.int64)
             start, end = packed // RUN, packed // RUN + packed % RUN + LENGTH
             lows = np.zeros(len(start), np.int64)            # the run's hash again, from its first window
             for lo, low in window_lows(raw):
@@ -389,12 +416,11 @@ def remove_repeats(docs: DataFrame, buckets: int | None = None) -> DataFrame:
     copies = (equal.where("ord > least").distinct()
               .select("key", F.lit(0).cast("long").alias("start"), F.col("size").alias("end")))
     posted = (docs.select(F.xxhash64("text").alias("key"), "text").mapInPandas(_post(n), POSTED))
-    shared = (posted.repartition(n, "bucket").sortWithinPartitions("bucket")
-              .mapInPandas(_shared, "key long, runs binary"))
-    # runs of a text go to the one document that stands for it; of one document, they are bounded by its text
-    by_text = table(shared.select(F.col("key").alias("content"), "runs")
-                    .join(equal.where("ord = least").select("content", "key").distinct(), "content")
-                    .groupBy("key").agg(F.collect_set("runs").alias("runs")), "repeats-shared")
+    shared = (posted.repartition(n, "bucket").sortWithinPartitions("bucket").mapInPandas(_shared(n), SHARED)
+              .repartition(n, "part").sortWithinPartitions("part").mapInPandas(_gathered, "content long, runs binary"))
+    # runs of a text go to the one document that stands for it
+    by_text = table(shared.join(equal.where("ord = least").select("content", "key").distinct(), "content")
+                    .select("key", "runs"), "repeats-shared")
     segments = (whole.join(by_text, "key").select("key", "ord", "text", "runs").mapInPandas(_segments, SEGMENTS))
     ranges = (segments.repartition(n, "hash").sortWithinPartitions("hash")
               .mapInPandas(_covered, "key long, start long, end long").unionByName(copies))
