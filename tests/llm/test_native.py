@@ -98,6 +98,17 @@ def test_line_dedup(spark):
     assert line_dedup.dedup_lines(frame.where("false")).count() == 0
 
 
+def test_line_dedup_of_passages_inside_lines(spark):
+    rng = random.Random(8)
+    passage = " ".join(" ".join(f"w{rng.randint(0, 10**6)}" for _ in range(15)) + "." for _ in range(4))   # 60 words
+    rows = [(1, f"One start here. {passage} One end."), (2, f"Other start? {passage} Other end.\nlast"),
+            (3, f"Third.\n{passage}"), (4, "First. Second!\nThird? Fourth"), (5, None), (6, "One end.")]
+    out = {r["doc_id"]: (r["text"], r["__n_lines"], r["__n_removed"])
+           for r in line_dedup.dedup_lines(docs_frame(spark, rows, clashing=True), sentences=True).collect()}
+    assert out == {1: (rows[0][1], 6, 0), 2: ("Other start? Other end.\nlast", 7, 4), 3: ("Third.", 5, 4),
+                   4: (rows[3][1], 4, 0), 5: (None, 0, 0), 6: ("One end.", 1, 0)}
+
+
 def brute_pii(text):
     def luhn(d):
         return sum(sum(divmod(2 * int(c), 10)) if i % 2 else int(c) for i, c in enumerate(reversed(d))) % 10 == 0

@@ -4,6 +4,9 @@ Lines are split at line feeds. Every window of three consecutive lines is hashed
 (document id, then position; null ids last) is kept and every later place marks its three lines. Marks of
 overlapping windows are merged per document and the marked lines go.
 
+With `sentences`, lines are cut further at sentence ends (a space after . ! or ?), so that passages inside long lines
+are found, too; units are compared without the line feed or space that ends them, and what is kept keeps its own.
+
 Edge cases: documents of fewer than three lines have no window and stay; null text stays null (0 lines); windows
 of blank lines only are no windows, so paragraph breaks do not match; rows equal in doc_id and text count as one
 document and get the same result; an empty table gives an empty result.
@@ -11,16 +14,24 @@ document and get the same result; an empty table gives an empty result.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 WINDOW_LINES = 3
+UNIT_END = r"(?<=\n)|(?<=[.!?] )"                   # no characters: a unit keeps what ends it
+
+
+def _units(sentences: bool) -> Column:
+    """Lines without their line feeds, or sentences with what ends them; null for null text."""
+    return F.split("text", UNIT_END if sentences else "\n")
 
 
-def marked_lines(docs: DataFrame, window: int = WINDOW_LINES) -> DataFrame:
+def marked_lines(docs: DataFrame, window: int = WINDOW_LINES, sentences: bool = False) -> DataFrame:
     """(doc_id, fp, lines): sorted 0-based positions of the lines to remove, per distinct (doc_id, text hash)."""
-    rows = docs.select("doc_id", "text").where(F.col("text").contains("\n")).select(
-        "doc_id", F.xxhash64("text").alias("fp"), F.split("text", "\n").alias("lines"))
+    lines = F.transform(_units(True), lambda x: F.regexp_replace(x, r"[\n ]\z", "")) if sentences else _units(False)
+    rows = docs.select("doc_id", "text").where(F.col("text").rlike(r"[\n ]") if sentences
+                                               else F.col("text").contains("\n")).select(
+        "doc_id", F.xxhash64("text").alias("fp"), lines.alias("lines"))
     windows = rows.where(F.size("lines") >= window).select("doc_id", "fp", F.posexplode(F.transform(
         F.sequence(F.lit(1), F.size("lines") - (window - 1)),
         lambda i: F.concat_ws("\n", F.slice(F.col("lines"), i, F.lit(window))))).alias("pos", "window_text"))
@@ -33,14 +44,16 @@ def marked_lines(docs: DataFrame, window: int = WINDOW_LINES) -> DataFrame:
             .groupBy("doc_id", "fp").agg(F.sort_array(F.collect_set("line")).alias("marked")))
 
 
-def dedup_lines(docs: DataFrame, window: int = WINDOW_LINES) -> DataFrame:
+def dedup_lines(docs: DataFrame, window: int = WINDOW_LINES, sentences: bool = False) -> DataFrame:
     """All columns of `docs` with `text` rid of repeated windows, plus __n_lines and __n_removed (long)."""
-    marks = marked_lines(docs, window).select(F.col("doc_id").alias("__m_id"), F.col("fp").alias("__m_fp"), "marked")
+    marks = marked_lines(docs, window, sentences).select(F.col("doc_id").alias("__m_id"), F.col("fp").alias("__m_fp"), "marked")
     joined = docs.withColumn("__fp", F.xxhash64("text")).join(
         marks.withColumnRenamed("marked", "__marked"),
         F.col("doc_id").eqNullSafe(F.col("__m_id")) & (F.col("__fp") == F.col("__m_fp")), "left")
-    lines = F.split("text", "\n")
-    kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains(F.col("__marked"), i)), "\n")
+    lines = _units(sentences)
+    kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains(F.col("__marked"), i)), "" if sentences else "\n")
+    if sentences:                                      # nothing follows the end of the last unit that is kept
+        kept = F.when(F.array_contains("__marked", F.size(lines) - 1), F.regexp_replace(kept, r"[\n ]\z", "")).otherwise(kept)
     out = joined.withColumn("__n_lines", F.coalesce(F.size(lines).cast("long"), F.lit(0).cast("long")))
     out = out.withColumn("__n_removed", F.coalesce(F.size("__marked").cast("long"), F.lit(0).cast("long")))
     return out.withColumn("text", F.when(F.col("__marked").isNotNull(), kept).otherwise(F.col("text"))).select(
