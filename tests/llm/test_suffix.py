@@ -4,6 +4,7 @@ import random
 import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from windowstate.llm import suffix_dedup as sd
 
@@ -46,6 +47,30 @@ def test_one_group_of_many_copies(spark):
     check(spark, [(i, (f"{i} " if i % 3 else "") + text) for i in range(150)])
 
 
+def test_common_line_in_many_surroundings_is_not_one_group(spark, monkeypatch):
+    rng = random.Random(9)
+    say = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    line = say(70)
+    rows = [(rng.randint(0, 10**9), say(rng.randint(0, 60)) + line + say(rng.randint(0, 60))) for _ in range(120)]
+    rows += [(i, line[20:] + str(i % 7) * 40) for i in range(60)] + [rows[0], (None, line), (3, None)]
+    sorted_runs = []
+    plain = sd.segments
+
+    def seen(*args):
+        sorted_runs.append(plain(*args).where("not hot").groupBy("hash").agg(F.countDistinct("bytes").alias("n"))
+                           .agg(F.max("n")).first()[0] or 0)
+        return plain(*args)
+
+    monkeypatch.setattr(sd, "segments", seen)
+    frame = docs_frame(spark, rows).repartition(5)
+    for hot_runs in (sd.HOT_RUNS, 10, 0):
+        got = sorted((str(r["doc_id"]), r["n_removed"], r["n_spans"], r["kept_sha256"])
+                     for r in sd.remove_repeats(frame, hot_runs=hot_runs).collect())
+        assert got == sorted((str(d), n, k, hashlib.sha256(b).hexdigest())
+                             for (d, _), (_, n, k, b) in zip(rows, repeated_bytes(rows)))
+    assert sorted_runs[0] > 30 and sorted_runs[1] <= 10 and sorted_runs[2] == 0
+
+
 def test_empty(spark):
     assert sd.remove_repeats(docs_frame(spark, [])).count() == 0
 

@@ -7,11 +7,14 @@ input, over whole texts as UTF-8 bytes, and never cross documents. Only the firs
 1. Every 50-byte window is filed under the smallest hash of its 20-byte grams. Neighbouring windows share it, so a
    text falls into runs of windows, about one for 15 bytes. Equal windows are filed alike.
 2. Runs whose hash no other text has can't repeat and go no further. Hashes are posted in packed blocks; a hash
-   that several texts of one batch have is posted once for the batch.
+   that several texts of one batch have is posted once for the batch, with the number of its distinct runs there.
 3. The other runs travel, with their bytes, to the task of their hash. Equal runs of a batch travel once, with their
    documents. There the suffixes are ordered: multikey quicksort on 8-byte characters to a shallow depth (suffixes
    alone in their group are done), then a blind trie for each group that still shares its prefix. Suffixes that end
    in one leaf are equal; those of a document above the leaf's smallest id are repeated.
+   A hash with more than HOT_RUNS runs (a line with many surroundings) is not sorted as one group: each of its windows
+   goes by the hash of its own 50 bytes, equal windows of a batch once, smallest document first, so that no more than
+   a row is held.
 4. The covered ranges go back to their documents, are merged, and the text keeps the rest.
 
 Edge cases: null text counts as empty; texts of under 50 bytes lose nothing; rows equal in doc_id don't remove from
@@ -39,6 +42,8 @@ RUN = 64                         # windows in one run at most
 PIECE = 1 << 22                  # bytes of a text that are hashed at once
 CHUNK_WINDOWS = 200_000          # suffixes sorted at once, whole hashes
 HASH_BYTES = 5
+HOT_RUNS = 16_384                # runs of one hash that are sorted together
+FLUSH = 20_000                   # windows of such hashes that a task gathers before it hands them on
 LAST = (1 << 63) - 1
 
 
@@ -85,7 +90,7 @@ def _post(n_buckets: int):
     zero bytes compress: `hash` the lower 5 bytes of an entry's hash (buckets are told apart by the others, and a
     chance match only sends a run on), `owner` keys and counts of the entries' documents, `run` an entry's
     start * RUN + windows - 1. An empty `hash` marks runs that are known to be shared; entries of key 0 only say
-    that a hash is."""
+    that a hash is, and `run` how many distinct runs of it are known."""
     def block(bucket, keys, hashes, packed):
         owner, run = _pack(keys, packed)
         return bucket, owner, _planes(hashes, HASH_BYTES) if len(hashes) else b"", run
@@ -102,6 +107,7 @@ def _post(n_buckets: int):
             order, new, group, several = _several(hashes, keys)
             known = np.zeros(len(keys), dtype=bool)
             known[order] = several[group]
+            n_known = _distinct(texts["text"], got, known, order, group)[several]
             rows = []
             if known.any():
                 kk, pp = keys[known], packed[known]
@@ -112,7 +118,7 @@ def _post(n_buckets: int):
             told = hashes[order][new][several]
             hashes = np.concatenate((hashes[~known], told))
             keys = np.concatenate((keys[~known], np.zeros(len(told), np.int64)))
-            packed = np.concatenate((packed[~known], np.zeros(len(told), np.uint64)))
+            packed = np.concatenate((packed[~known], n_known.astype(np.uint64)))
             part = ((hashes >> np.uint64(8 * HASH_BYTES)) % np.uint64(n_buckets)).astype(np.int64)
             at = np.argsort(part, kind="stable")
             if len(at):
@@ -122,6 +128,33 @@ def _post(n_buckets: int):
     return run
 
 
+def _distinct(texts: pd.Series, got: list, known: np.ndarray, order: np.ndarray, group: np.ndarray) -> np.ndarray:
+    """For each group of equal hashes the number of its distinct runs, among the known ones of a batch."""
+    ids = np.zeros(known.sum(), np.int64)
+    at = done = 0
+    for text, (_, _, start, size) in zip(texts, got, strict=True):
+        mine = np.flatnonzero(known[at:at + len(start)])
+        at += len(start)
+        if len(mine):
+            raw = _as_bytes(text)
+            ends = start[mine] + size[mine] + LENGTH - 1
+            ids[done:done + len(mine)] = [hash(raw[a:b]) for a, b in zip(start[mine].tolist(), ends.tolist(), strict=True)]
+            done += len(mine)
+    groups = np.zeros(len(known), np.int32)
+    groups[order] = group
+    groups = groups[known]
+    by = np.lexsort((ids, groups))
+    groups, ids = groups[by], ids[by]
+    first = np.concatenate(([True], (groups[1:] != groups[:-1]) | (ids[1:] != ids[:-1])))[:len(by)]
+    return np.bincount(groups[first], minlength=group[-1] + 1)
+
+
+def _codes(hashes: np.ndarray, n_buckets: int) -> np.ndarray:
+    """What step 2 knows of a hash: its bucket and its lower bytes."""
+    low = np.uint64(8 * HASH_BYTES)
+    return (((hashes >> low) % np.uint64(n_buckets)) << low) | (hashes & np.uint64((1 << (8 * HASH_BYTES)) - 1))
+
+
 def _planes(x: np.ndarray, n_bytes: int) -> bytes:
     return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :n_bytes].T).tobytes()
 
@@ -166,11 +199,18 @@ def _by_document(keys: np.ndarray, packed: np.ndarray) -> pd.DataFrame:
 SHARED = "part int, owner binary, run binary"
 
 
-def _shared(n_parts: int):
-    """Reduce side, rows ordered by bucket: blocks of the runs whose hash several texts have, by part of their keys."""
-    def decide(held) -> Iterator[pd.DataFrame]:
+def _shared(n_parts: int, hot_runs: int):
+    """Reduce side, rows ordered by bucket: blocks of the runs whose hash several texts have, by part of their keys.
+    Rows without owner hold the codes of hashes with more than `hot_runs` runs."""
+    def decide(held, bucket) -> Iterator[pd.DataFrame]:
         keys, packed = (np.concatenate(x) for x in zip(*[_unpack(o, r) for o, _, r in held], strict=True))
-        order, _, group, several = _several(np.concatenate([_from_planes(h, HASH_BYTES) for _, h, _ in held]), keys)
+        hashes = np.concatenate([_from_planes(h, HASH_BYTES) for _, h, _ in held])
+        order, new, group, several = _several(hashes, keys)
+        count = np.add.reduceat(np.where(keys == 0, packed, 1)[order], np.flatnonzero(new))
+        hot = hashes[order][new][count > hot_runs]
+        if len(hot):
+            codes = hot | np.uint64(bucket << (8 * HASH_BYTES))
+            yield pd.DataFrame([(bucket, b"", codes.tobytes())], columns=["part", "owner", "run"])
         good = order[several[group] & (keys[order] != 0)]
         keys, packed = keys[good], packed[good]
         at = np.lexsort((packed, keys, keys % n_parts))
@@ -186,21 +226,23 @@ def _shared(n_parts: int):
             yield pd.DataFrame({"part": known["bucket"], "owner": known["owner"], "run": known["run"]})
             for row in batch[batch["hash"].map(len) > 0].itertuples(index=False):
                 if row.bucket != bucket and held:
-                    yield from decide(held)
+                    yield from decide(held, bucket)
                     held = []
                 bucket = row.bucket
                 held.append((row.owner, row.hash, row.run))
         if held:
-            yield from decide(held)
+            yield from decide(held, bucket)
     return run
 
 
 def _gathered(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows ordered by part: (key, runs), one row for each text with shared runs."""
+    """Rows ordered by part: (key, runs), one row for each text with shared runs; codes of hot hashes under no key."""
     held: list[tuple[bytes, bytes]] = []
     part = None
     for batch in batches:
-        for row in batch.itertuples(index=False):
+        hot = batch[batch["owner"].map(len) == 0]
+        yield pd.DataFrame({"content": pd.array([None] * len(hot), dtype="Int64"), "runs": hot["run"]})
+        for row in batch[batch["owner"].map(len) > 0].itertuples(index=False):
             if row.part != part and held:
                 yield _by_document(*(np.concatenate(x) for x in zip(*[_unpack(*h) for h in held], strict=True)))
                 held = []
@@ -212,29 +254,55 @@ def _gathered(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 # --- step 3: order the suffixes of shared runs
 
-SEGMENTS = "hash long, bytes binary, places binary"
+SEGMENTS = "hash long, hot boolean, bytes binary, low long, places binary"
 PLACE = 24                       # bytes of a place: document key, rank and start of the run
 
 
-def _segments(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """(hash, bytes, places): the distinct runs of a batch with the documents and places they stand in."""
-    for batch in batches:
-        found: dict[tuple[int, bytes], bytes] = {}
-        for key, order, text, held in zip(batch["key"], batch["ord"], batch["text"], batch["runs"], strict=True):
-            raw = _as_bytes(text)
-            packed = np.frombuffer(held, np.int64)
-            start, end = packed // RUN, packed // RUN + packed % RUN + LENGTH
-            lows = np.zeros(len(start), np.int64)            # the run's hash again, from its first window
-            for lo, low in window_lows(raw):
-                here = (start >= lo) & (start < lo + len(low))
-                lows[here] = low[start[here] - lo].astype(np.int64)
-            places = np.column_stack((np.full(len(start), key), np.full(len(start), order), start)).tobytes()
-            for i, (h, s, e) in enumerate(zip(lows.tolist(), start.tolist(), end.tolist(), strict=True)):
-                run = h, raw[s:e]
-                place = places[i * PLACE:(i + 1) * PLACE]
-                found[run] = found[run] + place if run in found else place
-        yield pd.DataFrame({"hash": np.array([h for h, _ in found], dtype=np.int64),
-                            "bytes": [b for _, b in found], "places": list(found.values())})
+def _segments(n_buckets: int, hot: np.ndarray):
+    """(hash, hot, bytes, low, places): the distinct runs of a batch with the documents and places they stand in. Of
+    runs whose hash is in `hot` (codes) the single windows, each with the smallest rank that has it."""
+    def frame(found: dict[tuple[int, bytes], bytes]) -> pd.DataFrame:
+        return pd.DataFrame({"hash": np.array([h for h, _ in found], dtype=np.int64), "hot": False,
+                             "bytes": [b for _, b in found], "low": 0, "places": list(found.values())})
+
+    def hot_frame(windows: dict[bytes, list[bytes]]) -> pd.DataFrame:
+        places = [b"".join(p) for p in windows.values()]
+        low = [int(np.frombuffer(p, np.int64)[1::3].min()) for p in places]
+        return pd.DataFrame({"hash": 0, "hot": True, "bytes": list(windows), "low": low, "places": places})
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found: dict[tuple[int, bytes], bytes] = {}
+            windows: dict[bytes, list[bytes]] = {}
+            gathered = 0
+            for key, order, text, held in zip(batch["key"], batch["ord"], batch["text"], batch["runs"], strict=True):
+                raw = _as_bytes(text)
+                packed = np.frombuffer(held, np.int64)
+                start, end = packed // RUN, packed // RUN + packed % RUN + LENGTH
+                lows = np.zeros(len(start), np.uint64)           # the run's hash again, from its first window
+                for lo, low in window_lows(raw):
+                    here = (start >= lo) & (start < lo + len(low))
+                    lows[here] = low[start[here] - lo]
+                is_hot = np.isin(_codes(lows, n_buckets), hot)
+                for s, e in zip(start[is_hot].tolist(), end[is_hot].tolist(), strict=True):
+                    at = np.arange(s, e - LENGTH + 1)
+                    places = np.column_stack((np.full(len(at), key), np.full(len(at), order), at)).tobytes()
+                    for i in range(len(at)):
+                        windows.setdefault(raw[s + i:s + i + LENGTH], []).append(places[i * PLACE:(i + 1) * PLACE])
+                    gathered += len(at)
+                    if gathered >= FLUSH:
+                        yield hot_frame(windows)
+                        windows, gathered = {}, 0
+                start, end, lows = start[~is_hot], end[~is_hot], lows[~is_hot].astype(np.int64)
+                places = np.column_stack((np.full(len(start), key), np.full(len(start), order), start)).tobytes()
+                for i, (h, s, e) in enumerate(zip(lows.tolist(), start.tolist(), end.tolist(), strict=True)):
+                    one = h, raw[s:e]
+                    place = places[i * PLACE:(i + 1) * PLACE]
+                    found[one] = found[one] + place if one in found else place
+            yield frame(found)
+            if windows:
+                yield hot_frame(windows)
+    return run
 
 
 def equal_groups(text: np.ndarray, at: np.ndarray, group: np.ndarray) -> Iterator[np.ndarray]:
@@ -308,11 +376,21 @@ class BlindTrie:
 
 
 def _covered(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Reduce side, rows ordered by hash: (key, start, end) of covered byte ranges."""
+    """Reduce side, rows ordered by hash, hot, bytes and low: (key, start, end) of covered byte ranges."""
     held: list[tuple[int, bytes, bytes]] = []
     windows, last = 0, None
+    window, least = None, 0
     for batch in batches:
-        for row in zip(batch["hash"].tolist(), batch["bytes"], batch["places"], strict=True):
+        hot = batch["hot"].to_numpy(dtype=bool)
+        rows, ranks = batch[hot], []
+        for one, low in zip(rows["bytes"], rows["low"].tolist(), strict=True):
+            if one != window:                          # its first row has the smallest document
+                window, least = one, low
+            ranks.append(least)
+        for lo in range(0, len(rows), 1024):
+            yield _later(rows["places"].iloc[lo:lo + 1024], ranks[lo:lo + 1024])
+        rows = batch[~hot]
+        for row in zip(rows["hash"].tolist(), rows["bytes"], rows["places"], strict=True):
             if row[0] != last and windows >= CHUNK_WINDOWS:
                 yield _judge(held)
                 held, windows = [], 0
@@ -323,6 +401,13 @@ def _covered(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield _judge(held)
 
 
+def _later(places: pd.Series, least: list[int]) -> pd.DataFrame:
+    """The windows at those places whose document is above the smallest one of their row."""
+    place = np.frombuffer(b"".join(places), np.int64).reshape(-1, 3)
+    place = place[place[:, 1] > np.repeat(np.array(least, np.int64), [len(p) // PLACE for p in places])]
+    return pd.DataFrame({"key": place[:, 0], "start": place[:, 2], "end": place[:, 2] + LENGTH})
+
+
 def _judge(rows: list[tuple[int, bytes, bytes]]) -> pd.DataFrame:
     """Ranges of the windows that a smaller document has, over runs of whole hashes."""
     number: dict[tuple[int, bytes], int] = {}          # distinct runs
@@ -399,7 +484,15 @@ def _cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield out
 
 
-def remove_repeats(docs: DataFrame, buckets: int | None = None) -> DataFrame:
+def segments(whole: DataFrame, equal: DataFrame, shared: DataFrame, n: int, hot: np.ndarray) -> DataFrame:
+    """SEGMENTS of the shared runs; runs of a text go to the one document that stands for it."""
+    by_text = (shared.where("content is not null")
+               .join(equal.where("ord = least").select("content", "key").distinct(), "content").select("key", "runs"))
+    out = whole.join(by_text, "key").select("key", "ord", "text", "runs").mapInPandas(_segments(n, hot), SEGMENTS)
+    return out.withColumn("hash", F.when(F.col("hot"), F.xxhash64("bytes")).otherwise(F.col("hash")))
+
+
+def remove_repeats(docs: DataFrame, buckets: int | None = None, hot_runs: int = HOT_RUNS) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, removed), one row per row of `docs` (doc_id, text);
     `removed` are the merged byte ranges. `buckets` (of hashes, in step 2) defaults to the shuffle partitions, which a
     cluster sets by its data."""
@@ -416,13 +509,13 @@ def remove_repeats(docs: DataFrame, buckets: int | None = None) -> DataFrame:
     copies = (equal.where("ord > least").distinct()
               .select("key", F.lit(0).cast("long").alias("start"), F.col("size").alias("end")))
     posted = (docs.select(F.xxhash64("text").alias("key"), "text").mapInPandas(_post(n), POSTED))
-    shared = (posted.repartition(n, "bucket").sortWithinPartitions("bucket").mapInPandas(_shared(n), SHARED)
+    shared = (posted.repartition(n, "bucket").sortWithinPartitions("bucket").mapInPandas(_shared(n, hot_runs), SHARED)
               .repartition(n, "part").sortWithinPartitions("part").mapInPandas(_gathered, "content long, runs binary"))
-    # runs of a text go to the one document that stands for it
-    by_text = table(shared.join(equal.where("ord = least").select("content", "key").distinct(), "content")
-                    .select("key", "runs"), "repeats-shared")
-    segments = (whole.join(by_text, "key").select("key", "ord", "text", "runs").mapInPandas(_segments, SEGMENTS))
-    ranges = (segments.repartition(n, "hash").sortWithinPartitions("hash")
+    shared = table(shared, "repeats-shared")
+    # 8 bytes for each hash of more than hot_runs runs
+    hot = np.frombuffer(b"".join(r["runs"] for r in shared.where("content is null").select("runs").collect()), np.uint64)
+    ranges = (segments(whole, equal, shared, n, hot).repartition(n, "hash")
+              .sortWithinPartitions("hash", "hot", "bytes", "low")
               .mapInPandas(_covered, "key long, start long, end long").unionByName(copies))
     ranges = ranges.groupBy("key").agg(F.collect_list(F.struct("start", "end")).alias("ranges"))
     return (whole.join(ranges, "key", "left").select("ord", "text", "ranges").mapInPandas(_cut, RESULT))
