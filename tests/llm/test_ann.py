@@ -48,6 +48,16 @@ def test_small_tables_are_exact_with_ties_and_bad_rows(spark):
         assert np.allclose([s for _, s in got[q]], [-s for _, s in want[q]], rtol=0, atol=1e-15)
 
 
+def test_ties_of_different_vectors_go_to_the_smaller_id(spark, monkeypatch):
+    rows = [(0, [1.0] * 32)] + [(i, [float(j == i - 1) for j in range(32)]) for i in range(1, 31)]
+    rows += [(50, [1.0, 2.0] * 16)] + [(100 + i, [2.0 ** (i - 10) * x for x in [3.0, 1.0] * 16]) for i in range(1, 21)]
+    want = {q: [i for i, _ in v] for q, v in exact(rows).items()}
+    assert want[0] == [50, 101, 102, 103, 104]
+    assert {q: [i for i, _ in v] for q, v in answers(spark, rows).items()} == want
+    monkeypatch.setattr(ann, "OFFERED", 0)                                     # one bucket of 64, then everywhere
+    assert [i for i, _ in answers(spark, rows[:31], tables=1, probes=1)[0]] == [1, 2, 3, 4, 5]
+
+
 def test_blocks_give_the_same(spark, monkeypatch):
     rng = np.random.default_rng(2)
     base = rng.normal(size=16)

@@ -68,7 +68,7 @@ def _matrix(column: pd.Series, dtype: str) -> np.ndarray:
 
 
 def _bucketed(classes: DataFrame, dtype: str, tables: int, probes: int | None) -> DataFrame:
-    """(dim, tab, bucket, id, vec): each class under its nearest axis, or under its `probes` nearest ones."""
+    """(dim, tab, bucket, id, first_id, vec): each class under its nearest axis, or under its `probes` nearest ones."""
     def run(batches):
         for batch in batches:
             for _, part in batch.groupby("dim", sort=False):
@@ -80,13 +80,16 @@ def _bucketed(classes: DataFrame, dtype: str, tables: int, probes: int | None) -
                             else np.argmax(axes, axis=1)[:, None])
                     yield pd.DataFrame({"dim": np.repeat(part["dim"].to_numpy(), n), "tab": t, "bucket": best.ravel(),
                                         "id": np.repeat(part["id"].to_numpy(), n),
+                                        "first_id": np.repeat(part["first_id"].to_numpy(), n),
                                         "vec": np.repeat(part["vec"].to_numpy(), n)})
 
-    return classes.select("dim", "id", "vec").mapInPandas(run, "dim int, tab int, bucket int, id long, vec binary")
+    return classes.select("dim", "id", "first_id", "vec").mapInPandas(
+        run, "dim int, tab int, bucket int, id long, first_id long, vec binary")
 
 
 def _rerank(index: DataFrame, asked: DataFrame, dtype: str, keep: int) -> DataFrame:
-    """(q, id, score): for each bucket the `keep` nearest classes of every probing class. Both sides are dealt out in
+    """(q, id, score): for each bucket the `keep` nearest classes of every probing class, ties to the smaller
+    first_id. Both sides are dealt out in
     blocks of their bucket; a block of rows meets each block of probes."""
     where = ["dim", "tab", "bucket"]
     sizes = (index.groupBy(*where).agg(F.ceil(F.count(F.lit(1)) / ROWS_BLOCK).cast("int").alias("nr"))
@@ -102,9 +105,9 @@ def _rerank(index: DataFrame, asked: DataFrame, dtype: str, keep: int) -> DataFr
         if not len(left) or not len(right):
             return pd.DataFrame({"q": np.zeros(0, np.int64), "id": np.zeros(0, np.int64), "score": np.zeros(0)})
         return nearest(_matrix(left["vec"], dtype), left["id"].to_numpy(), _matrix(right["vec"], dtype),
-                       right["id"].to_numpy(), keep)
+                       right["id"].to_numpy(), keep, left["first_id"].to_numpy())
 
-    return (rows.select(*block, "id", "vec").groupBy(*block)
+    return (rows.select(*block, "id", "first_id", "vec").groupBy(*block)
             .cogroup(asks.select(*block, "id", "vec").groupBy(*block))
             .applyInPandas(score, "q long, id long, score double"))
 
@@ -116,8 +119,9 @@ def cosines(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return (x * y).sum(axis=-1) / (np.sqrt((x * x).sum(axis=-1)) * np.sqrt((y * y).sum(axis=-1)))
 
 
-def nearest(rows: np.ndarray, ids: np.ndarray, asked: np.ndarray, asked_ids: np.ndarray, keep: int) -> pd.DataFrame:
-    """The `keep` rows of largest cosine for each asked vector, ties to the smaller id."""
+def nearest(rows: np.ndarray, ids: np.ndarray, asked: np.ndarray, asked_ids: np.ndarray, keep: int,
+            first: np.ndarray) -> pd.DataFrame:
+    """The `keep` rows of largest cosine for each asked vector, ties to the smaller `first` id of a row's class."""
     unit = [v / np.abs(v).max(axis=1, keepdims=True) for v in (rows, asked)]
     unit = [v / np.linalg.norm(v, axis=1, keepdims=True) for v in unit]
     got = []
@@ -128,7 +132,7 @@ def nearest(rows: np.ndarray, ids: np.ndarray, asked: np.ndarray, asked_ids: np.
         for i in range(len(rough)):
             at = np.flatnonzero(rough[i] >= least[i] - NEAR_TIE)
             score = cosines(np.broadcast_to(asked[lo + i], (len(at), asked.shape[1])), rows[at])
-            order = np.lexsort((ids[at], -score))[:keep]
+            order = np.lexsort((ids[at], first[at], -score))[:keep]
             got.append((np.full(len(order), asked_ids[lo + i]), ids[at][order], score[order]))
     return pd.DataFrame(dict(zip(("q", "id", "score"), (np.concatenate(x) for x in zip(*got, strict=True)), strict=True)))
 
@@ -170,10 +174,10 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, tables: int = TABLE
     best = table(_top(found, classes, k + 1), "ann-found")
     total = rows.count()
     short = (asked.join(best.groupBy("q").agg(F.sum("weight").alias("have")), F.col("id") == F.col("q"), "left")
-             .where(F.coalesce("have", F.lit(0)) < min(k + 1, total)).select("id", "dim", "vec"))
+             .where(F.coalesce("have", F.lit(0)) < min(k + 1, total)).select("id", "first_id", "dim", "vec"))
     short = table(short, "ann-short")
     if short.limit(1).count():
-        everywhere = [F.lit(0).alias("tab"), F.lit(0).alias("bucket"), "id", "vec"]
+        everywhere = [F.lit(0).alias("tab"), F.lit(0).alias("bucket"), "id", "first_id", "vec"]
         again = _rerank(classes.select("dim", *everywhere), short.select("dim", *everywhere), dtype, k + 1)
         best = table(_top(found_union(best, again), classes, k + 1), "ann-found-all")
     answers = (best.select("q", "ids", "score").join(
