@@ -29,7 +29,7 @@ from pyspark.sql.types import ArrayType, FloatType
 from windowstate.llm.common import table
 
 TABLES = 8
-PROBES = 8
+PROBES = 16
 OFFERED = 1000
 ROWS_BLOCK = 8192
 PROBES_BLOCK = 2048
