@@ -1,6 +1,7 @@
 import zlib
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from windowstate.llm import quality_fm as fm
 from windowstate.llm.queries import op2_quality
@@ -57,3 +58,13 @@ def test_edges(spark):
     assert got.columns == [*docs.columns, "__score"]
     assert all(0 <= r["__score"] <= 1 for r in got.collect())
     assert fm.score_quality(docs.where("false"), fm.train(docs, labels)).count() == 0
+
+
+def test_sample_is_bounded_by_rows(spark):
+    ids = [i for i, held in [(r[0], r[1]) for r in spark.range(40).select("id", fm.held_out(F.col("id"))).collect()]
+           if not held][:4]
+    rows = [(ids[0], f"text {i % 50} of a hot id") for i in range(400)] + [(i, "alone") for i in ids[1:]] + [(ids[1], "alone")]
+    labels = spark.createDataFrame([(i, 1) for i in ids], "doc_id long, quality int")
+    got = fm.labelled_sample(docs_frame(spark, rows).repartition(3), labels, 20).collect()
+    assert sorted(r["doc_id"] for r in got) == [ids[0]] * 5 + ids[1:]
+    assert len({r["text"] for r in got if r["doc_id"] == ids[0]}) == 5

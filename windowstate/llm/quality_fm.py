@@ -19,7 +19,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from windowstate.llm import rolling
@@ -157,14 +157,18 @@ def fit(sample: list[tuple[np.ndarray, np.ndarray, np.ndarray]], y: np.ndarray)
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
-    """(doc_id, text, n_chars, y) of at most about `rows` labelled documents that are not held out. The chosen ids
-    are at most `rows`, so they are broadcast and the texts stay where they are."""
+    """(doc_id, text, n_chars, y) of at most `rows` labelled documents that are not held out. The chosen ids are at
+    most `rows`, so they are broadcast and the texts stay where they are. Equal rows count once; an id
+    with several texts gives its share of `rows` of them, by a seeded hash."""
     chosen = (labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull() & ~held_out(F.col("doc_id")))
               .groupBy("doc_id").agg((F.avg("quality") >= 0.5).cast("int").alias("y"))
               .orderBy(F.xxhash64("doc_id", F.lit(SEED)), "doc_id").limit(rows))
     ids = chosen.select(F.col("doc_id").alias("__id"), "y")
+    share = rows // max(1, chosen.count())
+    place = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("__fp", F.lit(SEED)), "__fp"))
     return (docs.select("doc_id", "text", "n_chars").join(F.broadcast(ids), F.col("doc_id") == F.col("__id"))
-            .select("doc_id", "text", "n_chars", "y"))
+            .withColumn("__fp", F.xxhash64("text", "n_chars")).dropDuplicates(["doc_id", "__fp"])
+            .withColumn("__place", place).where(F.col("__place") <= share).select("doc_id", "text", "n_chars", "y"))
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
