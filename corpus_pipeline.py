@@ -6,7 +6,7 @@ next stage's docs. All but the last return the columns of documents; the last ad
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from windowstate.llm import decontaminate, line_dedup, mixing, near_dup, quality_fm
@@ -30,10 +30,15 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near-duplicates: the one with the smallest id."""
+    """Keeps one row of each group of near-duplicates: of the smallest id the first by text hash. Rows without id are
+    a group for each text."""
     kept = near_dup.near_duplicates(docs.select("doc_id", "text")).where("kept").select(
         F.col("doc_id").alias("__kept_id")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__kept_id")), "left_semi").select(*docs.columns)
+    rows = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__kept_id")), "left_semi")
+    digest = F.md5("text")
+    place = F.row_number().over(Window.partitionBy("doc_id", F.when(F.col("doc_id").isNull(), digest))
+                                .orderBy(digest, F.xxhash64(*docs.columns)))
+    return rows.withColumn("__place", place).where(F.col("__place") == 1).select(*docs.columns)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -5,7 +5,7 @@ from windowstate.llm.common import table
 from windowstate.llm.oracles import LLM_ORACLES
 from windowstate.llm.queries import LLM_QUERIES
 
-from .helpers import deduped_lines, near_components, window_hits
+from .helpers import deduped_lines, docs_frame, near_components, window_hits
 
 SF = "/root/testdata/sf0.01"
 
@@ -58,6 +58,15 @@ def test_stages_on_odd_rows(spark):
             assert out.count() <= rows.count()
 
 
+def test_near_dedup_keeps_one_row_a_group(spark):
+    text = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, text), (1, text), (1, "another text of this id"), (2, text + " end"), (3, "x y"), (3, "x y"), (4, None),
+            (4, None), (None, "p q"), (None, "p q"), (None, "r s")]
+    out = rows_of(cp.dedup_near(spark, docs_frame(spark, rows), SF))
+    assert sorted(str(d) for d, _ in out) == ["1", "3", "4", "None", "None"]
+    assert {t for d, t in out if d is None} == {"p q", "r s"} and (3, "x y") in out and (4, None) in out
+
+
 def test_registered():
     import __spark_entry__ as entry
     names = entry.queries()
