@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import string
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from windowstate.session import scratch_dir
@@ -41,3 +41,18 @@ def rows_of(spark, columns: list[str], rows: list[tuple]) -> DataFrame:
     """A small fixed table from Python values, as plain literals."""
     structs = [F.struct(*[F.lit(v).alias(c) for c, v in zip(columns, r, strict=True)]) for r in rows]
     return spark.range(1).select(F.inline(F.array(*structs)))
+
+
+def numbered(df: DataFrame, order: list[Column], tag: str) -> DataFrame:
+    """`df` (a stored table) with `__at`, each row's place from 0 in `order`, which must tell all rows apart. Rows are
+    dealt out by ranges of the order, so no task holds more than its range, whatever key repeats; only one number per
+    range is added up in one place."""
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    ranged = table(ranged.withColumn("__id", F.monotonically_increasing_id()), tag)
+    part = F.shiftright("__id", 33)                      # partition number above, row number in the lower 33 bits
+    before = F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))
+    parts = (ranged.groupBy(part.alias("__part")).agg(F.count(F.lit(1)).alias("__n"))
+             .select("__part", F.coalesce(before, F.lit(0)).alias("__before")))
+    return (ranged.withColumn("__part", part).join(F.broadcast(parts), "__part")
+            .withColumn("__at", F.col("__before") + F.col("__id").bitwiseAND(F.lit((1 << 33) - 1)))
+            .drop("__id", "__part", "__before"))

@@ -142,7 +142,116 @@ SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, component_id, component_id = d.
 FROM d LEFT JOIN n USING (doc_id) JOIN c USING (doc_id)
 """
 
+# CRC-32 by its rule: a table of the 256 bytes' remainders, then one look-up a byte
+_CRC_TABLE = ("list_transform(range(256), lambda i: list_reduce([i::UINTEGER] || [0::UINTEGER FOR x IN range(8)], "
+              "lambda a, b: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384::UINTEGER) ELSE a >> 1 END))")
+
+
+def _crc(text: str) -> str:
+    """CRC-32 of a string column; the table is column `tab`."""
+    return (f"xor(list_reduce([4294967295::UINTEGER] || [('0x' || hex(array_slice(encode({text}), i, i)))::UINTEGER "
+            f"FOR i IN range(1, octet_length(encode({text})) + 1)], "
+            "lambda a, b: xor(a >> 8, tab[(xor(a, b) & 255) + 1])), 4294967295::UINTEGER)")
+
+
+OP11 = r"""
+WITH crc AS MATERIALIZED (SELECT """ + _CRC_TABLE + r""" AS tab),
+d AS MATERIALIZED (SELECT row_number() OVER () AS rn, doc_id, coalesce(""" + _WORDS.format("text") + r""", []) AS w FROM documents),
+b AS (SELECT coalesce(""" + _WORDS.format("text") + r""", []) AS w FROM benchmark),
+df AS MATERIALIZED (SELECT rn, unnest(w || [w[i] || ' ' || w[i + 1] FOR i IN range(1, len(w))]) AS f FROM d),
+bf AS MATERIALIZED (SELECT unnest(w || [w[i] || ' ' || w[i + 1] FOR i IN range(1, len(w))]) AS f FROM b),
+names AS MATERIALIZED (SELECT f, CAST(""" + _crc("f") + r""" % 10000 AS INT) AS bucket
+  FROM (SELECT f FROM df UNION SELECT f FROM bf), crc),
+s AS (SELECT bucket, count(*) AS s FROM df JOIN names USING (f) GROUP BY bucket),
+t AS (SELECT bucket, count(*) AS t FROM bf JOIN names USING (f) GROUP BY bucket),
+gain AS (SELECT g.bucket, CAST(floor(1000 * ln((coalesce(t, 0) + 1)::DOUBLE * ((SELECT count(*) FROM df) + 10000)::DOUBLE
+    / ((coalesce(s, 0) + 1)::DOUBLE * ((SELECT count(*) FROM bf) + 10000)::DOUBLE))) AS BIGINT) AS gain
+  FROM (SELECT unnest(range(10000)) AS bucket) g LEFT JOIN s USING (bucket) LEFT JOIN t USING (bucket)),
+weights AS (SELECT rn, CAST(floor(sum(gain)::DOUBLE / count(*)) AS BIGINT) AS weight
+  FROM df JOIN names USING (f) JOIN gain USING (bucket) GROUP BY rn),
+scored AS (SELECT rn, doc_id, len(w) AS n, greatest(2 * len(w) - 1, 0) AS n_features, coalesce(weight, 0) AS weight,
+  coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((CAST(('0x' || substr(sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')),
+    1, 8)) AS BIGINT)::DOUBLE + 0.5) / 4294967296))) AS BIGINT) AS score FROM d LEFT JOIN weights USING (rn)),
+ranked AS (SELECT rn, row_number() OVER (ORDER BY score DESC, doc_id, rn) AS r FROM scored WHERE n >= 20)
+SELECT doc_id, CAST(n_features AS BIGINT) AS n_features, weight, score,
+  CASE WHEN r <= 25 * (SELECT count(*) FROM ranked) // 100 THEN r END AS rank FROM scored LEFT JOIN ranked USING (rn)
+"""
+
+
+def _step(place: str, cost: str, letter: str) -> str:
+    return f"struct_pack(c := {place}.c + {cost}, a := {place}.a || {letter})"
+
+
+def _least(*ways: str) -> str:
+    return f"list_min([{', '.join(ways)}])"
+
+
+_INSERTED = (  # places after inserts: a2 after a user's row, a3 after an assistant's
+    _least("p2", *[_step(p, "3", "'I'") for p in ("p0", "p1", "p3")]) + " AS a2, "
+    + _least("p3", _step("p2", "3", "'I'"), _step("p0", "6", "'II'"), _step("p1", "6", "'II'")) + " AS a3")
+_NEVER = "struct_pack(c := 1000000000::BIGINT, a := '')"
+
+
+def _row(place: str, initial: str) -> str:
+    """Keeping or reroling a row from a place."""
+    return _step(place, f"CASE WHEN gone THEN 1000000000 ELSE extra + CASE WHEN ini = '{initial}' THEN 0 ELSE 3 END END",
+                 f"CASE WHEN ini = '{initial}' THEN 'K' ELSE 'R' END")
+
+
+OP12 = r"""
+WITH RECURSIVE crc AS MATERIALIZED (SELECT """ + _CRC_TABLE + r""" AS tab),
+k AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+  coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS key FROM conversations),
+c AS (SELECT conv_id, turn, role, text, """ + _crc("key") + r""" % 20 AS code FROM k, crc),
+dmg AS (SELECT conv_id, turn, CASE WHEN code = 4 THEN 'user' ELSE role END AS role, CASE WHEN code = 1 THEN ''
+    WHEN code = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, copy
+  FROM c, unnest(range(CASE code WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) u(copy)),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text), copy) AS i,
+  row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) AS seen, left(role, 1) AS ini,
+  regexp_extract(text, '([^\x20\x09-\x0D])[\x20\x09-\x0D]*$', 1) AS tail FROM dmg),
+f AS MATERIALIZED (SELECT conv_id, turn, role, text, i, ini, CASE WHEN tail = '' THEN 'blank' WHEN seen > 1 THEN 'duplicate'
+    WHEN tail NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault,
+  coalesce(lag(ini) OVER (PARTITION BY conv_id ORDER BY i) || ini NOT IN ('su', 'ua', 'au'), false) AS bad FROM o),
+g AS MATERIALIZED (SELECT conv_id, i, ini, fault IN ('blank', 'duplicate') AS gone, CASE WHEN fault = 'truncated' THEN 3 ELSE 0 END AS extra
+  FROM f),
+w(conv_id, i, p0, p1, p2, p3) AS (
+  SELECT DISTINCT conv_id, 0::BIGINT, struct_pack(c := 0::BIGINT, a := ''), """ + f"{_NEVER}, {_NEVER}, {_NEVER}" + r""" FROM conversations
+  UNION ALL
+  SELECT conv_id, i, """ + ", ".join([
+    _step("p0", "4", "'D'"),
+    _least(_step("p1", "4", "'D'"), _step("p0", "CASE WHEN gone OR ini <> 's' THEN 1000000000 ELSE extra END", "'K'")),
+    _least(_step("a2", "4", "'D'"), _row("p0", "u"), _row("p1", "u"), _row("a3", "u")),
+    _least(_step("a3", "4", "'D'"), _row("a2", "a"))]) + r"""
+  FROM (SELECT g.*, p0, p1, """ + _INSERTED + r""" FROM w JOIN g ON g.conv_id IS NOT DISTINCT FROM w.conv_id AND g.i = w.i + 1)),
+e AS (SELECT conv_id, """ + _least("p0", "a3") + r""" AS best FROM (SELECT conv_id, p0, """ + _INSERTED + r""" FROM w
+  QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY i DESC) = 1)),
+l AS (SELECT conv_id, j, best.a[j] AS letter, len(replace(left(best.a, j), 'I', '')) AS i,
+  len(replace(left(best.a, j), 'D', '')) AS nth FROM e, unnest(range(1, len(best.a) + 1)) u(j)),
+lines AS (SELECT l.conv_id, j, nth, letter, role, text, ini FROM l LEFT JOIN f ON f.conv_id IS NOT DISTINCT FROM l.conv_id
+  AND f.i = l.i AND letter <> 'I' WHERE letter <> 'D'),
+heads AS (SELECT conv_id, bool_or(nth = 1 AND letter = 'K' AND ini = 's') AS system FROM lines GROUP BY conv_id),
+fixed AS (SELECT lines.conv_id, string_agg(CASE WHEN letter = 'K' THEN role WHEN (nth % 2 = 1) = system THEN 'assistant'
+    ELSE 'user' END || ':' || CASE WHEN letter = 'I' THEN '' ELSE text END, chr(10) ORDER BY j) AS body
+  FROM lines JOIN heads ON heads.conv_id IS NOT DISTINCT FROM lines.conv_id GROUP BY lines.conv_id),
+n AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+  count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+  count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (bad) AS illegal FROM f GROUP BY conv_id)
+SELECT e.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+  coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, best.c AS cost, best.a AS audit,
+  sha256(coalesce(body, '')) AS repaired_sha256
+FROM e LEFT JOIN n ON n.conv_id IS NOT DISTINCT FROM e.conv_id LEFT JOIN fixed ON fixed.conv_id IS NOT DISTINCT FROM e.conv_id
+"""
+
+OP13 = r"""
+WITH d AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS body FROM documents)
+SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = min(doc_id) OVER w AS kept,
+  sha256(body) AS text_sha256 FROM d WINDOW w AS (PARTITION BY body)
+"""
+
 LLM_ORACLES = {
+    "op11_importance": OP11,
+    "op12_conversation_repair": OP12,
+    "op13_exact_dedup": OP13,
     "op3_suffix_dedup": OP3,
     "op10_near_dup": OP10,
     "op4_url_filter": OP4,

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from windowstate.llm import ann_polytope, decontaminate, license_scan, line_dedup, mixing, near_dup, pii, quality_fm, suffix_dedup, url_filter
+from windowstate.llm import (ann_polytope, conversation_repair, decontaminate, exact_dedup, importance, license_scan,
+                             line_dedup, mixing, near_dup, pii, quality_fm, suffix_dedup, url_filter)
 from windowstate.llm.common import alnum_words
 
 
@@ -90,7 +91,28 @@ def op7_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
                                F.col("vec_id") % 50 == 0)
 
 
+def op11_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, n_features, weight, score, rank) of every document."""
+    return importance.resample(_read(spark, sf_dir, "documents").select("doc_id", "text"),
+                               _read(spark, sf_dir, "benchmark").select("text"))
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(conv_id, gaps, blank, duplicate, truncated, illegal, cost, audit, repaired_sha256) of every conversation."""
+    rows = _read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    _, stream = conversation_repair.repair(conversation_repair.damage(rows), rows.select("conv_id"))
+    return conversation_repair.repaired_hashes(stream)
+
+
+def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, keep_id, group_size, kept, text_sha256) of every document."""
+    return exact_dedup.exact_groups(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 LLM_QUERIES = {
+    "op11_importance": op11_importance,
+    "op12_conversation_repair": op12_conversation_repair,
+    "op13_exact_dedup": op13_exact_dedup,
     "op7_ann": op7_ann,
     "op3_suffix_dedup": op3_suffix_dedup,
     "op10_near_dup": op10_near_dup,
