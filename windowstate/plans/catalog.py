@@ -12,10 +12,10 @@ from windowstate.functions.codec import long_text, parse_long, with_one
 from windowstate.functions.keyhash import key_partition
 from windowstate.functions.requests import parse_request
 from windowstate.functions.timecols import epoch_ms
-from windowstate.operators import counts, firelog, lookups, retention
+from windowstate.operators import counts, firelog, lookups, retention, statetable
 from windowstate.operators.scale import materialize
 from windowstate.plans.params import (CLEANUP_MS, DAY_MS, EPOCH_2024_MS, HOUR_MS, MISROUTED_PARTITIONS, MISSING_KEY_OFFSET,
-                                      N_PARTITIONS, NOW_MS, REPLAY_AT_MS, REPLAY_BATCH, SEQ_PARALLELISM,
+                                      N_BUCKETS, N_PARTITIONS, NOW_MS, REPLAY_AT_MS, REPLAY_BATCH, SEQ_PARALLELISM,
                                       SHORT_AT_MS, SHORT_CLEANUP_MS)
 from windowstate.sources.keys import sequence_keys
 from windowstate.sources.tables import arrival_rows, read_table, timed_keys
@@ -236,6 +236,15 @@ def q32_lineitem_lookup(spark, sf):
     return lookups.lookup(requests, counts.tumbling_count(rows, DAY_MS), DAY_MS)
 
 
+def q37_bucketed_lookup(spark, sf):
+    """A2 + L2: q09's lookups against a bucketed state table, in two halves that reuse its partitioning."""
+    state = counts.tumbling_count(_event_rows(spark, sf), HOUR_MS)
+    name = statetable.write_state_table(state, N_BUCKETS)
+    req = _requests(spark, sf)
+    halves = [statetable.lookup_table(req.where(F.col("req_id") % 2 == i), name, HOUR_MS, with_text=True) for i in (0, 1)]
+    return halves[0].unionByName(halves[1])
+
+
 BATCH_QUERIES: dict[str, Query] = {
     name: fn for name, fn in sorted(globals().items()) if name[:1] == "q" and name[1:3].isdigit() and callable(fn)
 }

@@ -224,3 +224,23 @@ select e as window_end_ms, key, n, 'live' as origin from live
 union all
 select r.e, r.key, r.n, 'retained' from ret r
 where not exists (select 1 from live l where l.e = r.e and l.key = r.key)"""
+
+_ALL = _replay_ctes(10**9, 0, 0)
+# the keyed operator fires a window in the micro-batch after the one whose watermark passes it, a late row in its own
+ORACLES["q33_keyed_refire"] = _ALL + """
+select e as window_end_ms, key, cast(coalesce(sum(n) filter (raw is not null), 0) as bigint) as n_fired,
+  count(distinct case when raw is not null then greatest(b, raw + 1) end) as n_fires, cast(coalesce(sum(n) filter (raw is null), 0) as bigint) as n_live,
+  cast(sum(n) as bigint) as n from f group by 1, 2"""
+ORACLES["q34_keyed_seed"] = _ALL + f"""
+select e as window_end_ms, key, case when raw is null then 'live' else 'fired' end as origin, cast(sum(n) as bigint) as n
+from f where b > {RESUME_SPLIT} or raw is null or fb > {RESUME_SPLIT} group by 1, 2, 3"""
+ORACLES["q35_state_changes"] = ORACLES["q22_state_history"]
+ORACLES["q36_lookup_static"] = ORACLES["q28_lookup_stream"]
+ORACLES["q37_bucketed_lookup"] = ORACLES["q09_lookup_join"]
+ORACLES["q38_progress"] = _ALL + """, up as (select b, wm > lag(wm) over (order by b) as up from bt),
+nb as (select b from bt union all select b + 1 from up where up and b = (select max(b) from bt))
+select b as batch_id, (select count(*) from ev where ev.b = nb.b) as rows, (select max(ts_ms) from ev where ev.b = nb.b) as last_ms,
+  (select count(*) from f where f.b = nb.b and f.b > raw + 1) as late_groups,
+  (select count(distinct (e, key)) from f where f.b <= nb.b and (raw is null or raw >= nb.b)) as state_rows from nb"""
+ORACLES["q39_pair_sink"] = f"select {PAIR} as pair from ({COUNTS}) c where window_end_ms < {WM}"
+ORACLES["q40_key_sink"] = "select user_id as key from events"

@@ -3,6 +3,7 @@
 HOUR_MS = 3_600_000          # window size of the table queries
 DAY_MS = 86_400_000          # window size of the line item queries
 N_PARTITIONS = 4             # routing partitions (the reference test's parallelism)
+N_BUCKETS = 8                # buckets of the state table that lookups reuse
 MISROUTED_PARTITIONS = 3     # partition count of a misrouted store for the audit query
 REPLAY_BATCH = 6             # replay batch, of ten, at which live / retained state is read
 REPLAY_AT_MS = 6_500         # processing time of the retained-state read

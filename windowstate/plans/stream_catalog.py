@@ -5,12 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from windowstate.operators import firelog
+from windowstate.operators.retention import retained_view
+from windowstate.operators.scale import materialize
 from windowstate.plans.params import CLEANUP_MS, HOUR_MS, N_PARTITIONS, REPLAY_BATCH
+from windowstate.session import scratch_dir
+from windowstate.sources.keys import decode_keys
+from windowstate.sources.sinks import pairs_frame, read_text_sink, start_text_sink, text_keys_frame
 from windowstate.sources.tables import ARRIVAL_BATCHES, arrival_rows, read_table
 from windowstate.streaming import filereplay as replay
-from windowstate.streaming import refire
-from windowstate.streaming.state import read_count_state
-from windowstate.streaming.windowed import AVAILABLE_NOW, EmitLog, start_count, windowed_count, with_event_time
+from windowstate.streaming import keyed, refire
+from windowstate.streaming.answers import start_answers
+from windowstate.streaming.state import read_count_changes, read_count_state, state_from_changes
+from windowstate.streaming.windowed import (AVAILABLE_NOW, EmitLog, ProgressTable, observed, start_count, windowed_count,
+                                            with_arrival_time, with_event_time)
 
 ROW_SCHEMA = "ts_ms bigint, key bigint"
 INGEST_WINDOW_MS = 2_000   # arrival-time windows of the ingestion-time query (two replay batches each)
@@ -88,16 +96,15 @@ def q28_lookup_stream(spark, sf):
 
 
 def q25_ingestion_time(spark, sf):
-    """T1 on a stream: each record carries the processing time of its arrival batch (1000*b) as event time, counted
-    per arrival window; the windows that the stream emits and those still open in its state."""
-    rows = _rows(spark, sf).select("b", (F.col("b") * F.lit(1000)).alias("ts_ms"), "key")
-    run = replay.new_run(spark, "q25", ROW_SCHEMA)
+    """T1 on a stream of keys without times: each record is stamped with the arrival of its file (1000*b for arrival
+    batch b) and counted per arrival window; the windows that the stream emits and those still open in its state."""
+    run = replay.new_run(spark, "q25", "key bigint")
 
     def start(src: DataFrame, r: replay.ReplayRun):
-        counts = windowed_count(with_event_time(src), INGEST_WINDOW_MS, delay_ms=0, strict=True)
+        counts = windowed_count(with_arrival_time(src), INGEST_WINDOW_MS, delay_ms=0, strict=True)
         return start_count(counts, r.output, r.checkpoint, trigger=AVAILABLE_NOW)
 
-    replay.replay(spark, rows, run, start, ARRIVAL_BATCHES)
+    replay.replay(spark, _rows(spark, sf).select("b", "key"), run, start, ARRIVAL_BATCHES)
     emitted = spark.read.schema("window_end_ms bigint, key bigint, n bigint").parquet(run.output)
     return emitted.unionByName(read_count_state(spark, run.checkpoint).select("window_end_ms", "key", "n"))
 
@@ -123,7 +130,116 @@ def q29_stream_lookup_drop(spark, sf):
     return lookup(_requests(spark, sf), live, HOUR_MS, retained=retained)
 
 
+def _keyed_run(spark, sf, tag, first=0, initial=None):
+    """The keyed operator over arrival batches first..: its fires (a row each) and the windows open in its state."""
+    run = replay.new_run(spark, tag, ROW_SCHEMA)
+
+    def start(src: DataFrame, r: replay.ReplayRun):
+        return start_count(keyed.keyed_windows(src, HOUR_MS, initial=initial), r.output, r.checkpoint, trigger=AVAILABLE_NOW)
+
+    with keyed.rocksdb_state(spark):
+        replay.replay(spark, _rows(spark, sf), run, start, ARRIVAL_BATCHES, first=first)
+    return spark.read.schema(keyed.WINDOWS_SCHEMA).parquet(run.output), keyed.read_windows(spark, run.checkpoint)
+
+
+def q33_keyed_refire(spark, sf):
+    """Late rows and all, per window and key: what fired, in how many fires, and what is open."""
+    fires, live = _keyed_run(spark, sf, "q33")
+    zero = F.lit(0).cast("bigint")
+    both = (fires.select("window_end_ms", "key", F.col("n").alias("n_fired"), F.lit(1).alias("n_fires"), zero.alias("n_live"))
+            .unionByName(live.select("window_end_ms", "key", zero.alias("n_fired"), F.lit(0).alias("n_fires"),
+                                     F.col("n").alias("n_live"))))
+    total = both.groupBy("window_end_ms", "key").agg(*[F.sum(c).cast("bigint").alias(c) for c in ("n_fired", "n_fires", "n_live")])
+    return total.withColumn("n", F.col("n_fired") + F.col("n_live"))
+
+
+def q34_keyed_seed(spark, sf):
+    """The keyed operator starts from the windows open after arrival batch RESUME_SPLIT, as a table, and streams the
+    rest: what it fires and what is open at the end."""
+    fired = firelog.replay(_rows(spark, sf), HOUR_MS).fired
+    seed = materialize(firelog.live_at(fired, RESUME_SPLIT), "q34-seed")[0]
+    fires, live = _keyed_run(spark, sf, "q34", first=RESUME_SPLIT + 1, initial=seed)
+    both = (fires.select("window_end_ms", "key", "n", F.lit("fired").alias("origin"))
+            .unionByName(live.select("window_end_ms", "key", "n", F.lit("live").alias("origin"))))
+    return both.groupBy("window_end_ms", "key", "origin").agg(F.sum("n").cast("bigint").alias("n"))
+
+
+def q35_state_changes(spark, sf):
+    """The change feed of the count's state, added up to REPLAY_BATCH, is the state after it (q22)."""
+    run = _count_run(spark, sf, "q35")
+    return state_from_changes(read_count_changes(spark, run.checkpoint, 0, REPLAY_BATCH))
+
+
+def q36_lookup_static(spark, sf):
+    """L2 as a stream-static join: the request stream meets a table of the state after the last arrival batch, live and
+    retained at its time (the rows of q28)."""
+    from windowstate.operators.lookups import state_view
+    from windowstate.plans.catalog import _requests
+    last_b = ARRIVAL_BATCHES - 1
+    rp = firelog.replay(_rows(spark, sf), HOUR_MS)
+    flog = materialize(firelog.fire_log(rp.fired, N_PARTITIONS), "q36-fires")[0]
+    retained = retained_view(flog, rp.log, last_b, 1000 * last_b, CLEANUP_MS)
+    state = materialize(state_view(firelog.live_at(rp.fired, last_b), retained), "q36-state")[0]
+    root = scratch_dir(spark, "q36")
+    _requests(spark, sf).write.parquet(f"{root}/requests")
+    requests = spark.readStream.schema("req_id bigint, ts_ms bigint, key bigint").parquet(f"{root}/requests")
+    start_answers(requests, state, HOUR_MS, f"{root}/answers", f"{root}/checkpoint", trigger=AVAILABLE_NOW).awaitTermination()
+    return spark.read.parquet(f"{root}/answers").select("req_id", "key", "window_end_ms", "n", "found")
+
+
+def q38_progress(spark, sf):
+    """A row per completed micro-batch of the drop-mode count: rows and latest time that came in, late (window, key)
+    groups dropped, state rows held."""
+    run = replay.new_run(spark, "q38", ROW_SCHEMA)
+    log = ProgressTable(spark, f"{run.root}/progress")
+    started = []
+
+    def start(src: DataFrame, r: replay.ReplayRun):
+        counts = windowed_count(with_event_time(observed(src)), HOUR_MS, delay_ms=0, strict=True)
+        started.append(start_count(counts, r.output, r.checkpoint, trigger=AVAILABLE_NOW))
+        return started[-1]
+
+    spark.streams.addListener(log)
+    try:
+        replay.replay(spark, _rows(spark, sf), run, start, ARRIVAL_BATCHES)
+        return log.read(started[-1].id, until_batch=started[-1].lastProgress.batchId)
+    finally:
+        spark.streams.removeListener(log)
+
+
+def _in_order(spark: SparkSession, sf: str) -> DataFrame:
+    """The events in order of their times: none is late."""
+    return arrival_rows(read_table(spark, sf, "events"), "user_id", "ts", "event_id", shuffled=False)
+
+
+def q39_pair_sink(spark, sf):
+    """S3: emitted pairs as text files, written by two runs over one checkpoint and read back (the pairs of q03)."""
+    run = replay.new_run(spark, "q39", ROW_SCHEMA)
+
+    def start(src: DataFrame, r: replay.ReplayRun):
+        counts = windowed_count(with_event_time(src), HOUR_MS, delay_ms=0, strict=True)
+        return start_text_sink(pairs_frame(counts), r.output, r.checkpoint, AVAILABLE_NOW)
+
+    replay.replay(spark, _in_order(spark, sf), run, start, ARRIVAL_BATCHES, RESUME_SPLIT)
+    return read_text_sink(spark, run.output).select(F.col("value").alias("pair"))
+
+
+def q40_key_sink(spark, sf):
+    """Keys as text files, written by a stream and decoded again."""
+    run = replay.new_run(spark, "q40", ROW_SCHEMA)
+    replay.replay(spark, _rows(spark, sf), run, lambda src, r: start_text_sink(
+        text_keys_frame(src), r.output, r.checkpoint, AVAILABLE_NOW), ARRIVAL_BATCHES, RESUME_SPLIT)
+    return decode_keys(read_text_sink(spark, run.output))
+
+
 STREAM_QUERIES = {
+    "q33_keyed_refire": q33_keyed_refire,
+    "q34_keyed_seed": q34_keyed_seed,
+    "q35_state_changes": q35_state_changes,
+    "q36_lookup_static": q36_lookup_static,
+    "q38_progress": q38_progress,
+    "q39_pair_sink": q39_pair_sink,
+    "q40_key_sink": q40_key_sink,
     "q20_stream_count": q20_stream_count,
     "q21_state_read": q21_state_read,
     "q22_state_history": q22_state_history,

@@ -23,6 +23,18 @@ def text_keys_frame(keys: DataFrame, key: str = "key") -> DataFrame:
     return keys.select(long_text(key).alias("value"))
 
 
+def start_text_sink(frame: DataFrame, path: str, checkpoint: str, trigger: dict | None = None):
+    """S3 / S4 on files: a stream of `value` strings appended to text files. The file sink writes each micro-batch once:
+    its log of committed batches is what `read_text_sink` reads by, so a batch tried again or a restart adds nothing."""
+    w = frame.select("value").writeStream.outputMode("append").format("text").option("path", path)
+    return w.option("checkpointLocation", checkpoint).trigger(**(trigger or {"processingTime": "1 second"})).start()
+
+
+def read_text_sink(spark, path: str) -> DataFrame:
+    """The `value` strings of committed micro-batches."""
+    return spark.read.schema("value string").text(path)
+
+
 def kafka_sink(frame: DataFrame, brokers: str, topic: str, checkpoint: str | None = None):
     """Writer for a `value` frame to Kafka: batch writer for a static frame, stream writer (needs a checkpoint)
     for a streaming one. Needs the spark-sql-kafka connector."""

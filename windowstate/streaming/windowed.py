@@ -26,6 +26,12 @@ def with_ingestion_time(df: DataFrame) -> DataFrame:
     return df.withColumn("ts", F.current_timestamp())
 
 
+def with_arrival_time(files: DataFrame) -> DataFrame:
+    """T1 on a file stream: each record's arrival is the modification time of the file that brought it, taken from the
+    source's metadata column; it stays the same when a batch is tried again or a query restarts."""
+    return files.select("*", F.col("_metadata.file_modification_time").alias("ts"))
+
+
 def windowed_count(keys: DataFrame, size_ms: int, delay_ms: int = 0, strict: bool = True,
                    ts: str = "ts", key: str = "key") -> DataFrame:
     """T2-T4 + A1 on a stream: `(window_end_ms, key, n)` emitted once per window in append mode when the watermark
@@ -86,6 +92,60 @@ class EmitLog:
              .write.mode("overwrite").parquet(path))
 
 
+def observed(rows: DataFrame, ts_ms: str = "ts_ms", name: str = "arrivals") -> DataFrame:
+    """The stream with metrics that its progress carries: rows and latest time of each micro-batch."""
+    return rows.observe(name, F.count(F.lit(1)).alias("rows"), F.max(ts_ms).alias("last_ms"))
+
+
+class ProgressTable(StreamingQueryListener):
+    """The progress of each completed micro-batch as a row of a table `(batch_id, rows, last_ms, late_groups,
+    state_rows)` under `path`, one folder per query and batch. `rows` and `last_ms` are the metrics of `observed`;
+    late_groups counts the (window, key) groups that the watermark dropped, state_rows what the state then holds."""
+
+    SCHEMA = "batch_id bigint, rows bigint, last_ms bigint, late_groups bigint, state_rows bigint"
+
+    def __init__(self, spark, path: str, name: str = "arrivals"):
+        self.spark, self.path, self.name = spark, path.rstrip("/"), name
+
+    def onQueryStarted(self, event):
+        pass
+
+    def onQueryProgress(self, event):
+        p = event.progress
+        seen = p.observedMetrics.get(self.name)
+        if seen is None:
+            return
+        row = (p.batchId, seen["rows"], seen["last_ms"], sum(s.numRowsDroppedByWatermark for s in p.stateOperators),
+               sum(s.numRowsTotal for s in p.stateOperators))
+        (self.spark.createDataFrame([row], self.SCHEMA).coalesce(1)
+         .write.mode("overwrite").parquet(f"{self.path}/query={p.id}/batch={p.batchId}"))
+
+    def onQueryIdle(self, event):
+        pass
+
+    def onQueryTerminated(self, event):
+        pass
+
+    def read(self, query_id=None, until_batch: int | None = None, timeout_s: float = 60) -> DataFrame:
+        """The table (of one query). Progress arrives after its batch: with `until_batch`, waits for that batch's row."""
+        import time
+
+        from pyspark.errors import AnalysisException
+        folder = f"{self.path}/query={query_id}" if query_id else f"{self.path}/query=*"
+        end = time.monotonic() + timeout_s
+        while True:
+            try:
+                table = self.spark.read.schema(self.SCHEMA).parquet(f"{folder}/batch=*")
+                if until_batch is None or table.where(F.col("batch_id") >= until_batch).limit(1).count():
+                    return table
+            except AnalysisException:
+                if until_batch is None:
+                    raise
+            if time.monotonic() > end:
+                raise TimeoutError(f"no progress of batch {until_batch}")
+            time.sleep(0.1)
+
+
 class ProgressLog(StreamingQueryListener):
     """Keeps the last `keep` batches' progress (batch id, rows, watermark, state rows, late rows dropped)."""
 
