@@ -75,3 +75,17 @@ def test_components(spark):
     got = {r["id"]: r["component"] for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {x: find(parent, x) for e in links if e[0] != e[1] for x in e}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_large_ids_beside_null_ids(spark):
+    """Ids that a double can't hold, in one batch with nulls: unlike documents stay apart, copies meet."""
+    import corpus_pipeline
+    big = 1 << 60
+    texts = [" ".join(f"w{i}x{j}" for j in range(30)) for i in range(4)]
+    rows = [(big + 1, texts[0]), (None, texts[1]), (big + 3, texts[2]), (5, texts[3]), (big + 5, texts[2])]
+    docs = docs_frame(spark, rows).coalesce(1)
+    got = sorted((r["doc_id"], r["component_id"], r["kept"]) for r in near_dup.near_duplicates(docs).collect() if r["doc_id"])
+    assert got == [(5, 5, True), (big + 1, big + 1, True), (big + 3, big + 3, True), (big + 5, big + 3, False)]
+    kept = corpus_pipeline.dedup_near(spark, docs, "").collect()
+    assert sorted(str(r["doc_id"]) for r in kept) == sorted(map(str, [big + 1, None, big + 3, 5]))
+    assert {r["text"] for r in kept} == set(texts)

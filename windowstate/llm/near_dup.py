@@ -74,19 +74,20 @@ def brief(sig: np.ndarray) -> np.ndarray:
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """(doc_id, n, digest, sig, brief): set size, digest of the sorted set, signature (null without shingles)."""
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(doc_id, n, digest, sig, brief): set size, digest of the sorted set, signature (null without shingles). Only
+    texts go through pandas, where a column of ids with a null would become doubles."""
+    @F.pandas_udf("n long, digest binary, sig binary, brief binary")
+    def sketch(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            sets = [shingles(t) for t in batch["text"]]
+            sets = [shingles(t) for t in batch]
             sigs = [signature(x) if len(x) else None for x in sets]
             yield pd.DataFrame({
-                "doc_id": batch["doc_id"].astype("Int64"), "n": [len(x) for x in sets],
+                "n": [len(x) for x in sets],
                 "digest": [hashlib.blake2b(x.tobytes(), digest_size=16).digest() if len(x) else None for x in sets],
                 "sig": [None if x is None else x.tobytes() for x in sigs],
                 "brief": [None if x is None else brief(x).tobytes() for x in sigs]})
 
-    # ids travel beside the texts as nullable integers, not floats
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, n long, digest binary, sig binary, brief binary")
+    return docs.select("doc_id", sketch("text").alias("s")).select(F.col("doc_id").cast("long").alias("doc_id"), "s.*")
 
 
 def _tokens(classes: DataFrame) -> DataFrame:
