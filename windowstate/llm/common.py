@@ -33,6 +33,12 @@ def alnum_words(col: Column) -> Column:
     return F.regexp_extract_all(ascii_lower(F.coalesce(col, F.lit(""))), F.lit(ALNUM_WORD), F.lit(0))
 
 
+def let(value: Column, use) -> Column:
+    """use(value) with `value` computed once: inside a lambda function a plain expression would be computed again for
+    each element."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def n_space_words(col: Column) -> Column:
     return F.regexp_count(F.coalesce(col, F.lit("")), F.lit(SPACE_WORD)).cast("long")
 

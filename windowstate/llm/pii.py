@@ -6,7 +6,8 @@ phone) follow the contract: leftmost non-overlapping, a failing match is dropped
 IBANs (mod 97) and dashed social security numbers; those need a score of at least `MIN_SCORE`.
 
 Patterns are possessive or anchored at the start of a run, so very long runs of digits, letters or dotted names
-take linear time and no deep recursion.
+take linear time and no deep recursion. Offsets are running sums taken in chunks, and context is read from segments of
+the text, so that a text of very many matches takes time in proportion to its length, too.
 
 Edge cases: null text counts as empty (no spans); repeated rows are judged on their own; other columns are ignored.
 """
@@ -18,8 +19,12 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from windowstate.llm.common import let
+
 MIN_SCORE = 0.5
 CONTEXT_CHARS = 40
+SEGMENT = 512               # characters of text that context is looked up in (more than CONTEXT_CHARS)
+CHUNK = 512                 # matches whose offsets are summed at once
 
 
 @dataclass(frozen=True)
@@ -90,30 +95,57 @@ def confirmed(kind: str, m: Column) -> Column:
 SPAN = "array<struct<start:int,kind:int,end:int,score:double>>"
 
 
+def _running(sizes: Column) -> Column:
+    """The sum of all earlier elements, for each element of an int array (a bound one). An array that grows by appending
+    is copied at each step, so sums run inside chunks of `CHUNK` elements, and over the chunks' totals."""
+    def run(values: Column, start: Column) -> Column:
+        none = F.array().cast("array<int>")
+        step = lambda s, x: F.struct((s["at"] + x).alias("at"), F.concat(s["out"], F.array(s["at"])).alias("out"))
+        return F.aggregate(values, F.struct(start.alias("at"), none.alias("out")), step)["out"]
+
+    chunk = lambda i: F.slice(sizes, i * CHUNK + 1, F.lit(CHUNK))
+    total = lambda v: F.aggregate(v, F.lit(0), lambda s, x: s + x)
+    places = F.sequence(F.lit(0), F.floor((F.size(sizes) - 1) / CHUNK).cast("int"))
+    before = run(F.transform(places, lambda i: total(chunk(i))), F.lit(0))
+    return F.flatten(F.zip_with(places, before, lambda i, at: run(chunk(i), at)))
+
+
+def _around(segments: Column, at: Column, left: int, right: int) -> Column:
+    """`left` characters before place `at` of the text and `right` after it, from its segments."""
+    seg = F.floor(at / SEGMENT).cast("int")
+    near = F.concat(*[F.coalesce(F.get(segments, seg + i), F.lit("")) for i in (-1, 0, 1)])
+    mid = at - F.greatest(seg - 1, F.lit(0)) * SEGMENT
+    start = F.greatest(mid - left, F.lit(0))
+    return F.substr(near, start + 1, mid - start + right)
+
+
 def spans_of(text: Column, kind: Kind) -> Column:
     """Confirmed spans of one kind, by start: struct(start, kind, end, score)."""
-    found = F.regexp_extract_all(text, F.lit(kind.regex), F.lit(0))
-    pieces = F.split(text, kind.regex, -1)
-    steps = F.zip_with(F.slice(pieces, 1, F.size(found)), found,
-                       lambda p, m: F.struct(F.length(p).alias("gap"), m.alias("m")))
     none = F.from_json(F.lit("[]"), SPAN)
+    found = F.regexp_extract_all(text, F.lit(kind.regex), F.lit(0))
+    parts = F.struct(found.alias("found"), F.split(text, kind.regex, -1).alias("pieces"),
+                     # context comes from a few segments of the text, not from its start
+                     F.regexp_extract_all(text, F.lit(f"(?s).{{1,{SEGMENT}}}"), F.lit(0)).alias("segments"))
 
-    def step(state, x):
-        start = state["at"] + x["gap"]
-        end = start + F.length(x["m"])
-        left = F.greatest(start - CONTEXT_CHARS, F.lit(0))
-        near = F.lower(F.substr(text, left + 1, start - left + CONTEXT_CHARS + F.length(x["m"])))
+    def span(m: Column, start: Column, segments: Column) -> Column:
+        end = start + F.length(m)
+        near = F.lower(F.concat(_around(segments, start, CONTEXT_CHARS, 0), m, _around(segments, end, 0, CONTEXT_CHARS)))
         score = F.least(F.lit(1.0), F.lit(kind.score) + F.when(near.rlike(kind.context), 0.3).otherwise(0.0))
-        good = confirmed(kind.name, x["m"])
+        good = confirmed(kind.name, m)
         if not kind.base:
             good = good & (score >= MIN_SCORE)
-        span = F.struct(start.cast("int").alias("start"), F.lit(ORDER[kind.name]).alias("kind"),
-                        end.cast("int").alias("end"), score.alias("score"))
-        return F.struct(end.alias("at"),
-                        F.when(good, F.concat(state["out"], F.array(span))).otherwise(state["out"]).alias("out"))
-
-    got = F.aggregate(steps, F.struct(F.lit(0).alias("at"), none.alias("out")), step)["out"]
-    return F.when(text.rlike(kind.hint) & (F.size(found) > 0), got).otherwise(none)
+        return F.when(good, F.struct(start.cast("int").alias("start"), F.lit(ORDER[kind.name]).alias("kind"),
+                                     end.cast("int").alias("end"), score.alias("score")))
+
+    def spans(p: Column) -> Column:
+        # each match starts after the pieces and matches before it, and its own piece
+        gaps = F.transform(F.slice(p["pieces"], 1, F.size(p["found"])), F.length)
+        starts = let(F.zip_with(gaps, p["found"], lambda g, m: g + F.length(m)),
+                     lambda sizes: F.zip_with(gaps, _running(sizes), lambda g, at: at + g))
+        return F.filter(F.zip_with(p["found"], starts, lambda m, at: span(m, at, p["segments"])), lambda s: s.isNotNull())
+
+    has = text.rlike(kind.hint)
+    return F.when(has, let(parts, lambda p: F.when(F.size(p["found"]) > 0, spans(p)).otherwise(none))).otherwise(none)
 
 
 def find_pii(docs: DataFrame, kinds: list[Kind] | None = None) -> DataFrame:
