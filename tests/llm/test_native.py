@@ -162,3 +162,46 @@ def test_pii_very_long_runs(spark):
 def test_main_path_runs_no_python(spark, name):
     plan = LLM_QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow|CartesianProduct", plan)
+
+
+def test_pii_many_matches_in_one_text(spark):
+    """100 000 addresses in one text: offsets and context are right to the end, in time linear in the text."""
+    import time
+    n = 100_000
+    mails = [f"é{i}@x.io" if i % 2 else f"mail {i}@x.io" for i in range(n)]
+    text, at, want = " ".join(mails), 0, []
+    for m in mails:
+        skip = 5 if m.startswith("mail") else 1
+        want.append((at + skip, at + len(m)))
+        at += len(m) + 1
+    docs = docs_frame(spark, [(1, text), (2, "a@b.c")])
+    began = time.monotonic()
+    got = {r["doc_id"]: r["__pii"] for r in pii.find_pii(docs, pii.KINDS[:1]).collect()}
+    assert time.monotonic() - began < 60
+    assert [(s["start"], s["end"]) for s in got[1]] == want and {s["score"] for s in got[1]} == {1.0}
+    assert [(s["start"], s["end"], s["score"]) for s in got[2]] == [(0, 5, 0.9)]
+
+
+@pytest.mark.parametrize("gap", [39, 40, 41, 511, 512, 513, 1500])
+def test_pii_context_over_segments(spark, gap):
+    """A context word counts up to 40 characters away, wherever the text's segments end."""
+    docs = docs_frame(spark, [(1, "x" * (gap * 7) + " mail" + "-" * (gap - 1) + " 12345@b.c" + " " * 600),
+                              (2, "12345@b.c " + "-" * (gap - 1) + "mail" + "é" * gap)])
+    got = {r["doc_id"]: r["__pii"][0]["score"] for r in pii.find_pii(docs, pii.KINDS[:1]).collect()}
+    text = {r["doc_id"]: r["text"] for r in docs.collect()}
+    for d, t in text.items():
+        m = re.search(r"12345@b\.c", t)
+        near = t[max(m.start() - 40, 0):m.end() + 40]
+        assert got[d] == (1.0 if "mail" in near else 0.9)
+
+
+def test_lines_many_marks_in_one_document(spark):
+    """100 000 repeated lines in one document."""
+    import time
+    body = "\n".join(f"line {i % 50_000}" for i in range(100_000))
+    docs = docs_frame(spark, [(1, body), (2, "line 7\nline 8\nline 9\nown\nline 11\nline 12\nline 13")])
+    began = time.monotonic()
+    got = {r["doc_id"]: r for r in line_dedup.dedup_lines(docs).collect()}
+    assert time.monotonic() - began < 60
+    assert got[1]["text"] == "\n".join(f"line {i}" for i in range(50_000)) and got[1]["__n_removed"] == 50_000
+    assert got[2]["text"] == "own"

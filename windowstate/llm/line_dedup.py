@@ -17,6 +17,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from windowstate.llm.common import let
+
 WINDOW_LINES = 3
 UNIT_END = r"(?<=\n)|(?<=[.!?] )"                   # no characters: a unit keeps what ends it
 
@@ -44,6 +46,21 @@ def marked_lines(docs: DataFrame, window: int = WINDOW_LINES, sentences: bool =
             .groupBy("doc_id", "fp").agg(F.sort_array(F.collect_set("line")).alias("marked")))
 
 
+def _kept(lines: Column, marked: Column) -> Column:
+    """The lines whose 0-based positions are not in the sorted array `marked`: positions are merged to ranges, and the
+    slices between them joined, so a document of many marked lines takes linear time."""
+    first = F.filter(marked, lambda p, i: (i == 0) | (F.get(marked, i - 1) < p - 1))
+    last = F.filter(marked, lambda p, i: (i == F.size(marked) - 1) | (F.get(marked, i + 1) > p + 1))
+
+    def slices(r: Column) -> Column:
+        """The slice before each range, and what follows the last."""
+        after = lambda i: F.coalesce(F.get(r["last"], i - 1) + 1, F.lit(0))
+        return F.transform(F.sequence(F.lit(0), F.size(r["first"])), lambda i: F.slice(
+            lines, after(i) + 1, F.coalesce(F.get(r["first"], i), F.size(lines)) - after(i)))
+
+    return F.flatten(let(F.struct(first.alias("first"), last.alias("last")), slices))
+
+
 def dedup_lines(docs: DataFrame, window: int = WINDOW_LINES, sentences: bool = False) -> DataFrame:
     """All columns of `docs` with `text` rid of repeated windows, plus __n_lines and __n_removed (long)."""
     marks = marked_lines(docs, window, sentences).select(F.col("doc_id").alias("__m_id"), F.col("fp").alias("__m_fp"), "marked")
@@ -51,7 +68,7 @@ def dedup_lines(docs: DataFrame, window: int = WINDOW_LINES, sentences: bool = F
         marks.withColumnRenamed("marked", "__marked"),
         F.col("doc_id").eqNullSafe(F.col("__m_id")) & (F.col("__fp") == F.col("__m_fp")), "left")
     lines = _units(sentences)
-    kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains(F.col("__marked"), i)), "" if sentences else "\n")
+    kept = F.array_join(let(lines, lambda x: _kept(x, F.col("__marked"))), "" if sentences else "\n")
     if sentences:                                      # nothing follows the end of the last unit that is kept
         kept = F.when(F.array_contains("__marked", F.size(lines) - 1), F.regexp_replace(kept, r"[\n ]\z", "")).otherwise(kept)
     out = joined.withColumn("__n_lines", F.coalesce(F.size(lines).cast("long"), F.lit(0).cast("long")))
