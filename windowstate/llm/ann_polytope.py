@@ -1,17 +1,21 @@
 """Approximate nearest neighbours by cross-polytope hashing.
 
-A table turns unit vectors by a fast pseudo-rotation (random signs and a Hadamard transform, three times) and files
-each under its nearest signed axis. A query probes, in each table, the axes nearest to it; candidates are reranked
-exactly by the cosine of the original vectors, in double precision. The whole table is indexed; the query set is
-stated by the caller.
+A rotation is a fast pseudo-rotation (random signs and a Hadamard transform, three times); the nearest signed axis of a
+turned unit vector is one section of its hash. A table's hash joins as many sections as give one bucket for each
+`BUCKET_ROWS` rows, the last section over the first few axes only, so buckets grow with the table and stay small. A query
+probes, in each table, the buckets of the smallest total distance: the squared gaps between its coordinate on a bucket's
+axis and its largest one, added over the sections. The number of probes follows one rule at every size, `BASE_PROBES`
+plus the number of buckets to the power `PROBES_POWER`, so the share of rows that a query meets falls as the table grows
+(a few hundred rows are all met). Candidates are reranked exactly by the cosine of the original vectors, in double
+precision. The whole table is indexed; the query set is stated by the caller.
+
+Rows are dealt out by the first sections of their hash, a group for `ROWS_BLOCK` rows; a query goes once to each group in
+which it probes anything, with its list of buckets there, and only the rows of those are compared.
 
 Equal vectors are one class, searched once; of its ids only the k + 1 smallest can be among anyone's k nearest (ties
-go to the smaller id, and a query leaves itself out), so a vector that fills the table makes no large group. A bucket
-is dealt out in blocks of rows by blocks of probes, whatever its size.
-
-Probes per table are `PROBES`, and more on small tables, so that a table offers about `OFFERED` rows: up to a
-thousand vectors every axis is probed. A query that finds fewer than k neighbours is searched again against all rows,
-in blocks.
+go to the smaller id, and a query leaves itself out), so a vector that fills the table makes no large group. A group
+is dealt out in blocks of rows by blocks of queries, whatever its size. A query that finds fewer than k neighbours is
+searched again against all rows, in blocks.
 
 Edge cases: vectors that are null, zero or hold null or non-finite components, and rows without vec_id, take no part;
 vectors are compared with those of their own length only; fewer than k candidates are all returned; rows of one
@@ -20,6 +24,8 @@ vec_id never answer each other; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -29,8 +35,9 @@ from pyspark.sql.types import ArrayType, FloatType
 from windowstate.llm.common import table
 
 TABLES = 8
-PROBES = 16
-OFFERED = 1000
+BUCKET_ROWS = 2
+BASE_PROBES = 128
+PROBES_POWER = 0.6
 ROWS_BLOCK = 8192
 PROBES_BLOCK = 2048
 NEAR_TIE = 1e-12
@@ -47,50 +54,121 @@ def _hadamard(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt(n)
 
 
-def rotations(vectors: np.ndarray, tables: int) -> list[np.ndarray]:
-    """The rows, at unit length and zero-padded to a power of two, turned by each table's pseudo-rotation."""
+def unit_rows(vectors: np.ndarray) -> np.ndarray:
+    """The rows at unit length, zero-padded to a power of two."""
     width = 1 << max(0, vectors.shape[1] - 1).bit_length()
     unit = np.zeros((len(vectors), width))
     scaled = vectors / np.abs(vectors).max(axis=1, keepdims=True)
     unit[:, :vectors.shape[1]] = scaled / np.linalg.norm(scaled, axis=1, keepdims=True)
+    return unit
+
+
+def turned(unit: np.ndarray, tab: int, section: int) -> np.ndarray:
+    """The rows under the pseudo-rotation of a table's section."""
+    width = unit.shape[1]
+    rng = np.random.default_rng([SEED, tab, section, width])
+    for _ in range(3):
+        unit = _hadamard(unit * rng.choice([-1.0, 1.0], width))
+    return unit
+
+
+def sections(rows: int, width: int) -> list[int]:
+    """How many coordinates each section of a hash takes (it has twice as many axes): buckets for `rows` rows."""
+    bits = max(0, math.ceil(math.log2(max(rows, 1) / BUCKET_ROWS)))
+    full = width.bit_length()                               # a section over all coordinates has 2 * width axes
+    return [width] * (bits // full) + ([1 << (bits % full - 1)] if bits % full else [])
+
+
+def n_probes(dims: list[int]) -> int:
+    buckets = math.prod(2 * d for d in dims)
+    return min(buckets, BASE_PROBES + math.ceil(buckets ** PROBES_POWER))
+
+
+def group_base(rows: int, dims: list[int]) -> int:
+    """What divides a hash into its group (the first sections, one group for ROWS_BLOCK rows) and the bucket in it."""
+    groups, at = 1, 0
+    while groups * ROWS_BLOCK < rows and at < len(dims):
+        groups *= 2 * dims[at]
+        at += 1
+    return math.prod(2 * d for d in dims[at:])
+
+
+def _axes(unit: np.ndarray, tab: int, dims: list[int]) -> list[np.ndarray]:
+    """For each section the rows' coordinates on its signed axes."""
     out = []
-    for t in range(tables):
-        rng = np.random.default_rng([SEED, t, width])
-        turned = unit
-        for _ in range(3):
-            turned = _hadamard(turned * rng.choice([-1.0, 1.0], width))
-        out.append(turned)
+    for j, d in enumerate(dims):
+        part = turned(unit, tab, j)[:, :d]
+        out.append(np.concatenate((part, -part), axis=1))
     return out
 
 
+def hashes(axes: list[np.ndarray], n: int) -> np.ndarray:
+    code = np.zeros(n, dtype=np.int64)
+    for a in axes:
+        code = code * a.shape[1] + a.argmax(axis=1)
+    return code
+
+
+def probed(gaps: list[np.ndarray], probes: int) -> np.ndarray:
+    """The `probes` hashes of smallest total gap. Gaps only add up, so no more than `probes` beginnings are kept."""
+    codes, cost = np.zeros(1, dtype=np.int64), np.zeros(1)
+    for g in gaps:
+        codes = (codes[:, None] * len(g) + np.arange(len(g))).ravel()
+        cost = (cost[:, None] + g).ravel()
+        if len(cost) > probes:
+            least = np.argpartition(cost, probes - 1)[:probes]
+            codes, cost = codes[least], cost[least]
+    return np.sort(codes)
+
+
 def _matrix(column: pd.Series, dtype: str) -> np.ndarray:
     return np.frombuffer(b"".join(column), dtype=dtype).reshape(len(column), -1).astype(float)
 
 
-def _bucketed(classes: DataFrame, dtype: str, tables: int, probes: int | None) -> DataFrame:
-    """(dim, tab, bucket, id, first_id, vec): each class under its nearest axis, or under its `probes` nearest ones."""
+def _filed(classes: DataFrame, dtype: str, tables: int, rows: int) -> DataFrame:
+    """(dim, tab, bucket, code, id, first_id, vec): each class under its hash, as group (bucket) and code in it."""
     def run(batches):
         for batch in batches:
-            for _, part in batch.groupby("dim", sort=False):
-                v = _matrix(part["vec"], dtype)
-                for t, turned in enumerate(rotations(v, tables)):
-                    axes = np.concatenate((turned, -turned), axis=1)
-                    n = min(probes or 1, axes.shape[1])
-                    best = (np.argsort(-axes, axis=1, kind="stable")[:, :n] if probes
-                            else np.argmax(axes, axis=1)[:, None])
-                    yield pd.DataFrame({"dim": np.repeat(part["dim"].to_numpy(), n), "tab": t, "bucket": best.ravel(),
-                                        "id": np.repeat(part["id"].to_numpy(), n),
-                                        "first_id": np.repeat(part["first_id"].to_numpy(), n),
-                                        "vec": np.repeat(part["vec"].to_numpy(), n)})
+            for dim, part in batch.groupby("dim", sort=False):
+                unit = unit_rows(_matrix(part["vec"], dtype))
+                dims = sections(rows, unit.shape[1])
+                base = group_base(rows, dims)
+                for t in range(tables):
+                    code = hashes(_axes(unit, t, dims), len(unit))
+                    yield pd.DataFrame({"dim": dim, "tab": t, "bucket": code // base, "code": code % base,
+                                        "id": part["id"].to_numpy(), "first_id": part["first_id"].to_numpy(),
+                                        "vec": part["vec"].to_numpy()})
 
     return classes.select("dim", "id", "first_id", "vec").mapInPandas(
-        run, "dim int, tab int, bucket int, id long, first_id long, vec binary")
+        run, "dim int, tab int, bucket long, code long, id long, first_id long, vec binary")
+
+
+def _probing(asked: DataFrame, dtype: str, tables: int, rows: int, probes: int | None) -> DataFrame:
+    """(dim, tab, bucket, id, vec, codes): each asking class once for each group it probes, with its codes there."""
+    def run(batches):
+        for batch in batches:
+            for dim, part in batch.groupby("dim", sort=False):
+                unit = unit_rows(_matrix(part["vec"], dtype))
+                dims = sections(rows, unit.shape[1])
+                base, n = group_base(rows, dims), probes or n_probes(dims)
+                for t in range(tables):
+                    axes = _axes(unit, t, dims)
+                    out = []
+                    for i, (id_, vec) in enumerate(zip(part["id"], part["vec"], strict=True)):
+                        codes = probed([(a[i].max() - a[i]) ** 2 for a in axes], n)
+                        groups, first = np.unique(codes // base, return_index=True)
+                        out += [(dim, t, g, id_, vec, c.tobytes()) for g, c in
+                                zip(groups.tolist(), np.split(codes % base, first[1:]), strict=True)]
+                    yield pd.DataFrame(out, columns=["dim", "tab", "bucket", "id", "vec", "codes"])
+
+    return asked.select("dim", "id", "vec").mapInPandas(
+        run, "dim int, tab int, bucket long, id long, vec binary, codes binary")
 
 
 def _rerank(index: DataFrame, asked: DataFrame, dtype: str, keep: int) -> DataFrame:
-    """(q, id, score): for each bucket the `keep` nearest classes of every probing class, ties to the smaller
-    first_id. Both sides are dealt out in
-    blocks of their bucket; a block of rows meets each block of probes."""
+    """(q, id, score): for each group (bucket) the `keep` nearest classes that every probing class meets there, ties to
+    the smaller first_id. Both sides are dealt out in blocks of their group; a block of rows meets each block of
+    queries."""
     where = ["dim", "tab", "bucket"]
     sizes = (index.groupBy(*where).agg(F.ceil(F.count(F.lit(1)) / ROWS_BLOCK).cast("int").alias("nr"))
              .join(asked.groupBy(*where).agg(F.ceil(F.count(F.lit(1)) / PROBES_BLOCK).cast("int").alias("nq")), where))
@@ -105,10 +183,11 @@ def _rerank(index: DataFrame, asked: DataFrame, dtype: str, keep: int) -> DataFr
         if not len(left) or not len(right):
             return pd.DataFrame({"q": np.zeros(0, np.int64), "id": np.zeros(0, np.int64), "score": np.zeros(0)})
         return nearest(_matrix(left["vec"], dtype), left["id"].to_numpy(), _matrix(right["vec"], dtype),
-                       right["id"].to_numpy(), keep, left["first_id"].to_numpy())
+                       right["id"].to_numpy(), keep, left["first_id"].to_numpy(), left["code"].to_numpy(),
+                       [np.frombuffer(c, dtype=np.int64) for c in right["codes"]])
 
-    return (rows.select(*block, "id", "first_id", "vec").groupBy(*block)
-            .cogroup(asks.select(*block, "id", "vec").groupBy(*block))
+    return (rows.select(*block, "code", "id", "first_id", "vec").groupBy(*block)
+            .cogroup(asks.select(*block, "id", "vec", "codes").groupBy(*block))
             .applyInPandas(score, "q long, id long, score double"))
 
 
@@ -120,25 +199,35 @@ def cosines(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 def nearest(rows: np.ndarray, ids: np.ndarray, asked: np.ndarray, asked_ids: np.ndarray, keep: int,
-            first: np.ndarray) -> pd.DataFrame:
-    """The `keep` rows of largest cosine for each asked vector, ties to the smaller `first` id of a row's class."""
+            first: np.ndarray, code: np.ndarray, probes: list[np.ndarray]) -> pd.DataFrame:
+    """The `keep` rows of largest cosine among those whose code an asked vector probes, ties to the smaller `first` id
+    of a row's class."""
     unit = [v / np.abs(v).max(axis=1, keepdims=True) for v in (rows, asked)]
     unit = [v / np.linalg.norm(v, axis=1, keepdims=True) for v in unit]
+    order = np.argsort(code, kind="stable")
+    known, start = np.unique(code[order], return_index=True)
+    runs = np.split(order, start[1:])                       # rows of each code that occurs
     got = []
-    for lo in range(0, len(asked), 256):
-        rough = unit[1][lo:lo + 256] @ unit[0].T
-        least = np.partition(rough, len(rows) - keep, axis=1)[:, len(rows) - keep] if len(rows) > keep \
-            else np.full(len(rough), -np.inf)
-        for i in range(len(rough)):
-            at = np.flatnonzero(rough[i] >= least[i] - NEAR_TIE)
-            score = cosines(np.broadcast_to(asked[lo + i], (len(at), asked.shape[1])), rows[at])
-            order = np.lexsort((ids[at], first[at], -score))[:keep]
-            got.append((np.full(len(order), asked_ids[lo + i]), ids[at][order], score[order]))
+    for i, wanted in enumerate(probes):
+        here = np.flatnonzero(np.isin(known, wanted))
+        if not len(here):
+            continue
+        met = order if len(here) == len(known) else np.concatenate([runs[j] for j in here])
+        rough = unit[0][met] @ unit[1][i]
+        if len(met) > keep:
+            met = met[rough >= np.partition(rough, len(met) - keep)[len(met) - keep] - NEAR_TIE]
+        score = cosines(np.broadcast_to(asked[i], (len(met), asked.shape[1])), rows[met])
+        best = np.lexsort((ids[met], first[met], -score))[:keep]
+        got.append((np.full(len(best), asked_ids[i]), ids[met][best], score[best]))
+    if not got:
+        return pd.DataFrame({"q": np.zeros(0, np.int64), "id": np.zeros(0, np.int64), "score": np.zeros(0)})
     return pd.DataFrame(dict(zip(("q", "id", "score"), (np.concatenate(x) for x in zip(*got, strict=True)), strict=True)))
 
 
-def search(vectors: DataFrame, is_query: Column, k: int = 5, tables: int = TABLES, probes: int = PROBES) -> DataFrame:
-    """(query_id, rank, vec_id, score) over `vectors` (vec_id, embedding) for the rows where `is_query` holds."""
+def search(vectors: DataFrame, is_query: Column, k: int = 5, tables: int = TABLES,
+           probes: int | None = None) -> DataFrame:
+    """(query_id, rank, vec_id, score) over `vectors` (vec_id, embedding) for the rows where `is_query` holds; `probes`
+    per table are those of the rule (`n_probes`) unless given."""
     kind = vectors.schema["embedding"].dataType
     dtype = "<f4" if isinstance(kind, ArrayType) and isinstance(kind.elementType, FloatType) else "<f8"
     element = "float" if dtype == "<f4" else "double"
@@ -167,18 +256,16 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, tables: int = TABLE
                     .withColumn("first_id", F.col("id")).withColumn("id", F.xxhash64("id", "vec")), "ann-classes")
     n = classes.count()
     asked = classes.where("asked")
-    wide = classes.agg(F.max("dim")).first()[0] or 1
-    axes = 2 << max(0, wide - 1).bit_length()
-    probes = min(axes, max(probes, -(-axes * OFFERED // max(n, 1))))
-    found = _rerank(_bucketed(classes, dtype, tables, None), _bucketed(asked, dtype, tables, probes), dtype, k + 1)
+    found = _rerank(_filed(classes, dtype, tables, n), _probing(asked, dtype, tables, n, probes), dtype, k + 1)
     best = table(_top(found, classes, k + 1), "ann-found")
     total = rows.count()
     short = (asked.join(best.groupBy("q").agg(F.sum("weight").alias("have")), F.col("id") == F.col("q"), "left")
              .where(F.coalesce("have", F.lit(0)) < min(k + 1, total)).select("id", "first_id", "dim", "vec"))
     short = table(short, "ann-short")
     if short.limit(1).count():
-        everywhere = [F.lit(0).alias("tab"), F.lit(0).alias("bucket"), "id", "first_id", "vec"]
-        again = _rerank(classes.select("dim", *everywhere), short.select("dim", *everywhere), dtype, k + 1)
+        one = [F.lit(0).alias("tab"), F.lit(0).cast("long").alias("bucket")]
+        again = _rerank(classes.select("dim", *one, F.lit(0).cast("long").alias("code"), "id", "first_id", "vec"),
+                        short.select("dim", *one, "id", "vec", F.lit(bytes(8)).alias("codes")), dtype, k + 1)
         best = table(_top(found_union(best, again), classes, k + 1), "ann-found-all")
     answers = (best.select("q", "ids", "score").join(
         asked.select(F.col("id").alias("q"), F.col("dim"), F.col("vec")), "q")
