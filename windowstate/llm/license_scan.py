@@ -26,30 +26,80 @@ from windowstate.llm import rolling
 
 # The contract's phrases and labels (fixed values).
 BASE_PHRASES = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
-# The method's own notices.
+# The method's own notices; where one begins another, only the longer one counts.
 NOTICES = {
     "permission is hereby granted free of charge to any person": "mit",
+    "released under the mit license": "mit",
     "redistribution and use in source and binary forms": "bsd",
+    "permission to use copy modify and or distribute this software": "isc",
+    "licensed under the apache license": "apache-2.0",
     "gnu general public license": "gpl",
+    "gnu general public license version 2": "gpl-2.0",
+    "gnu general public license version 3": "gpl-3.0",
     "gnu lesser general public license": "lgpl",
+    "gnu library general public license": "lgpl",
     "gnu affero general public license": "agpl",
+    "gnu free documentation license": "gfdl",
     "mozilla public license": "mpl-2.0",
+    "eclipse public license": "epl-2.0",
+    "common development and distribution license": "cddl-1.0",
+    "european union public licence": "eupl-1.2",
+    "boost software license": "bsl-1.0",
+    "do what the fuck you want to public license": "wtfpl",
+    "this is free and unencumbered software released into the public domain": "unlicense",
     "creative commons attribution": "cc-by",
+    "creative commons attribution sharealike": "cc-by-sa",
+    "creative commons attribution share alike": "cc-by-sa",
+    "creative commons attribution noncommercial": "cc-by-nc",
+    "creative commons attribution non commercial": "cc-by-nc",
+    "creative commons attribution noncommercial sharealike": "cc-by-nc-sa",
+    "creative commons attribution noncommercial noderivs": "cc-by-nc-nd",
+    "creative commons attribution noncommercial noderivatives": "cc-by-nc-nd",
+    "creative commons attribution noderivs": "cc-by-nd",
+    "creative commons attribution noderivatives": "cc-by-nd",
+    "creative commons zero": "cc0-1.0",
     "released into the public domain": "public-domain",
+    "dedicated to the public domain": "public-domain",
+    "open data commons open database license": "odbl-1.0",
     "all rights reserved": "proprietary",
 }
 TAG = "spdx license identifier"
-OPENNESS = {"mit": 1.0, "apache-2": 1.0, "apache-2.0": 1.0, "bsd": 1.0, "bsd-2-clause": 1.0, "bsd-3-clause": 1.0,
-            "isc": 1.0, "public-domain": 1.0, "cc0-1.0": 1.0, "unlicense": 1.0, "cc-by": 0.9, "cc-by-4.0": 0.9,
-            "mpl-2.0": 0.7, "lgpl": 0.6, "lgpl-2.1-only": 0.6, "lgpl-2.1-or-later": 0.6, "gpl": 0.4, "gpl-2.0-only": 0.4,
-            "gpl-2.0-or-later": 0.4, "gpl-3.0-only": 0.4, "gpl-3.0-or-later": 0.4, "agpl": 0.3, "agpl-3.0-only": 0.3,
-            "cc-by-nc": 0.2, "cc-by-nc-4.0": 0.2, "proprietary": 0.0}
+# Licence identifiers by how openly they let a text be used: a family's name stands for its versions, too, and
+# `-only`, `-or-later` and `+` don't change it.
+FAMILIES = {
+    1.0: """0bsd afl apache apache-2 blueoak-1.0.0 bsd bsd-2-clause bsd-3-clause bsd-4-clause bsl-1.0 cc0-1.0 fsfap isc mit
+            mit-0 ncsa openssl php postgresql psf-2.0 public-domain python python-2.0 unlicense upl-1.0 vim w3c wtfpl x11
+            zlib zpl""",
+    0.9: "artistic artistic-2.0 cc-by odc-by ofl ofl-1.1",
+    0.7: "cddl cecill-c cpl epl eupl ms-pl mpl",
+    0.6: "cc-by-sa lgpl odbl osl",
+    0.4: "cecill gfdl gpl",
+    0.3: "agpl sspl",
+    0.2: "cc-by-nc cc-by-nc-sa cc-by-nd cc-by-nc-nd busl elastic",
+    0.0: "proprietary",
+}
+OPENNESS = {name: value for value, names in FAMILIES.items() for name in names.split()}
+_VERSION = re.compile(r"(-only|-or-later|\+)$")
 UNKNOWN = 0.5
 BINDS = {"or": 1, "and": 2, "with": 3}
 _TAG_LINE = re.compile(r"spdx[\W_]+license[\W_]+identifier[^A-Za-z0-9(\n]*([^\n]*)", re.IGNORECASE)
+_SHAPED = re.compile(r"[a-z0-9.+]+(-[a-z0-9.+]+)*-v?\d[\d.]*[+]?(-only|-or-later)?|licenseref-.+|.+-exception(-.+)?")
 _TOKEN = re.compile(r"[()]|[A-Za-z0-9][A-Za-z0-9.+-]*")
 
 
+def openness(name: str) -> float | None:
+    """Of an identifier in lower case; None if it is unknown."""
+    name = _VERSION.sub("", name)
+    while name not in OPENNESS and "-" in name and name.rsplit("-", 1)[1].strip("v.0123456789") == "":
+        name = name.rsplit("-", 1)[0]
+    return OPENNESS.get(name)
+
+
+def is_operand(token: str) -> bool:
+    """A known licence, or what is shaped like an identifier: a name with a version, a reference, an exception."""
+    return openness(token) is not None or _SHAPED.fullmatch(token) is not None
+
+
 def postfix(tokens: list[str]) -> list[str] | None:
     """Shunting yard: infix tokens (lower case) to postfix order; None if malformed."""
     out, stack, operand = [], [], False
@@ -84,11 +134,12 @@ def postfix(tokens: list[str]) -> list[str] | None:
 
 
 def expression_tokens(line: str) -> list[str]:
-    """Tokens of the longest start of the line that reads as an expression: it ends where two operands meet."""
+    """Tokens of the longest start of the line that reads as an expression: it ends where two operands meet, and at a
+    word that is no licence."""
     tokens, operand = [], False
     for t in _TOKEN.findall(line):
         t = t.lower().rstrip(".")
-        if t not in BINDS and t not in "()" and operand:
+        if t not in BINDS and t not in "()" and (operand or not is_operand(t)):
             break
         operand = t not in BINDS and t != "("
         tokens.append(t)
@@ -97,16 +148,21 @@ def expression_tokens(line: str) -> list[str]:
     return tokens
 
 
+def _value(name: str) -> float:
+    known = openness(name)
+    return UNKNOWN if known is None else known
+
+
 def evaluate(tokens: list[str]) -> tuple[set[str], float]:
     """(licence identifiers, openness) of an expression."""
     order = postfix(tokens)
     if order is None:
         ids = {t for t in tokens if t not in BINDS and t not in "()"}
-        return ids, min((OPENNESS.get(t, UNKNOWN) for t in ids), default=0.0)
+        return ids, min((_value(t) for t in ids), default=0.0)
     stack: list[tuple[set[str], float]] = []
     for t in order:
         if t not in BINDS:
-            stack.append(({t}, OPENNESS.get(t, UNKNOWN)))
+            stack.append(({t}, _value(t)))
             continue
         (right, b), (left, a) = stack.pop(), stack.pop()
         if t == "with":
@@ -131,27 +187,30 @@ def scan(text: str | None, a: ahocorasick.Automaton) -> tuple[int, int, int | No
     words = rolling.alnum_words(text)
     # latin-1 keeps one character a byte; phrases are ASCII, so matches are the same
     joined = (b" " + b" ".join(words) + b" ").decode("latin-1")
-    base, more, places, openness, tagged = set(), set(), [], [], False
+    base, more, places, values, tagged = set(), set(), [], [], False
+    notices: dict[int, tuple[int, str]] = {}                # the longest notice from each place
     for end, (kind, label, length) in a.iter(joined):
         if kind == "base":
             places.append(end - length)
             base.add(label)
-            openness.append(OPENNESS[label])
+            values.append(_value(label))
         elif kind == "notice":
-            more.add(label)
-            openness.append(OPENNESS[label])
+            notices[end - length] = max(notices.get(end - length, (0, "")), (length, label))
         else:
             tagged = True
+    for _, label in notices.values():
+        more.add(label)
+        values.append(_value(label))
     if tagged:
         for m in _TAG_LINE.finditer(text):
             ids, value = evaluate(expression_tokens(m[1]))
             if ids:
                 more |= ids
-                openness.append(value)
+                values.append(value)
     # a place's word number is the number of spaces before its first letter, less the leading one
     at = (lambda p: joined.count(" ", 0, p) - 1)
     return (len(words), len(places), at(min(places)) if places else None, at(max(places)) if places else None,
-            ",".join(sorted(base)), ",".join(sorted(base | more)), min(openness, default=0.0))
+            ",".join(sorted(base)), ",".join(sorted(base | more)), min(values, default=0.0))
 
 
 FIELDS = "n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double"
