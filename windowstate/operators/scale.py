@@ -21,12 +21,16 @@ ROWS_PER_CHUNK = 200_000
 QUANTILE_ERROR = 0.001
 
 
-def materialize(df: DataFrame, tag: str) -> tuple[DataFrame, int]:
-    """A derived table written once to the shared scratch folder, so later steps do not re-run what is upstream;
-    returns (table, row count)."""
+def write_table(df: DataFrame, tag: str) -> DataFrame:
+    """A derived table written once to the shared scratch folder, so later steps do not re-run what is upstream."""
     path = scratch_dir(df.sparkSession, tag)
     df.write.parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def materialize(df: DataFrame, tag: str) -> tuple[DataFrame, int]:
+    """(the written table, its row count)."""
+    out = write_table(df, tag)
     return out, out.count()
 
 

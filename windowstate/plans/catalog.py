@@ -13,7 +13,7 @@ from windowstate.functions.keyhash import key_partition
 from windowstate.functions.requests import parse_request
 from windowstate.functions.timecols import epoch_ms
 from windowstate.operators import counts, firelog, lookups, retention, statetable
-from windowstate.operators.scale import materialize
+from windowstate.operators.scale import write_table
 from windowstate.plans.params import (CLEANUP_MS, DAY_MS, EPOCH_2024_MS, HOUR_MS, MISROUTED_PARTITIONS, MISSING_KEY_OFFSET,
                                       N_BUCKETS, N_PARTITIONS, NOW_MS, REPLAY_AT_MS, REPLAY_BATCH, SEQ_PARALLELISM,
                                       SHORT_AT_MS, SHORT_CLEANUP_MS)
@@ -94,7 +94,7 @@ def q07_fire_totals(spark, sf):
 def _retained(spark, sf, batch, at_ms, delay_ms):
     rp = _replay(spark, sf)
     # read three times by the retention view (fire sessions, last fire per window, final rows)
-    flog = materialize(firelog.fire_log(rp.fired, N_PARTITIONS), "fires")[0]
+    flog = write_table(firelog.fire_log(rp.fired, N_PARTITIONS), "fires")
     return retention.retained_view(flog, rp.log, batch, at_ms, delay_ms), rp.fired
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from windowstate.operators import firelog
 from windowstate.operators.retention import retained_view
-from windowstate.operators.scale import materialize
+from windowstate.operators.scale import write_table
 from windowstate.plans.params import CLEANUP_MS, HOUR_MS, N_PARTITIONS, REPLAY_BATCH
 from windowstate.session import scratch_dir
 from windowstate.sources.keys import decode_keys
@@ -157,7 +157,7 @@ def q34_keyed_seed(spark, sf):
     """The keyed operator starts from the windows open after arrival batch RESUME_SPLIT, as a table, and streams the
     rest: what it fires and what is open at the end."""
     fired = firelog.replay(_rows(spark, sf), HOUR_MS).fired
-    seed = materialize(firelog.live_at(fired, RESUME_SPLIT), "q34-seed")[0]
+    seed = write_table(firelog.live_at(fired, RESUME_SPLIT), "q34-seed")
     fires, live = _keyed_run(spark, sf, "q34", first=RESUME_SPLIT + 1, initial=seed)
     both = (fires.select("window_end_ms", "key", "n", F.lit("fired").alias("origin"))
             .unionByName(live.select("window_end_ms", "key", "n", F.lit("live").alias("origin"))))
@@ -177,9 +177,9 @@ def q36_lookup_static(spark, sf):
     from windowstate.plans.catalog import _requests
     last_b = ARRIVAL_BATCHES - 1
     rp = firelog.replay(_rows(spark, sf), HOUR_MS)
-    flog = materialize(firelog.fire_log(rp.fired, N_PARTITIONS), "q36-fires")[0]
+    flog = write_table(firelog.fire_log(rp.fired, N_PARTITIONS), "q36-fires")
     retained = retained_view(flog, rp.log, last_b, 1000 * last_b, CLEANUP_MS)
-    state = materialize(state_view(firelog.live_at(rp.fired, last_b), retained), "q36-state")[0]
+    state = write_table(state_view(firelog.live_at(rp.fired, last_b), retained), "q36-state")
     root = scratch_dir(spark, "q36")
     _requests(spark, sf).write.parquet(f"{root}/requests")
     requests = spark.readStream.schema("req_id bigint, ts_ms bigint, key bigint").parquet(f"{root}/requests")
