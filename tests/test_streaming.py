@@ -118,14 +118,14 @@ def test_cleanup_keeps_state_bounded_and_readable(spark):
         batch = spark.createDataFrame([(4 * b, b % 3), (4 * b + 1, 7)], SCHEMA)
         kept(batch, b)
         clean(batch, b)
-        sizes.append(tuple(len(_folders(spark, f"{root}/clean/{x}")) for x in ("deltas", "windows", "fires", "log")))
+        sizes.append(tuple(len(_folders(spark, f"{root}/clean/{x}")) for x in ("deltas", "fires", "log")))
         if b in (12, 23):
             for read in (lambda d: refire.read_live(spark, d),
                          lambda d, b=b: refire.read_retained(spark, d, times[b] + 100, 450)):
                 assert sorted(map(tuple, read(f"{root}/clean").collect())) == sorted(map(tuple, read(f"{root}/kept").collect()))
-    assert max(s[0] for s in sizes) <= 5 and max(s[1] for s in sizes) <= 5
-    assert sizes[13][2] < sizes[12][2]          # the pause cleared what had fired before it
-    assert sizes[13][3] < sizes[12][3]
+    assert max(s[0] for s in sizes) <= 5
+    assert sizes[13][1] < sizes[12][1]          # the pause cleared what had fired before it
+    assert sizes[13][2] < sizes[12][2]
 
 
 def test_memory_sink_listener_and_stop(spark):
@@ -157,7 +157,8 @@ def test_memory_sink_listener_and_stop(spark):
 def test_strict_close_in_stream(spark, strict, expected):
     """max ts 10 with delay 0: the window ending at 10 stays open in parity mode, closes in Spark's default."""
     run = filereplay.new_run(spark, f"t-strict-{strict}", SCHEMA)
-    spark.createDataFrame([(5, 1), (10, 2)], SCHEMA).write.parquet(f"{run.input_dir}/b=0")
+    # one file: two of the same millisecond may come in either order
+    spark.createDataFrame([(5, 1), (10, 2)], SCHEMA).coalesce(1).write.parquet(f"{run.input_dir}/b=0")
     counts = windowed_count(with_event_time(filereplay.input_stream(spark, run)), 10, strict=strict)
     start_count(counts, run.output, run.checkpoint, trigger=AVAILABLE_NOW).awaitTermination()
     assert {tuple(r) for r in spark.read.parquet(run.output).collect()} == expected

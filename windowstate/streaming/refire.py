@@ -4,21 +4,21 @@ Built-in streaming aggregation drops late rows. The reference never drops them:
 a fresh partial window that is emitted again (a delta) at the next watermark. This writer keeps that state in
 tables under `state_dir`, so it is durable, resumable and readable:
 
-  log/b=<id>/        (t_ms, wm_ms)            one row per batch, written last (the commit marker)
-  windows/b=<id>/    (window_end_ms)          which windows the batch added counts to
+  log/b=<id>/        (t_ms, wm_ms, first_end, last_end)   one row per batch, written last (the commit marker), with
+                                              the span of windows that the batch added counts to
   deltas/b=<id>/     (window_end_ms, key, n)  the batch's rows counted per window and key, sorted by window
   fires/fire_b=<id>/ ([partition,] window_end_ms, key, n)   what batch <id> emitted
 
 Per micro-batch: pre-aggregate the batch to (window, key, n) and write it as the batch's delta; watermark =
-max(previous watermark, max ts - delay). Windows in [previous watermark, watermark) close now: the index names the
-batches holding counts for them, and only those deltas are read (row groups pruned by window statistics) and summed;
+max(previous watermark, max ts - delay). Windows in [previous watermark, watermark) close now: the log names the
+batches whose windows reach into that span, and only those deltas are read (row groups pruned by window statistics);
 rows of this batch for windows below the previous watermark are late and fire as they are. Live state is the sum of
 the deltas of windows at or above the watermark, computed when read. So a batch costs its own size plus the windows
 it closes; open state is never rewritten. Everything a batch writes is a folder named by its id, so a batch replayed
 after a failure changes nothing; its logged time is kept from the first try.
 
-With a cleanup delay (T7) a batch then removes what nothing reads any more: deltas and index entries of windows that
-are all closed, fires of before the last pause in firing longer than the delay (every partition's retained set is
+With a cleanup delay (T7) a batch then removes what nothing reads any more: deltas of windows that are all
+closed, fires of before the last pause in firing longer than the delay (every partition's retained set is
 cleared by such a pause), and log rows that neither a delta nor a fire needs."""
 
 from __future__ import annotations
@@ -35,10 +35,7 @@ from windowstate.functions.keyhash import key_partition
 from windowstate.session import delete_folder
 
 LIVE_SCHEMA = "window_end_ms bigint, key bigint, n bigint"
-LOG_SCHEMA = "b bigint, t_ms bigint, wm_ms bigint"
-
-
-INDEX_SCHEMA = "b bigint, window_end_ms bigint"
+LOG_SCHEMA = "b bigint, t_ms bigint, wm_ms bigint, first_end bigint, last_end bigint"
 
 
 def _read(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -49,9 +46,13 @@ def _read(spark: SparkSession, path: str, schema: str) -> DataFrame:
         return spark.createDataFrame([], schema)
 
 
+def _log(spark: SparkSession, state_dir: str) -> DataFrame:
+    return _read(spark, f"{state_dir.rstrip('/')}/log", LOG_SCHEMA)
+
+
 def read_batches(spark: SparkSession, state_dir: str) -> DataFrame:
     """`(b, t_ms, wm_ms)` of committed batches."""
-    return _read(spark, f"{state_dir.rstrip('/')}/log", LOG_SCHEMA)
+    return _log(spark, state_dir).select("b", "t_ms", "wm_ms")
 
 
 def last_batch(spark: SparkSession, state_dir: str, below: int | None = None) -> tuple[int | None, int | None]:
@@ -63,15 +64,23 @@ def last_batch(spark: SparkSession, state_dir: str, below: int | None = None) ->
     return last["b"], last["wm"]
 
 
-def _window_deltas(spark: SparkSession, state_dir: str, cond, max_b: int) -> DataFrame:
-    """Counts of batches <= max_b for windows matching `cond`, from the deltas that the index names."""
-    named = _read(spark, f"{state_dir}/windows", INDEX_SCHEMA).filter((F.col("b") <= max_b) & cond)
+def _window_deltas(spark: SparkSession, state_dir: str, since: int | None, until: int | None, max_b: int) -> DataFrame:
+    """Counts of batches <= max_b for windows that end in [since, until) (None: no bound), from the deltas of the batches
+    whose windows reach into it."""
+    def within(first, last):
+        out = F.lit(True)
+        if since is not None:
+            out = out & (last >= since)
+        return out if until is None else out & (first < until)
+
+    named = _log(spark, state_dir).filter((F.col("b") <= max_b) & within(F.col("first_end"), F.col("last_end")))
     # ids of batches with open or closing windows; the batches of a window's life span, whatever the job's age
-    batches = [r[0] for r in named.select("b").distinct().collect()]
+    batches = [r[0] for r in named.select("b").collect()]
     if not batches:
         return spark.createDataFrame([], LIVE_SCHEMA)
     deltas = _read(spark, f"{state_dir}/deltas", f"b bigint, {LIVE_SCHEMA}")
-    return deltas.filter(F.col("b").isin(batches)).filter(cond).select("window_end_ms", "key", "n")
+    end = F.col("window_end_ms")
+    return deltas.filter(F.col("b").isin(batches)).filter(within(end, end)).select("window_end_ms", "key", "n")
 
 
 class RefireWriter:
@@ -99,13 +108,12 @@ class RefireWriter:
         # sorted by window inside each file, so a read for some windows skips other row groups
         (counts.select("window_end_ms", "key", "n").hint("rebalance").sortWithinPartitions("window_end_ms")
          .write.mode("overwrite").parquet(f"{self.state_dir}/deltas/b={batch_id}"))
-        (counts.select("window_end_ms").distinct().coalesce(1)
-         .write.mode("overwrite").parquet(f"{self.state_dir}/windows/b={batch_id}"))
 
-    def _commit(self, spark: SparkSession, batch_id: int, t_ms: int, wm: int | None) -> None:
+    def _commit(self, spark: SparkSession, batch_id: int, t_ms: int, wm: int | None, first: int | None,
+                last: int | None) -> None:
         path = f"{self.state_dir}/log/b={batch_id}"
         if not _exists(spark, f"{path}/_SUCCESS"):        # a batch tried again keeps its first time
-            (spark.createDataFrame([(t_ms, wm)], "t_ms bigint, wm_ms bigint").coalesce(1)
+            (spark.createDataFrame([(t_ms, wm, first, last)], LOG_SCHEMA.split(", ", 1)[1]).coalesce(1)
              .write.mode("overwrite").parquet(path))
         self._seen = {batch_id + 1: (batch_id, wm), batch_id: self._seen.get(batch_id, (None, None))}
 
@@ -127,15 +135,16 @@ class RefireWriter:
         self._write_delta(live.select("window_end_ms", F.col("key").cast("bigint"), F.col("n").cast("bigint")), -1)
         (self._fires_frame(spark.createDataFrame([], LIVE_SCHEMA)).write.mode("overwrite")
          .parquet(f"{self.state_dir}/fires/fire_b=-1"))
-        self._commit(spark, -1, self.clock(-1) if t_ms is None else t_ms, watermark_ms)
+        first, last = live.agg(F.min("window_end_ms"), F.max("window_end_ms")).first()
+        self._commit(spark, -1, self.clock(-1) if t_ms is None else t_ms, watermark_ms, first, last)
 
     def clean(self, spark: SparkSession, batch_id: int, wm: int | None, t_ms: int) -> None:
         """Drop state that nothing can read after this batch."""
         # a row per batch that is not cleaned yet; read before anything goes
-        ends = {r["b"]: r["e"] for r in _read(spark, f"{self.state_dir}/windows", INDEX_SCHEMA)
-                .groupBy("b").agg(F.max("window_end_ms").alias("e")).collect()}
+        rows = _log(spark, self.state_dir).collect()
+        ends = {r["b"]: r["last_end"] for r in rows if r["last_end"] is not None}
         closed = [b for b, e in ends.items() if wm is not None and e < wm and b < batch_id]
-        logged = [r["b"] for r in read_batches(spark, self.state_dir).select("b").collect()]
+        logged = [r["b"] for r in rows]
         fires = _read(spark, f"{self.state_dir}/fires", "fire_b bigint, window_end_ms bigint")
         times = (fires.select(F.col("fire_b").alias("b")).distinct()
                  .join(read_batches(spark, self.state_dir), "b").select("b", "t_ms").collect())
@@ -146,13 +155,12 @@ class RefireWriter:
             after = t
         for b in closed:
             delete_folder(spark, f"{self.state_dir}/deltas/b={b}")
-            delete_folder(spark, f"{self.state_dir}/windows/b={b}")
         for b in gone:
             delete_folder(spark, f"{self.state_dir}/fires/fire_b={b}")
         needed = ({b for b, _ in times} - set(gone)) | (ends.keys() - set(closed))
         for b in logged:
             if b < batch_id and b not in needed:       # also what a batch without rows has left
-                for folder in (f"fires/fire_b={b}", f"deltas/b={b}", f"windows/b={b}", f"log/b={b}"):
+                for folder in (f"fires/fire_b={b}", f"deltas/b={b}", f"log/b={b}"):
                     delete_folder(spark, f"{self.state_dir}/{folder}")
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
@@ -161,7 +169,7 @@ class RefireWriter:
                             F.col("ts_ms"))
                .groupBy("window_end_ms", "key").agg(F.count(F.lit(1)).alias("n"), F.max("ts_ms").alias("mx"))
                .persist())
-        max_ts = pre.agg(F.max("mx")).first()[0]
+        max_ts, first, last = pre.agg(F.max("mx"), F.min("window_end_ms"), F.max("window_end_ms")).first()
         prev_b, prev_wm = self._previous(spark, batch_id)
         cands = [w for w in (prev_wm, None if max_ts is None else max_ts - self.delay_ms) if w is not None]
         wm = max(cands) if cands else None
@@ -174,13 +182,13 @@ class RefireWriter:
             late = (e < F.lit(prev_wm)) if prev_wm is not None else F.lit(False)
             fires = pre.filter(closing | late).select("window_end_ms", "key", "n")
             if prev_b is not None and prev_wm != wm:
-                fires = fires.unionByName(_window_deltas(spark, self.state_dir, closing, prev_b))
+                fires = fires.unionByName(_window_deltas(spark, self.state_dir, prev_wm, wm, prev_b))
             fires = fires.groupBy("window_end_ms", "key").agg(F.sum("n").cast("bigint").alias("n"))
         fired_dir = f"{self.state_dir}/fires/fire_b={batch_id}"
         self._fires_frame(fires).hint("rebalance").write.mode("overwrite").parquet(fired_dir)
         emit(spark, fired_dir, batch_id, self.sink_dir, self.encode, self.sink)
         t_ms = self.clock(batch_id)
-        self._commit(spark, batch_id, t_ms, wm)
+        self._commit(spark, batch_id, t_ms, wm, first, last)
         if self.cleanup_delay_ms is not None:
             self.clean(spark, batch_id, wm, t_ms)
         pre.unpersist()
@@ -221,8 +229,7 @@ def read_live(spark: SparkSession, state_dir: str, batch: int | None = None) ->
     last_b, wm = last_batch(spark, state_dir, None if batch is None else batch + 1)
     if last_b is None:
         return spark.createDataFrame([], LIVE_SCHEMA)
-    is_open = F.col("window_end_ms") >= F.lit(wm) if wm is not None else F.lit(True)
-    return (_window_deltas(spark, state_dir, is_open, last_b)
+    return (_window_deltas(spark, state_dir, wm, None, last_b)
             .groupBy("window_end_ms", "key").agg(F.sum("n").cast("bigint").alias("n")))
 
 
