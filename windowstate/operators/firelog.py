@@ -66,7 +66,7 @@ def replay(rows: DataFrame, size_ms: int, delay_ms: int = 0, t_ms: Column | None
     pre = write_table(pre_aggregate(rows, size_ms), "pre")
     n_batches, n_ends = pre.agg(F.approx_count_distinct("b"), F.approx_count_distinct("window_end_ms")).first()
     log = batch_log(pre.select("b", F.col("last_ms").alias("ts_ms")), delay_ms, t_ms, n_batches)
-    fe = first_fire(pre, log, n_batches + n_ends)
+    fe = write_table(first_fire(pre, log, n_batches + n_ends), "first")      # a row per window, read by every use
     fired = (pre.drop("last_ms").join(fe, "window_end_ms", "left")
              .withColumn("fire_b", F.when(F.col("first_b").isNotNull(), F.greatest(F.col("b"), F.col("first_b")))))
     return Replay(pre.drop("last_ms"), log, fired)
