@@ -70,6 +70,6 @@ def test_near_dedup_keeps_one_row_a_group(spark):
 def test_registered():
     import __spark_entry__ as entry
     names = entry.queries()
-    assert {f"op{n}" for n in range(1, 11)} == {n.split("_")[0] for n in LLM_QUERIES}
+    assert {f"op{n}" for n in range(1, 14)} == {n.split("_")[0] for n in LLM_QUERIES}
     assert set(LLM_QUERIES) <= set(names) and "pipeline" in names
     assert set(LLM_ORACLES) <= set(entry.oracle_sql()) and "pipeline" not in entry.oracle_sql()
