@@ -99,6 +99,56 @@ def test_hot_key_is_counted_before_the_shuffle(spark):
     assert part.where("n = 0").agg(F.max("tick_ms")).first()[0] == 19
 
 
+def test_many_keys_of_a_window_are_few_entries_of_the_state(spark):
+    """Calls to the state go with windows and buckets, not with keys."""
+    keys, n_buckets = 3_000, keyed.BUCKETS
+    rows = spark.range(2 * keys).selectExpr("id % 2 as b", "5 as ts_ms", "id div 2 as key")
+    run, fires, _ = run_keyed(spark, "t-keyed-many", rows, 2)
+    entries = spark.read.format("statestore").option("stateVarName", keyed.COUNTS).load(run.checkpoint)
+    assert entries.count() <= 2 * n_buckets
+    live = keyed.read_windows(spark, run.checkpoint)
+    assert fires == [] and live.count() == keys and live.where("window_end_ms = 10 and n = 2").count() == keys
+
+
+class FakeState:
+    """Handle and variables of a group."""
+
+    def __init__(self):
+        self.items, self.value, self.timers = [], None, []
+
+    def getListState(self, _name, _schema):
+        class Runs:
+            get, appendValue, clear = (lambda _: iter(list(self.items))), (lambda _, x: self.items.append(x)), (
+                lambda _: self.items.clear())
+        return Runs()
+
+    def getValueState(self, _name, _schema):
+        class Value:
+            get, update, clear = (lambda _: self.value), (lambda _, x: setattr(self, "value", x)), (
+                lambda _: setattr(self, "value", None))
+        return Value()
+
+    def registerTimer(self, at):
+        self.timers.append(at)
+
+
+def test_runs_of_a_long_open_window_are_summed():
+    """A hot key in every micro-batch does not make the state grow with their number; large runs are cut."""
+    state, op = FakeState(), keyed.WindowCounts()
+    op.init(state)
+    row = lambda key, n: type("R", (), {"key": key, "n": n})
+    most = 0
+    for batch in range(3_000):
+        op.handleInputRows((10, 3), iter([row(7, 2), row(batch % 50, 1), row(None, 0)]), None)
+        most = max(most, sum(len(k) for k, _ in state.items))
+    assert most <= keyed.MIN_SUMMED + 2 and state.timers == [11]
+    op.handleInputRows((10, 3), (row(100 + i, 1) for i in range(25_000)), None)
+    assert max(len(k) for k, _ in state.items) <= keyed.RUN_ROWS
+    got = {r.key: r.n for r in op.handleExpiredTimer((10, 3), None, None)}
+    want = {k: 60 for k in range(50)} | {100 + i: 1 for i in range(25_000)}
+    assert got == {**want, 7: 60 + 6_000} and state.items == [] and state.value is None
+
+
 @pytest.mark.parametrize("seed", [1, 2])
 def test_random_replays(spark, seed):
     import random
