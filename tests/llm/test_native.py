@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from windowstate.llm import decontaminate, line_dedup, pii, url_filter
+from windowstate.llm.common import ALNUM_WORD, alnum_words
 from windowstate.llm.queries import LLM_QUERIES
 
 from .helpers import deduped_lines, docs_frame, window_hits
@@ -84,6 +85,24 @@ def test_decontaminate_empty(spark):
     assert decontaminate.flag_contaminated(docs, one).first()["__n_hit"] == 1
 
 
+def test_words_are_cut_by_splitting(spark):
+    """Edges and separators leave no empty words; cutting takes far less time than extracting each match."""
+    import time
+    rows = docs_frame(spark, [(1, None), (2, ""), (3, " .\t"), (4, "..A-b\x00\x7fÉa_c\U0001F600d.")])
+    got = {r["doc_id"]: r["w"] for r in rows.select("doc_id", alnum_words(F.col("text")).alias("w")).collect()}
+    assert got == {1: [], 2: [], 3: [], 4: ["a", "b", "Éa", "c\U0001F600d"]}
+    texts = spark.range(3_000).select(F.repeat(F.lit("word, é9\n"), 300).alias("text")).localCheckpoint()
+
+    def seconds(words):
+        begun = time.monotonic()
+        assert texts.agg(F.sum(F.size(words))).first()[0] == 3_000 * 600
+        return time.monotonic() - begun
+
+    cut = alnum_words(F.col("text"))
+    extracted = F.regexp_extract_all(F.col("text"), F.lit(ALNUM_WORD), F.lit(0))
+    assert min(seconds(cut) for _ in range(3)) < 0.5 * min(seconds(extracted) for _ in range(3))
+
+
 def test_line_dedup(spark):
     rng = random.Random(5)
     rows = [(rng.randint(0, 10**10), "\n".join(rng.choice(["a", "b", "", " ", "c d"]) for _ in range(rng.randint(0, 9))))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from windowstate.session import scratch_dir
 
 ALNUM_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"   # runs of 0-9, a-z and non-ASCII characters (after ascii_lower)
+NO_ALNUM = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"      # what stands between those words
 SPACE_WORD = r"[^\x20\x09-\x0D]+"                  # runs without ASCII white space
 
 
@@ -29,8 +30,9 @@ def ascii_lower(col: Column) -> Column:
 
 
 def alnum_words(col: Column) -> Column:
-    """Words of the contract's class in lower case, in order; null has none."""
-    return F.regexp_extract_all(ascii_lower(F.coalesce(col, F.lit(""))), F.lit(ALNUM_WORD), F.lit(0))
+    """Words of the contract's class in lower case, in order; null has none. By splitting: extracting each match took
+    ten times as long."""
+    return F.array_remove(F.split(ascii_lower(F.coalesce(col, F.lit(""))), NO_ALNUM), "")
 
 
 def let(value: Column, use) -> Column:
